@@ -1,8 +1,8 @@
 """All registered queries: name to (query, SQL or None)."""
 
-from answerloom.catalog import metric_queries, split_queries
+from answerloom.catalog import metric_queries, reshape_queries, split_queries, text_queries
 
-MODULES = (metric_queries, split_queries)
+MODULES = (metric_queries, split_queries, text_queries, reshape_queries)
 
 
 def registered() -> dict:

@@ -144,14 +144,16 @@ def pairs(spark, folder) -> DataFrame:
         F.col("q_turn").alias("row_no"),
         "question",
         "student_answer",
-        F.when(F.length("question") > 100, F.upper("student_answer")).alias("reference_answer"),
+        F.when(
+            F.length("question") > 100, F.concat(F.lit("Model: "), "student_answer", "question")
+        ).alias("reference_answer"),
     )
 
 
 PAIRS = """pairs AS (
   SELECT u.conv_id || '-' || u.turn AS row_id, CAST(u.conv_id AS VARCHAR) AS task_id,
          u.turn AS row_no, u.text AS question, a.text AS student_answer,
-         CASE WHEN length(u.text) > 100 THEN upper(a.text) END AS reference_answer
+         CASE WHEN length(u.text) > 100 THEN 'Model: ' || a.text || u.text END AS reference_answer
   FROM conversations u JOIN conversations a
     ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""

@@ -4,6 +4,7 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from answerloom import fixed_values as fv
 from answerloom.functions.basics import blank_if_null, strip, to_double
@@ -63,7 +64,7 @@ def clean_html(text: Column) -> Column:
     return F.replace(unify_breaks(blank_if_null(text)), F.lit(fv.SPAN_END), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Decode HTML entities until nothing changes; NULL stays NULL."""
 
@@ -93,16 +94,22 @@ def _flatten_breaks(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def subtask_loose(text: Column, letter: str) -> Column:
-    """Text after 'x.' anywhere, up to the next lettered point a. to h."""
-    found = F.regexp_extract(
-        text, rf"(?isU){letter}\.\s*(.*?)(?=\b[a-h]\.|\z)", 1
-    )
+def find_loose(text: Column, letter: str) -> Column:
+    """Text after 'x.' anywhere, up to the next lettered point a. to h., as it is."""
+    return F.regexp_extract(text, rf"(?isU){letter}\.\s*(.*?)(?=\b[a-h]\.|\z)", 1)
+
+
+def tidy_loose(found: Column) -> Column:
     return strip(_without_trailing_tags(blank_if_null(found)))
 
 
-def subtask(text: Column, letter: str, section: str = "sentences") -> Column:
-    """Text after a free-standing 'x.' up to the letter that follows x.
+def subtask_loose(text: Column, letter: str) -> Column:
+    """`find_loose` without the tags that trail it."""
+    return tidy_loose(find_loose(text, letter))
+
+
+def find_subtask(text: Column, letter: str, section: str) -> Column:
+    """Text after a free-standing 'x.' up to the letter that follows x, as it is.
 
     Abbreviations such as 'e.g.' do not end a subtask. The last letter of a
     section, and any letter whose successor is missing, runs to the end.
@@ -116,10 +123,18 @@ def subtask(text: Column, letter: str, section: str = "sentences") -> Column:
         stop = rf"(?=\b{letters[place + 1]}\.(?!\w)|\z)"
     else:
         stop = r"\z"
-    found = F.regexp_extract(text, rf"(?isU)\b{letter}\.\s*(.*?){stop}", 1)
+    return F.regexp_extract(text, rf"(?isU)\b{letter}\.\s*(.*?){stop}", 1)
+
+
+def tidy_subtask(found: Column) -> Column:
     return _flatten_breaks(_without_trailing_tags(blank_if_null(found)))
 
 
+def subtask(text: Column, letter: str, section: str = "sentences") -> Column:
+    """`find_subtask` as plain text: no tags, single blanks."""
+    return tidy_subtask(find_subtask(text, letter, section))
+
+
 def strip_boilerplate(answer: Column) -> Column:
     """Answer without its 'True/False, because ...' opening and left-over tags."""
     answer = blank_if_null(answer)

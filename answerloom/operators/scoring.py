@@ -1,4 +1,204 @@
-"""placeholder"""
-from pyspark.sql import functions as F
-def repeat_runs(df, runs):
+"""Grading answers with a predictor supplied by the caller.
+
+A predictor is made once per task by `make_predictor()`. Row predictors are
+called as predict(questions, answers, references) on the lists of one Arrow
+batch and return one label per row; question predictors are called as
+predict(question, answers, reference) on one batch of answers to the same
+question. References are None unless they are to be passed. A retried task
+calls its predictor again: write the scores once and read them back.
+"""
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from answerloom.functions.text import prompt
+
+GROUP_LIMIT = 1000
+
+
+def model_inputs(df: DataFrame, include_reference: bool = False, keep=("labels", "topic")) -> DataFrame:
+    """Model input text with the kept columns only; absent columns read as ''."""
+    def column(name):
+        return F.col(name) if name in df.columns else F.lit("")
+
+    reference = column("reference_answer") if include_reference else None
+    text = prompt(column("question"), column("student_answer"), reference)
+    return df.select(*[c for c in keep if c in df.columns], text.alias("text"))
+
+
+def repeat_runs(df: DataFrame, runs: int) -> DataFrame:
+    """Every row once per run, with the run's number from 1."""
     return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+
+
+def _label(value):
+    return None if value is None or pd.isna(value) else int(value)
+
+
+def score_rows(
+    df: DataFrame,
+    make_predictor: Callable,
+    pass_reference: bool = True,
+    fail_on_error: bool = False,
+) -> DataFrame:
+    """Add y_pred and error by grading each answer on its own.
+
+    If a batch fails, its rows are tried one by one, so an error costs only
+    the rows that cause it: they get a NULL y_pred and the error's text.
+    """
+    schema = T.StructType(
+        [f for f in df.schema.fields if f.name not in ("y_pred", "error")]
+        + [T.StructField("y_pred", T.IntegerType()), T.StructField("error", T.StringType())]
+    )
+    inputs = df.drop("y_pred", "error")
+
+    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = make_predictor()
+        for batch in batches:
+            questions = batch["question"].tolist()
+            answers = batch["student_answer"].tolist()
+            references = (
+                batch["reference_answer"].tolist() if pass_reference else [None] * len(batch)
+            )
+            errors = [None] * len(batch)
+            try:
+                labels = [_label(x) for x in predict(questions, answers, references)]
+                if len(labels) != len(batch):
+                    raise ValueError(f"{len(labels)} labels for {len(batch)} answers")
+            except Exception:
+                if fail_on_error:
+                    raise
+                labels = []
+                for row, triple in enumerate(zip(questions, answers, references)):
+                    try:
+                        labels.append(_label(predict(*[[x] for x in triple])[0]))
+                    except Exception as error:
+                        labels.append(None)
+                        errors[row] = f"{type(error).__name__}: {error}"
+            yield batch.assign(y_pred=pd.array(labels, dtype="Int32"), error=errors)
+
+    return inputs.mapInPandas(grade, schema)
+
+
+def answer_groups(
+    df: DataFrame, key: str = "task_id", row_id: str = "row_id", order: str = "row_no",
+    carry=(), limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Answers collected per question, in row order: at most `limit` per group.
+
+    Questions with up to `limit` answers form one group, with the question
+    and reference answer of their first row. Larger ones are dealt by the
+    hash of the row key into about n / limit shares; each share is numbered in
+    row order and cut into groups. No task or array ever holds more than a
+    share, whatever the size of a question. Rows without a key are left out.
+    """
+    keyed = df.filter(F.col(key).isNotNull())
+    large = (
+        keyed.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+        .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / limit).alias("_shares"))
+    )
+    share = F.coalesce(
+        F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.col("_shares")), F.lit(0)
+    )
+    dealt = keyed.join(large, F.col(key) == F.col("_key"), "left").withColumn("share", share)
+    inside = Window.partitionBy(key, "share").orderBy(order, row_id)
+    numbered = dealt.withColumn(
+        "part", F.floor((F.row_number().over(inside) - 1) / limit)
+    )
+    member = F.struct(
+        F.col(order).alias("row_no"),
+        F.col(row_id).alias("row_id"),
+        F.col("student_answer").alias("answer"),
+        *[F.col(c) for c in carry if c not in ("row_no", "row_id", "answer")],
+    )
+    first = F.struct(order, row_id)
+    return numbered.groupBy(key, "share", "part").agg(
+        F.min_by("question", first).alias("question"),
+        F.min_by("reference_answer", first).alias("reference_answer"),
+        F.array_sort(F.collect_list(member)).alias("members"),
+    )
+
+
+def score_groups(
+    groups: DataFrame, make_predictor: Callable, pass_reference: bool = True,
+    fail_on_error: bool = False, key: str = "task_id",
+) -> DataFrame:
+    """One row per answer of each group, with y_pred and error.
+
+    Labels are matched to answers by place: with too few labels the last
+    answers stay ungraded (NULL), surplus labels are ignored.
+    """
+    schema = T.StructType(
+        list(groups.schema.fields)
+        + [
+            T.StructField("labels", T.ArrayType(T.IntegerType())),
+            T.StructField("error", T.StringType()),
+        ]
+    )
+
+    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = make_predictor()
+        for batch in batches:
+            labels, errors = [], []
+            for question, reference, members in zip(
+                batch["question"], batch["reference_answer"], batch["members"]
+            ):
+                try:
+                    answers = [str(m["answer"]) for m in members]
+                    given = predict(question, answers, reference if pass_reference else None)
+                    labels.append([_label(x) for x in given])
+                    errors.append(None)
+                except Exception as error:
+                    if fail_on_error:
+                        raise
+                    labels.append([])
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield batch.assign(labels=labels, error=errors)
+
+    scored = groups.mapInPandas(grade, schema)
+    return scored.select(
+        key, "labels", "error", F.posexplode("members").alias("pos", "member")
+    ).select(
+        key,
+        "member.*",
+        F.try_element_at("labels", F.col("pos") + 1).alias("y_pred"),
+        "error",
+    )
+
+
+def score_questions(
+    df: DataFrame, make_predictor: Callable, pass_reference: bool = True,
+    key: str | None = None, row_id: str = "row_id", order: str = "row_no", carry=(),
+    limit: int = GROUP_LIMIT, fail_on_error: bool = False,
+) -> DataFrame:
+    """Grade all answers of a question together.
+
+    Columns needed later travel with the answers (`carry`), so nothing is
+    joined back. Rows without a question key come out ungraded.
+    """
+    key = key or ("task_id" if "task_id" in df.columns else "question")
+    groups = answer_groups(df, key, row_id, order, carry, limit)
+    scored = score_groups(groups, make_predictor, pass_reference, fail_on_error, key)
+    names = scored.columns
+    sources = {"row_no": order, "row_id": row_id, "answer": "student_answer"}
+    left_out = df.filter(F.col(key).isNull()).select(
+        *[
+            F.lit(None).cast(scored.schema[c].dataType).alias(c)
+            if c in ("y_pred", "error")
+            else F.col(sources.get(c, c)).alias(c)
+            for c in names
+        ]
+    )
+    return scored.unionByName(left_out)
+
+
+def score(df: DataFrame, make_predictor: Callable, mode: str = "single", **options) -> DataFrame:
+    """`score_rows` for mode 'single', `score_questions` for 'per_question'."""
+    if mode == "single":
+        return score_rows(df, make_predictor, **options)
+    if mode == "per_question":
+        return score_questions(df, make_predictor, **options)
+    raise ValueError(f"mode must be 'single' or 'per_question', got {mode!r}")
+
