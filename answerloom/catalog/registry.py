@@ -1,8 +1,12 @@
 """All registered queries: name to (query, SQL or None)."""
 
-from answerloom.catalog import metric_queries, reshape_queries, split_queries, text_queries
+from answerloom.catalog import (
+    metric_queries, reshape_queries, scoring_queries, source_queries, split_queries, text_queries,
+)
 
-MODULES = (metric_queries, split_queries, text_queries, reshape_queries)
+MODULES = (
+    metric_queries, split_queries, text_queries, reshape_queries, scoring_queries, source_queries,
+)
 
 
 def registered() -> dict:
