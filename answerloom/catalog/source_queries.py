@@ -5,8 +5,9 @@ from pyspark.sql import functions as F, types as T
 from answerloom import schemas
 from answerloom.catalog import text_queries, views as v
 from answerloom.functions.labels import strict_label
-from answerloom.operators import confusion as cm, metrics as mt, training as tr
+from answerloom.operators import metrics as mt, training as tr
 from answerloom.operators.scoring import model_inputs
+from answerloom.operators.split import split_by_task, with_split
 from answerloom.session import scratch_path
 from answerloom.sources import readers, writers
 
@@ -220,21 +221,27 @@ QUERIES["S10_metric_sink"] = (_metric_sink, _metric_sink_sql())
 
 
 def _labelled_documents(spark, folder):
-    """Labelled documents: good and clean is correct, one of both partial."""
+    """Labelled documents: good and clean is correct, one of both partial.
+
+    Every document is its own task, its language the topic; splits are the
+    balanced ones.
+    """
     labels = v.table(spark, folder, "labels")
-    points = F.col("quality") + (1 - F.col("toxic"))
-    documents = v.table(spark, folder, "documents").join(labels, "doc_id")
-    inputs = model_inputs(
-        documents.select(
-            F.col("source").alias("question"), F.col("text").alias("student_answer"),
-            points.cast("int").alias("labels"), F.col("lang").alias("topic"), "doc_id",
-        ),
-        keep=("doc_id", "labels", "topic"),
-    )
-    digit = F.col("doc_id") % 5
-    return inputs.withColumn(
-        "split", F.when(digit == 3, "val").when(digit == 4, "test").otherwise("train")
+    label = (F.col("quality") + (1 - F.col("toxic"))).cast("int")
+    tasks = labels.join(
+        v.table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id"
+    ).select(
+        F.col("doc_id").cast("string").alias("task_id"),
+        F.col("lang").alias("topic"),
+        F.col("source").alias("question"),
+        F.col("text").alias("student_answer"),
+        label.alias("labels"),
+        label.alias("y_true"),
     )
+    assigned = with_split(tasks, split_by_task(tasks.select("task_id", "topic", "y_true")))
+    path = scratch_path(spark, "labelled")
+    writers.by_split(model_inputs(assigned, keep=("task_id", "labels", "topic", "split")), path)
+    return spark.read.parquet(path)
 
 
 def _trained(spark, folder):

@@ -96,7 +96,7 @@ def _flatten_breaks(text: Column) -> Column:
 
 def find_loose(text: Column, letter: str) -> Column:
     """Text after 'x.' anywhere, up to the next lettered point a. to h., as it is."""
-    return F.regexp_extract(text, rf"(?isU){letter}\.\s*(.*?)(?=\b[a-h]\.|\z)", 1)
+    return F.regexp_extract(text, rf"(?isU){letter}\.\s*(.*?)(?=[a-h]\.(?<=\b[a-h]\.)|\z)", 1)
 
 
 def tidy_loose(found: Column) -> Column:
@@ -120,10 +120,12 @@ def find_subtask(text: Column, letter: str, section: str) -> Column:
         return F.lit("")
     place = letters.index(letter)
     if place + 1 < len(letters):
-        stop = rf"(?=\b{letters[place + 1]}\.(?!\w)|\z)"
+        after = letters[place + 1]
+        stop = rf"(?={after}\.(?<=\b{after}\.)(?!\w)|\z)"
     else:
         stop = r"\z"
-    return F.regexp_extract(text, rf"(?isU)\b{letter}\.\s*(.*?){stop}", 1)
+    # Letter and dot are compared first, as the boundary test is the costly one.
+    return F.regexp_extract(text, rf"(?isU){letter}\.(?<=\b{letter}\.)\s*(.*?){stop}", 1)
 
 
 def tidy_subtask(found: Column) -> Column:

@@ -61,21 +61,24 @@ def with_overall(counts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def support(t: int) -> Column:
-    """Rows whose true class is t, scored or not."""
-    return total([F.col(cell(t, p)) for p in CODES]) + F.col(unscored(t))
-
-
-def predicted(p: int) -> Column:
-    return total([F.col(cell(t, p)) for t in CODES])
-
-
-def rows() -> Column:
-    return total([support(t) for t in CODES])
+def with_marginals(counts: DataFrame) -> DataFrame:
+    """Add per class `support_c` (true rows, scored or not), `predicted_c`,
+    and the numbers of all rows and of scored rows."""
+    sums = {}
+    for c in CODES:
+        sums[f"support_{c}"] = total([F.col(cell(c, p)) for p in CODES]) + F.col(unscored(c))
+        sums[f"predicted_{c}"] = total([F.col(cell(t, c)) for t in CODES])
+    return counts.withColumns(sums).withColumns(
+        {
+            "rows": total([F.col(f"support_{c}") for c in CODES]),
+            "scored": total([F.col(f"predicted_{c}") for c in CODES]),
+        }
+    )
 
 
-def scored_rows() -> Column:
-    return total([F.col(c) for c in CELL_COLUMNS])
+def present(c: int) -> Column:
+    """Whether a class occurs as true or as predicted class (after with_marginals)."""
+    return F.col(f"support_{c}") + F.col(f"predicted_{c}") > 0
 
 
 def confusion_matrix(counts: DataFrame, keys=(), present_only: bool = False) -> DataFrame:
@@ -91,14 +94,12 @@ def confusion_matrix(counts: DataFrame, keys=(), present_only: bool = False) ->
             F.lit(fv.DISPLAY_LABELS[t]).alias("true_label"),
             F.lit(fv.DISPLAY_LABELS[p]).alias("predicted_label"),
             F.col(cell(t, p)).alias("n"),
-            (
-                (support(t) + predicted(t) > 0) & (support(p) + predicted(p) > 0)
-            ).alias("present"),
+            (present(t) & present(p)).alias("present"),
         )
         for t in CODES
         for p in CODES
     ]
-    matrix = counts.select(*keys, F.inline(F.array(*pairs)))
+    matrix = with_marginals(counts).select(*keys, F.inline(F.array(*pairs)))
     if present_only:
         matrix = matrix.filter("present")
     return matrix.drop("present")

@@ -1,7 +1,8 @@
 """Classification metrics as projections of confusion counts.
 
 Nothing here reads predictions or joins: each metric is an expression over
-the one row per key that `confusion.cells` leaves.
+the one row per key that `confusion.cells` leaves. `measured` computes the
+per-class values once; the averages refer to them by column name.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,32 +26,36 @@ SUMMARY = (
 )
 
 
-def precision(c: int) -> Column:
-    return ratio_or_zero(F.col(cm.cell(c, c)), cm.predicted(c))
+def measured(counts: DataFrame) -> DataFrame:
+    """Counts with marginals and precision_c, recall_c, f1_c of each class.
 
-
-def recall(c: int) -> Column:
-    return ratio_or_zero(F.col(cm.cell(c, c)), cm.support(c))
-
-
-def f1(c: int) -> Column:
-    return ratio_or_zero(2 * F.col(cm.cell(c, c)), cm.support(c) + cm.predicted(c))
+    A value whose denominator is 0 is 0. `classes` is the number of classes
+    that occur as true or as predicted class.
+    """
+    values = {"classes": total([cm.present(c).cast("int") for c in CODES])}
+    for c in CODES:
+        hits, true, guessed = (
+            F.col(cm.cell(c, c)), F.col(f"support_{c}"), F.col(f"predicted_{c}")
+        )
+        values[f"precision_{c}"] = ratio_or_zero(hits, guessed)
+        values[f"recall_{c}"] = ratio_or_zero(hits, true)
+        values[f"f1_{c}"] = ratio_or_zero(2 * hits, true + guessed)
+    return cm.with_marginals(counts).withColumns(values)
 
 
 def accuracy() -> Column:
-    return ratio_or_zero(total([F.col(cm.cell(c, c)) for c in CODES]), cm.rows())
+    return ratio_or_zero(total([F.col(cm.cell(c, c)) for c in CODES]), F.col("rows"))
 
 
-def macro(metric) -> Column:
-    """Plain mean over the classes that occur as true or predicted class."""
-    present = [(cm.support(c) + cm.predicted(c) > 0) for c in CODES]
-    sums = total([F.when(here, metric(c)).otherwise(0.0) for c, here in zip(CODES, present)])
-    return ratio_or_zero(sums, total([here.cast("int") for here in present]))
+def macro(metric: str) -> Column:
+    """Plain mean over the classes that occur; the others contribute 0."""
+    return ratio_or_zero(total([F.col(f"{metric}_{c}") for c in CODES]), F.col("classes"))
 
 
-def weighted(metric) -> Column:
+def weighted(metric: str) -> Column:
     """Mean weighted by the number of rows of each true class."""
-    return ratio_or_zero(total([cm.support(c) * metric(c) for c in CODES]), cm.rows())
+    mass = total([F.col(f"support_{c}") * F.col(f"{metric}_{c}") for c in CODES])
+    return ratio_or_zero(mass, F.col("rows"))
 
 
 def quadratic_weighted_kappa() -> Column:
@@ -59,37 +64,42 @@ def quadratic_weighted_kappa() -> Column:
     Only scored rows count. Codes 0, 1, 2 are their own ranks, so distances
     stay right when a class is absent.
     """
-    def row(t):
-        return total([F.col(cm.cell(t, p)) for p in CODES]).cast("double")
-
     pairs = [(t, p) for t in CODES for p in CODES if t != p]
     observed = total([F.col(cm.cell(t, p)) * (t - p) ** 2 for t, p in pairs])
-    expected = total([row(t) * cm.predicted(p) * (t - p) ** 2 for t, p in pairs])
-    return F.when(expected > 0, 1 - observed * cm.scored_rows().cast("double") / expected)
+    expected = total(
+        [
+            (F.col(f"support_{t}") - F.col(cm.unscored(t))).cast("double")
+            * F.col(f"predicted_{p}")
+            * (t - p) ** 2
+            for t, p in pairs
+        ]
+    )
+    chance = F.nullif(expected, F.lit(0.0))
+    return 1 - observed * F.col("scored").cast("double") / chance
 
 
 def naive_macro_f1() -> Column:
     """Macro F1 of always answering the most frequent true class."""
-    supports = [cm.support(c) for c in CODES]
-    share = ratio_or_zero(F.greatest(*supports), cm.rows())
-    present = total([(s > 0).cast("int") for s in supports])
-    return ratio_or_zero(2 * share / (1 + share), present)
+    supports = [F.col(f"support_{c}") for c in CODES]
+    largest = F.greatest(*supports).cast("double")
+    classes = total([(s > 0).cast("int") for s in supports])
+    return ratio_or_zero(2 * largest, (largest + F.col("rows")) * classes)
 
 
 def summary(counts: DataFrame, keys=()) -> DataFrame:
     """One wide row per key with all overall metrics."""
-    return counts.select(
+    return measured(counts).select(
         *keys,
         accuracy().alias("accuracy"),
         quadratic_weighted_kappa().alias("quadratic_weighted_kappa"),
-        macro(precision).alias("macro_precision"),
-        macro(recall).alias("macro_recall"),
-        macro(f1).alias("macro_f1"),
+        macro("precision").alias("macro_precision"),
+        macro("recall").alias("macro_recall"),
+        macro("f1").alias("macro_f1"),
         naive_macro_f1().alias("macro_f1_naive"),
-        weighted(precision).alias("weighted_precision"),
-        weighted(recall).alias("weighted_recall"),
-        weighted(f1).alias("weighted_f1"),
-        cm.rows().alias("support"),
+        weighted("precision").alias("weighted_precision"),
+        weighted("recall").alias("weighted_recall"),
+        weighted("f1").alias("weighted_f1"),
+        F.col("rows").alias("support"),
         total([F.col(cm.unscored(c)) for c in CODES]).alias("unscored"),
         F.col("no_truth"),
     )
@@ -97,11 +107,11 @@ def summary(counts: DataFrame, keys=()) -> DataFrame:
 
 def training_metrics(counts: DataFrame, keys=()) -> DataFrame:
     """The short set watched during training."""
-    return counts.select(
+    return measured(counts).select(
         *keys,
         accuracy().alias("accuracy"),
-        macro(f1).alias("macro_f1"),
-        weighted(f1).alias("weighted_f1"),
+        macro("f1").alias("macro_f1"),
+        weighted("f1").alias("weighted_f1"),
     )
 
 
@@ -111,14 +121,14 @@ def per_class(counts: DataFrame, keys=()) -> DataFrame:
         F.struct(
             F.lit(c).alias("label"),
             F.lit(fv.LABEL_NAMES[c]).alias("label_name"),
-            precision(c).alias("precision"),
-            recall(c).alias("recall"),
-            f1(c).alias("f1"),
-            cm.support(c).alias("support"),
+            F.col(f"precision_{c}").alias("precision"),
+            F.col(f"recall_{c}").alias("recall"),
+            F.col(f"f1_{c}").alias("f1"),
+            F.col(f"support_{c}").alias("support"),
         )
         for c in CODES
     ]
-    return counts.select(*keys, F.inline(F.array(*rows)))
+    return measured(counts).select(*keys, F.inline(F.array(*rows)))
 
 
 def classification_report(counts: DataFrame, keys=()) -> DataFrame:
@@ -133,30 +143,30 @@ def classification_report(counts: DataFrame, keys=()) -> DataFrame:
         )
 
     lines = [
-        line(fv.LABEL_NAMES[c], precision(c), recall(c), f1(c), cm.support(c)) for c in CODES
+        line(fv.LABEL_NAMES[c], F.col(f"precision_{c}"), F.col(f"recall_{c}"), F.col(f"f1_{c}"), F.col(f"support_{c}")) for c in CODES
     ]
     lines += [
-        line("accuracy", F.lit(None), F.lit(None), accuracy(), cm.rows()),
-        line("macro avg", macro(precision), macro(recall), macro(f1), cm.rows()),
-        line("weighted avg", weighted(precision), weighted(recall), weighted(f1), cm.rows()),
+        line("accuracy", F.lit(None), F.lit(None), accuracy(), F.col("rows")),
+        line("macro avg", macro("precision"), macro("recall"), macro("f1"), F.col("rows")),
+        line("weighted avg", weighted("precision"), weighted("recall"), weighted("f1"), F.col("rows")),
     ]
-    return counts.select(*keys, F.inline(F.array(*lines)))
+    return measured(counts).select(*keys, F.inline(F.array(*lines)))
 
 
 def per_topic(counts: DataFrame, topic: str = "topic") -> DataFrame:
     """Kappa, macro F1, weighted F1 and support of each topic."""
-    return counts.select(
+    return measured(counts).select(
         topic,
         quadratic_weighted_kappa().alias("quadratic_weighted_kappa"),
-        macro(f1).alias("macro_f1"),
-        weighted(f1).alias("weighted_f1"),
-        cm.rows().alias("support"),
+        macro("f1").alias("macro_f1"),
+        weighted("f1").alias("weighted_f1"),
+        F.col("rows").alias("support"),
     )
 
 
 def overall_topic_f1(counts: DataFrame) -> DataFrame:
     """Mean of the topics' weighted F1, weighted by topic size."""
-    topics = counts.select(weighted(f1).alias("f"), cm.rows().alias("n"))
+    topics = measured(counts).select(weighted("f1").alias("f"), F.col("rows").alias("n"))
     return topics.agg(
         (F.sum(F.col("f") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias(
             "overall_topic_weighted_f1"
@@ -167,13 +177,13 @@ def overall_topic_f1(counts: DataFrame) -> DataFrame:
 def flagship(predictions: DataFrame, topic: str = "topic") -> DataFrame:
     """Overall and per-topic metrics from one pass over the predictions."""
     both = cm.with_overall(cm.cells(predictions, [topic]), topic)
-    return both.select(
+    return measured(both).select(
         "scope",
         "key",
-        F.round(macro(f1), 9).alias("macro_f1"),
-        F.round(weighted(f1), 9).alias("weighted_f1"),
+        F.round(macro("f1"), 9).alias("macro_f1"),
+        F.round(weighted("f1"), 9).alias("weighted_f1"),
         F.round(quadratic_weighted_kappa(), 9).alias("quadratic_weighted_kappa"),
-        cm.rows().alias("support"),
+        F.col("rows").alias("support"),
     )
 
 
@@ -198,7 +208,7 @@ def random_predictions(df: DataFrame, row_id: str, y_true="y_true", seed=fv.SEED
 
 def random_macro_f1(df: DataFrame, row_id: str, y_true="y_true", seed=fv.SEED) -> DataFrame:
     drawn = random_predictions(df.select(row_id, y_true), row_id, y_true, seed)
-    return cm.cells(drawn, y_true=y_true).select(macro(f1).alias("macro_f1_random"))
+    return measured(cm.cells(drawn, y_true=y_true)).select(macro("f1").alias("macro_f1_random"))
 
 
 def to_long(wide: DataFrame, scope: Column, key: Column, metrics) -> DataFrame:
@@ -224,23 +234,23 @@ def _overall_entries() -> list[Column]:
     values = {
         "accuracy": accuracy(),
         "quadratic_weighted_kappa": quadratic_weighted_kappa(),
-        "macro_precision": macro(precision),
-        "macro_recall": macro(recall),
-        "macro_f1": macro(f1),
+        "macro_precision": macro("precision"),
+        "macro_recall": macro("recall"),
+        "macro_f1": macro("f1"),
         "macro_f1_naive": naive_macro_f1(),
-        "weighted_precision": weighted(precision),
-        "weighted_recall": weighted(recall),
-        "weighted_f1": weighted(f1),
-        "support": cm.rows(),
+        "weighted_precision": weighted("precision"),
+        "weighted_recall": weighted("recall"),
+        "weighted_f1": weighted("f1"),
+        "support": F.col("rows"),
         "unscored": total([F.col(cm.unscored(c)) for c in CODES]),
     }
     entries = [_entry("overall", "overall", m, v) for m, v in values.items()]
     for c in CODES:
         for name, value in (
-            ("precision", precision(c)),
-            ("recall", recall(c)),
-            ("f1", f1(c)),
-            ("support", cm.support(c)),
+            ("precision", F.col(f"precision_{c}")),
+            ("recall", F.col(f"recall_{c}")),
+            ("f1", F.col(f"f1_{c}")),
+            ("support", F.col(f"support_{c}")),
         ):
             entries.append(_entry("class", fv.LABEL_NAMES[c], name, value))
     return entries
@@ -253,8 +263,10 @@ def long_report(predictions: DataFrame, topic: str | None = "topic") -> DataFram
     the overall level is the sum of the topics' cells.
     """
     if topic is None:
-        return cm.cells(predictions).select(F.inline(F.array(*_overall_entries())))
-    counts = cm.cells(predictions, [topic]).withColumn("f1_mass", weighted(f1) * cm.rows())
+        return measured(cm.cells(predictions)).select(F.inline(F.array(*_overall_entries())))
+    counts = measured(cm.cells(predictions, [topic])).withColumn(
+        "f1_mass", weighted("f1") * F.col("rows")
+    )
     levels = counts.rollup(topic).agg(
         F.grouping(topic).alias("is_total"),
         *[F.sum(c).alias(c) for c in [*cm.COUNT_COLUMNS, "f1_mass"]],
@@ -263,16 +275,16 @@ def long_report(predictions: DataFrame, topic: str | None = "topic") -> DataFram
         *_overall_entries(),
         _entry(
             "overall", "overall", "overall_topic_weighted_f1",
-            ratio_or_zero(F.col("f1_mass"), cm.rows()),
+            ratio_or_zero(F.col("f1_mass"), F.col("rows")),
         ),
     ]
     one_topic = [
         _entry("topic", F.col(topic), "quadratic_weighted_kappa", quadratic_weighted_kappa()),
-        _entry("topic", F.col(topic), "macro_f1", macro(f1)),
-        _entry("topic", F.col(topic), "weighted_f1", weighted(f1)),
-        _entry("topic", F.col(topic), "support", cm.rows()),
+        _entry("topic", F.col(topic), "macro_f1", macro("f1")),
+        _entry("topic", F.col(topic), "weighted_f1", weighted("f1")),
+        _entry("topic", F.col(topic), "support", F.col("rows")),
     ]
-    return levels.select(
+    return measured(levels).select(
         F.inline(
             F.when(F.col("is_total") == 1, F.array(*whole)).otherwise(F.array(*one_topic))
         )

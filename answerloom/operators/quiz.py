@@ -147,16 +147,16 @@ def long_answers(
     kept = merged.filter(keep_group(F.col("participant"))).select(
         "participant", *[text.alias(section) for section, text in texts.items()]
     )
-    cut = [
-        F.struct(
-            F.lit(f"{section}_{x}").alias("task"),
-            find_subtask(F.col(section), x, section).alias("found"),
-        )
-        for section, letters in fv.QUIZ_LETTERS.items()
-        for x in letters
-    ]
-    answers = kept.select("participant", F.inline(F.array(*cut))).select(
-        "participant", "task", strip_boilerplate(tidy_subtask(F.col("found"))).alias("student_answer")
+    # Tasks are unfolded first and each row extracts its own one, so a reader
+    # of the tasks alone extracts nothing.
+    found = None
+    for section, letters in fv.QUIZ_LETTERS.items():
+        for x in letters:
+            here = F.col("task") == f"{section}_{x}"
+            part = find_subtask(F.col(section), x, section)
+            found = F.when(here, part) if found is None else found.when(here, part)
+    answers = kept.withColumn("task", F.explode(F.array(*[F.lit(t) for t in SUBTASKS]))).select(
+        "participant", "task", strip_boilerplate(tidy_subtask(found)).alias("student_answer")
     )
     graded = answers.join(
         points.select("participant", F.col("subtask").alias("task"), "points"),
