@@ -15,22 +15,23 @@ def hash_rank(df: DataFrame, keys, hashed: str, ties, name="rank", digits: int =
     bucket its offset: at most 16**digits rows per group. A group that holds
     most of the table is therefore ranked by many tasks.
     """
-    keys = list(keys)
-    bucketed = df.withColumn("_bucket", F.substring(hashed, 1, digits))
+    # One text per group, never NULL, so that groups with NULL keys join too.
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    bucketed = df.withColumns({"_group": group, "_bucket": F.substring(hashed, 1, digits)})
     before = (
-        Window.partitionBy(*keys)
+        Window.partitionBy("_group")
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        bucketed.groupBy(*keys, "_bucket")
+        bucketed.groupBy("_group", "_bucket")
         .agg(F.count("*").alias("_size"))
         .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .drop("_size")
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(hashed, *ties)
+    inside = Window.partitionBy("_group", "_bucket").orderBy(hashed, *ties)
     placed = bucketed.withColumn("_place", F.row_number().over(inside))
-    return placed.join(offsets, [*keys, "_bucket"]).select(
+    return placed.join(offsets, ["_group", "_bucket"]).select(
         *df.columns, (F.col("_offset") + F.col("_place")).alias(name)
     )
 

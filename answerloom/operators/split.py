@@ -117,7 +117,7 @@ def quota_split(tasks: DataFrame, seed: int = fv.SEED) -> DataFrame:
     """(task_id, topic, split) by hash order alone: exact quotas, no balancing."""
     hashed = tasks.select("task_id", "topic", order_hash(F.col("task_id"), seed).alias("hashed"))
     ranked = hash_rank(hashed, ["topic"], "hashed", ["task_id"])
-    sizes = tasks.groupBy("topic").agg(F.count("*").alias("n_topic"))
+    sizes = tasks.groupBy(F.col("topic").alias("s_topic")).agg(F.count("*").alias("n_topic"))
     quota = held_out_quota(F.col("n_topic"))
     train = F.col("n_topic") - 2 * quota
     split = (
@@ -125,7 +125,9 @@ def quota_split(tasks: DataFrame, seed: int = fv.SEED) -> DataFrame:
         .when(F.col("rank") <= train + quota, "val")
         .otherwise("test")
     )
-    return ranked.join(sizes, "topic").select("task_id", "topic", split.alias("split"))
+    return ranked.join(sizes, F.col("topic").eqNullSafe(F.col("s_topic"))).select(
+        "task_id", "topic", split.alias("split")
+    )
 
 
 def split_by_task(answers: DataFrame, seed: int = fv.SEED, balanced: bool = True) -> DataFrame:
