@@ -11,6 +11,7 @@ def semicolon_csv(
 ) -> DataFrame:
     """Semicolon CSV with a header; quoted fields may hold ; " and line breaks.
 
+    Empty fields are NULL, quoted or not.
     Files read with `multi_line` are not split over tasks. Turn off where
     fields hold no line breaks, or convert to Parquet once (`to_parquet`).
     """

@@ -4,9 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def semicolon_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).csv(
-        path, sep=";", header=True, quote='"', escape='"', quoteAll=False, emptyValue='""'
-    )
+    df.write.mode(mode).csv(path, sep=";", header=True, quote='"', escape='"')
 
 
 def to_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
