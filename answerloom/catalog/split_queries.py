@@ -130,13 +130,13 @@ _QUOTA_SPLIT = """SELECT task_id, topic, CASE WHEN pos <= n - 2*q THEN 'train'
              WHEN pos <= n - q THEN 'val' ELSE 'test' END AS split FROM quotas"""
 
 QUERIES["X2b_quota_split"] = (
-    lambda s, d: xs.quota_split(ds.task_label_counts(v.answers(s, d))),
+    lambda s, d: xs.split_by_task(v.answers(s, d), balanced=False),
     "WITH " + ", ".join([v.ANSWERS, _TASKS, _QUOTA]) + " " + _QUOTA_SPLIT,
 )
 
 QUERIES["J4_answers_with_split"] = (
     lambda s, d: xs.with_split(
-        v.answers(s, d), xs.quota_split(ds.task_label_counts(v.answers(s, d)))
+        v.answers(s, d), xs.split_by_task(v.answers(s, d), balanced=False)
     ).select("row_id", "task_id", "topic", "split"),
     "WITH " + ", ".join([v.ANSWERS, _TASKS, _QUOTA]) + f""", assigned AS ({_QUOTA_SPLIT})
     SELECT row_id, task_id, answers.topic, split FROM answers JOIN assigned USING (task_id)""",
@@ -188,7 +188,7 @@ def _walk_sql():
 
 
 QUERIES["X2a_balanced_split"] = (
-    lambda s, d: xs.balanced_split(ds.task_label_counts(v.answers(s, d))),
+    lambda s, d: xs.split_by_task(v.answers(s, d)),
     "WITH RECURSIVE " + ", ".join([v.ANSWERS, _TASKS, _QUOTA, _TARGETS, _walk_sql()])
     + " SELECT task_id, topic, split FROM walk WHERE pos > 0",
 )

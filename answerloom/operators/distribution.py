@@ -12,9 +12,7 @@ from answerloom.functions.basics import ratio_or_zero, total
 CODES = fv.CLASS_CODES
 
 
-def _class_counts(label: str, weight: str | None = None) -> list[Column]:
-    if weight:
-        return [F.sum(f"{weight}_{c}").alias(f"n_{c}") for c in CODES]
+def _class_counts(label: str) -> list[Column]:
     return [F.count_if(F.col(label) == c).alias(f"n_{c}") for c in CODES]
 
 
@@ -42,13 +40,16 @@ def class_counts(df: DataFrame, keys=(), label: str = "y_true") -> DataFrame:
 def task_label_counts(df: DataFrame, task="task_id", topic="topic", label="y_true") -> DataFrame:
     """One row per task: its topic and the number of answers per class.
 
-    A task's topic is the smallest one it occurs with; `topics` tells where
-    that hides a conflict.
+    A task's topic is the smallest one it occurs with; `topic_conflict` tells
+    where that hides another. Answers are counted per (task, topic) first: the
+    smallest text is then sought among a task's few topics, where sorting
+    costs nothing, and not among all its answers.
     """
-    return df.groupBy(task).agg(
+    pairs = df.groupBy(task, topic).agg(*_class_counts(label))
+    return pairs.groupBy(task).agg(
         F.min(topic).alias(topic),
         (F.min(topic) != F.max(topic)).alias("topic_conflict"),
-        *_class_counts(label),
+        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in CODES],
     )
 
 

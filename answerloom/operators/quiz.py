@@ -175,8 +175,11 @@ def long_answers(
 
 
 def to_answers(quiz: DataFrame, existing: DataFrame) -> DataFrame:
-    """Long quiz rows as answers, with new task ids; rows that cannot be
-    labelled carry a reject_reason instead of ending the job."""
+    """Long quiz rows as answers, with new task ids.
+
+    Rows that cannot be labelled carry a reject_reason instead of ending the
+    job.
+    """
     rows = drop_header_rows(quiz)
     ids = allocate_ids(existing, rows)
     label = try_points_label(F.col("points"))

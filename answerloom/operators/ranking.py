@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from answerloom.session import shared_folder
+from answerloom.session import settle
 
 _PLACE_BITS = 33
 
@@ -39,15 +39,12 @@ def hash_rank(df: DataFrame, keys, hashed: str, ties, name="rank", digits: int =
 def sorted_rank(df: DataFrame, order, name="rank") -> DataFrame:
     """Rank from 1 over the whole table in sort order.
 
-    The table is range-partitioned by the sort, written to the checkpoint
-    folder so that its partitions stay as they are, and every partition
-    continues where the previous one ended. The per-partition counts are one
-    row per partition.
+    The table is range-partitioned by the sort, its rows are numbered inside
+    their partition and written once, so that they stay where they are, and
+    every partition continues where the previous one ended. The counts are
+    one row per partition.
     """
-    shared_folder(df.sparkSession)
-    placed = (
-        df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    )
+    placed = settle(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", _PLACE_BITS)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

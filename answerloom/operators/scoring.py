@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from answerloom.functions.text import prompt
+from answerloom.session import settle
 
 GROUP_LIMIT = 1000
 
@@ -95,14 +96,24 @@ def answer_groups(
     share, whatever the size of a question. Rows without a key are left out.
     """
     keyed = df.filter(F.col(key).isNotNull())
-    large = (
+    # The few large questions are found first, from the key column alone.
+    # Their number is known when the answers are read, which then are shuffled
+    # once, by question and share.
+    large = settle(
         keyed.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-        .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / limit).alias("_shares"))
+        .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / limit).alias("_shares")),
+        "large-questions",
     )
     share = F.coalesce(
         F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.col("_shares")), F.lit(0)
     )
-    dealt = keyed.join(large, F.col(key) == F.col("_key"), "left").withColumn("share", share)
+    # By share as well: if the join above is one by key, its tasks would
+    # otherwise go on with all shares of a question.
+    dealt = (
+        keyed.join(large, F.col(key) == F.col("_key"), "left")
+        .withColumn("share", share)
+        .repartition(key, "share")
+    )
     inside = Window.partitionBy(key, "share").orderBy(order, row_id)
     numbered = dealt.withColumn(
         "part", F.floor((F.row_number().over(inside) - 1) / limit)

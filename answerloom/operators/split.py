@@ -8,6 +8,7 @@ from answerloom import fixed_values as fv
 from answerloom.functions.hashing import hash_uniform, order_hash
 from answerloom.operators.distribution import task_label_counts
 from answerloom.operators.ranking import hash_rank
+from answerloom.session import settle
 
 CODES = fv.CLASS_CODES
 
@@ -131,9 +132,16 @@ def quota_split(tasks: DataFrame, seed: int = fv.SEED) -> DataFrame:
 
 
 def split_by_task(answers: DataFrame, seed: int = fv.SEED, balanced: bool = True) -> DataFrame:
-    """Task assignment for an answers table (columns task_id, topic, y_true)."""
-    tasks = task_label_counts(answers)
-    return balanced_split(tasks, seed) if balanced else quota_split(tasks, seed)
+    """Task assignment for an answers table (columns task_id, topic, y_true).
+
+    The per-task counts are needed several times and are written once, so
+    that the answers are read once. The assignment is written as well: with
+    its size known, a join of the answers with it needs no shuffle of the
+    answers as long as it is small enough to broadcast.
+    """
+    tasks = settle(task_label_counts(answers), "task-counts")
+    assigned = balanced_split(tasks, seed) if balanced else quota_split(tasks, seed)
+    return settle(assigned, "split")
 
 
 def with_split(answers: DataFrame, assignment: DataFrame) -> DataFrame:

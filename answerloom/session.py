@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, name: str = "answerloom") -> SparkSession:
@@ -25,16 +25,32 @@ def local_session(cpus: int = 8, name: str = "answerloom") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where none is set."""
+    """The folder the cluster shares, as named in spark.checkpoint.dir.
+
+    Where none is named, a local session gets a temporary one.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="answerloom-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """The same rows, computed once: written to the shared folder and read back.
+
+    For tables that are small next to their input and are used several times.
+    Their size is known from then on, so Spark broadcasts them in joins only
+    if they are below its limit, and shuffles them otherwise.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
