@@ -133,7 +133,7 @@ QUERIES["A10_confusion_matrix_labels_present"] = (
 
 QUERIES["A11_accuracy"] = (
     lambda s, d: mt.measured(cm.cells(v.answers(s, d), ["topic"])).select(
-        "topic", F.round(mt.accuracy(), 9).alias("accuracy")
+        "topic", F.round(mt.metric("accuracy"), 9).alias("accuracy")
     ),
     "WITH " + v.ANSWERS + """
     SELECT topic, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy
@@ -167,9 +167,9 @@ QUERIES["A12_absent_classes_by_label_id"] = (
 QUERIES["A13_macro_averages"] = (
     lambda s, d: mt.measured(cm.cells(v.answers(s, d), ["topic", "priority"])).select(
         "topic", "priority",
-        F.round(mt.macro("precision"), 9).alias("macro_precision"),
-        F.round(mt.macro("recall"), 9).alias("macro_recall"),
-        F.round(mt.macro("f1"), 9).alias("macro_f1"),
+        F.round(mt.metric("macro_precision"), 9).alias("macro_precision"),
+        F.round(mt.metric("macro_recall"), 9).alias("macro_recall"),
+        F.round(mt.metric("macro_f1"), 9).alias("macro_f1"),
     ),
     "WITH " + measured(v.ANSWERS, "topic, priority") + f"""
     SELECT topic, priority, {_r(_mean('prec'), 'macro_precision')},
@@ -179,7 +179,7 @@ QUERIES["A13_macro_averages"] = (
 # One task has few answers, so classes are often absent: macro over present ones.
 QUERIES["A13_macro_over_present_labels"] = (
     lambda s, d: mt.measured(cm.cells(v.answers(s, d), ["task_id"])).select(
-        "task_id", F.round(mt.macro("f1"), 9).alias("macro_f1")
+        "task_id", F.round(mt.metric("macro_f1"), 9).alias("macro_f1")
     ),
     "WITH " + measured(v.ANSWERS, "task_id") + f"""
     SELECT task_id, {_r(_mean('f'), 'macro_f1')} FROM m""",
@@ -188,9 +188,9 @@ QUERIES["A13_macro_over_present_labels"] = (
 QUERIES["A14_weighted_averages"] = (
     lambda s, d: mt.measured(cm.cells(v.answers(s, d), ["topic", "priority"])).select(
         "topic", "priority",
-        F.round(mt.weighted("precision"), 9).alias("weighted_precision"),
-        F.round(mt.weighted("recall"), 9).alias("weighted_recall"),
-        F.round(mt.weighted("f1"), 9).alias("weighted_f1"),
+        F.round(mt.metric("weighted_precision"), 9).alias("weighted_precision"),
+        F.round(mt.metric("weighted_recall"), 9).alias("weighted_recall"),
+        F.round(mt.metric("weighted_f1"), 9).alias("weighted_f1"),
     ),
     "WITH " + measured(v.ANSWERS, "topic, priority") + f"""
     SELECT topic, priority, {_r(_weighted('prec'), 'weighted_precision')},
@@ -199,7 +199,7 @@ QUERIES["A14_weighted_averages"] = (
 
 QUERIES["A15_quadratic_weighted_kappa"] = (
     lambda s, d: mt.measured(cm.cells(v.answers(s, d), ["task_id"])).select(
-        "task_id", F.round(mt.quadratic_weighted_kappa(), 9).alias("quadratic_weighted_kappa")
+        "task_id", F.round(mt.metric("quadratic_weighted_kappa"), 9).alias("quadratic_weighted_kappa")
     ),
     "WITH " + measured(v.ANSWERS, "task_id") + f"""
     SELECT task_id, {_r(_QWK, 'quadratic_weighted_kappa')} FROM m""",
@@ -207,7 +207,7 @@ QUERIES["A15_quadratic_weighted_kappa"] = (
 
 QUERIES["A16_naive_majority_macro_f1"] = (
     lambda s, d: mt.measured(cm.cells(v.answers(s, d), ["task_id"])).select(
-        "task_id", F.round(mt.naive_macro_f1(), 9).alias("macro_f1_naive")
+        "task_id", F.round(mt.metric("macro_f1_naive"), 9).alias("macro_f1_naive")
     ),
     "WITH " + v.ANSWERS + """, n AS (
       SELECT task_id, y_true, count(*) AS n FROM answers GROUP BY ALL),

@@ -5,10 +5,9 @@ aggregation shrinks each input partition to that size before the shuffle, so
 a key that holds most of the rows costs no more than any other.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from answerloom import fixed_values as fv
-from answerloom.functions.basics import total
 
 CODES = fv.CLASS_CODES
 
@@ -31,15 +30,16 @@ def cells(df: DataFrame, keys=(), y_true="y_true", y_pred="y_pred") -> DataFrame
     A prediction that is NULL or no class code leaves its row unscored. A row
     without a valid true class is only counted in `no_truth`.
     """
-    t, p = F.col(y_true), F.col(y_pred)
-    scored = F.coalesce(p.isin(*CODES), F.lit(False))
-    known = F.coalesce(t.isin(*CODES), F.lit(False))
-    counts = [
-        F.count_if((t == i) & (p == j)).alias(cell(i, j)) for i in CODES for j in CODES
-    ]
-    counts += [F.count_if((t == i) & ~scored).alias(unscored(i)) for i in CODES]
-    counts.append(F.count_if(~known).alias("no_truth"))
-    return df.groupBy(*keys).agg(*counts)
+    codes = ", ".join(map(str, CODES))
+    scored = f"coalesce(`{y_pred}` IN ({codes}), false)"
+    counts = {
+        cell(t, p): f"`{y_true}` = {t} AND `{y_pred}` = {p}" for t in CODES for p in CODES
+    }
+    counts |= {unscored(t): f"`{y_true}` = {t} AND NOT {scored}" for t in CODES}
+    counts["no_truth"] = f"NOT coalesce(`{y_true}` IN ({codes}), false)"
+    return df.groupBy(*keys).agg(
+        *[F.expr(f"count_if({condition}) AS {name}") for name, condition in counts.items()]
+    )
 
 
 def merge_cells(counts: DataFrame, keys=()) -> DataFrame:
@@ -47,59 +47,51 @@ def merge_cells(counts: DataFrame, keys=()) -> DataFrame:
     return counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
 
 
-def with_overall(counts: DataFrame, key: str) -> DataFrame:
+def with_overall(counts: DataFrame, key: str, extra=()) -> DataFrame:
     """The given rows (scope = the key's name) and their sum (scope overall)."""
-    sums = [F.sum(c).alias(c) for c in COUNT_COLUMNS]
-    return (
-        counts.rollup(key)
-        .agg(F.grouping(key).alias("is_total"), *sums)
-        .select(
-            F.when(F.col("is_total") == 1, "overall").otherwise(key).alias("scope"),
-            F.when(F.col("is_total") == 1, "overall").otherwise(F.col(key)).alias("key"),
-            *COUNT_COLUMNS,
-        )
+    columns = [*COUNT_COLUMNS, *extra]
+    levels = counts.rollup(key).agg(
+        F.grouping(key).alias("is_total"), *[F.sum(c).alias(c) for c in columns]
+    )
+    return levels.selectExpr(
+        f"if(is_total = 1, 'overall', '{key}') AS scope",
+        f"if(is_total = 1, 'overall', CAST(`{key}` AS STRING)) AS key",
+        *columns,
     )
 
 
 def with_marginals(counts: DataFrame) -> DataFrame:
     """Add per class `support_c` (true rows, scored or not), `predicted_c`,
     and the numbers of all rows and of scored rows."""
-    sums = {}
+    sums = []
     for c in CODES:
-        sums[f"support_{c}"] = total([F.col(cell(c, p)) for p in CODES]) + F.col(unscored(c))
-        sums[f"predicted_{c}"] = total([F.col(cell(t, c)) for t in CODES])
-    return counts.withColumns(sums).withColumns(
-        {
-            "rows": total([F.col(f"support_{c}") for c in CODES]),
-            "scored": total([F.col(f"predicted_{c}") for c in CODES]),
-        }
+        true = [cell(c, p) for p in CODES] + [unscored(c)]
+        sums.append(f"{' + '.join(true)} AS support_{c}")
+        sums.append(f"{' + '.join(cell(t, c) for t in CODES)} AS predicted_{c}")
+    return counts.selectExpr("*", *sums).selectExpr(
+        "*",
+        f"{' + '.join(f'support_{c}' for c in CODES)} AS rows",
+        f"{' + '.join(f'predicted_{c}' for c in CODES)} AS scored",
     )
 
 
-def present(c: int) -> Column:
-    """Whether a class occurs as true or as predicted class (after with_marginals)."""
-    return F.col(f"support_{c}") + F.col(f"predicted_{c}") > 0
-
-
 def confusion_matrix(counts: DataFrame, keys=(), present_only: bool = False) -> DataFrame:
     """Long matrix: one row per key, true class and predicted class.
 
     With `present_only`, classes that occur neither as true nor as predicted
     class are left out.
     """
-    pairs = [
-        F.struct(
-            F.lit(t).alias("y_true"),
-            F.lit(p).alias("y_pred"),
-            F.lit(fv.DISPLAY_LABELS[t]).alias("true_label"),
-            F.lit(fv.DISPLAY_LABELS[p]).alias("predicted_label"),
-            F.col(cell(t, p)).alias("n"),
-            (present(t) & present(p)).alias("present"),
-        )
+    def occurs(c):
+        return f"support_{c} + predicted_{c} > 0"
+
+    rows = [
+        f"named_struct('y_true', {t}, 'y_pred', {p}, 'true_label', '{fv.DISPLAY_LABELS[t]}', "
+        f"'predicted_label', '{fv.DISPLAY_LABELS[p]}', 'n', {cell(t, p)}, "
+        f"'present', {occurs(t)} AND {occurs(p)})"
         for t in CODES
         for p in CODES
     ]
-    matrix = with_marginals(counts).select(*keys, F.inline(F.array(*pairs)))
+    matrix = with_marginals(counts).select(*keys, F.expr(f"inline(array({', '.join(rows)}))"))
     if present_only:
         matrix = matrix.filter("present")
     return matrix.drop("present")

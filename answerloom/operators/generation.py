@@ -7,7 +7,7 @@ so. Failed and short replies go to a rejects table instead of ending the job.
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from answerloom import fixed_values as fv
@@ -99,11 +99,11 @@ def _call(inputs: DataFrame, make_generator: Callable, arguments, reply: str) ->
         ]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         generate = make_generator()
         for batch in batches:
             replies, errors = [], []
-            for values in zip(*[batch[a] for a in arguments]):
+            for values in zip(*[batch.column(a).to_pylist() for a in arguments]):
                 try:
                     given = generate(*values)
                     replies.append([given] if reply == "one" else list(given))
@@ -111,9 +111,16 @@ def _call(inputs: DataFrame, make_generator: Callable, arguments, reply: str) ->
                 except Exception as error:
                     replies.append(None)
                     errors.append(f"{type(error).__name__}: {error}")
-            yield batch.assign(reply=replies, error=errors)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array(replies, pa.list_(pa.string())),
+                    pa.array(errors, pa.string()),
+                ],
+                [*batch.schema.names, "reply", "error"],
+            )
 
-    return inputs.mapInPandas(run, schema)
+    return inputs.mapInArrow(run, schema)
 
 
 def generate_single(tasks, quotas, make_generator, pass_reference=None) -> DataFrame:

@@ -3,172 +3,152 @@
 Nothing here reads predictions or joins: each metric is an expression over
 the one row per key that `confusion.cells` leaves. `measured` computes the
 per-class values once; the averages refer to them by column name.
+
+Expressions are SQL texts, so that a report of many values is still built in
+a few calls.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom import fixed_values as fv
-from answerloom.functions.basics import ratio_or_zero, total
 from answerloom.functions.hashing import hash_uniform
 from answerloom.operators import confusion as cm
 
 CODES = fv.CLASS_CODES
-SUMMARY = (
-    "accuracy",
-    "quadratic_weighted_kappa",
-    "macro_precision",
-    "macro_recall",
-    "macro_f1",
-    "macro_f1_naive",
-    "weighted_precision",
-    "weighted_recall",
-    "weighted_f1",
-)
 
 
-def measured(counts: DataFrame) -> DataFrame:
-    """Counts with marginals and precision_c, recall_c, f1_c of each class.
+def _sum(terms) -> str:
+    return "(" + " + ".join(terms) + ")"
 
-    A value whose denominator is 0 is 0. `classes` is the number of classes
-    that occur as true or as predicted class.
-    """
-    values = {"classes": total([cm.present(c).cast("int") for c in CODES])}
-    for c in CODES:
-        hits, true, guessed = (
-            F.col(cm.cell(c, c)), F.col(f"support_{c}"), F.col(f"predicted_{c}")
-        )
-        values[f"precision_{c}"] = ratio_or_zero(hits, guessed)
-        values[f"recall_{c}"] = ratio_or_zero(hits, true)
-        values[f"f1_{c}"] = ratio_or_zero(2 * hits, true + guessed)
-    return cm.with_marginals(counts).withColumns(values)
 
+def _ratio(part: str, whole: str) -> str:
+    """part / whole, 0 where the whole is 0."""
+    return f"coalesce(CAST({part} AS DOUBLE) / nullif({whole}, 0), 0D)"
 
-def accuracy() -> Column:
-    return ratio_or_zero(total([F.col(cm.cell(c, c)) for c in CODES]), F.col("rows"))
 
+def _macro(metric: str) -> str:
+    return _ratio(_sum(f"{metric}_{c}" for c in CODES), "classes")
 
-def macro(metric: str) -> Column:
-    """Plain mean over the classes that occur; the others contribute 0."""
-    return ratio_or_zero(total([F.col(f"{metric}_{c}") for c in CODES]), F.col("classes"))
 
+def _weighted(metric: str) -> str:
+    return _ratio(_sum(f"support_{c} * {metric}_{c}" for c in CODES), "rows")
 
-def weighted(metric: str) -> Column:
-    """Mean weighted by the number of rows of each true class."""
-    mass = total([F.col(f"support_{c}") * F.col(f"{metric}_{c}") for c in CODES])
-    return ratio_or_zero(mass, F.col("rows"))
+
+def _kappa() -> str:
+    pairs = [(t, p, (t - p) ** 2) for t in CODES for p in CODES if t != p]
+    observed = _sum(f"{d} * {cm.cell(t, p)}" for t, p, d in pairs)
+    expected = _sum(
+        f"{d} * CAST(support_{t} - {cm.unscored(t)} AS DOUBLE) * predicted_{p}"
+        for t, p, d in pairs
+    )
+    return f"1 - {observed} * CAST(scored AS DOUBLE) / nullif({expected}, 0)"
 
 
-def quadratic_weighted_kappa() -> Column:
-    """Agreement beyond chance, with squared class distance; NULL if undefined.
+def _naive() -> str:
+    largest = f"greatest({', '.join(f'support_{c}' for c in CODES)})"
+    classes = _sum(f"CAST(support_{c} > 0 AS INT)" for c in CODES)
+    return _ratio(f"2 * {largest}", f"(({largest} + rows) * {classes})")
 
-    Only scored rows count. Codes 0, 1, 2 are their own ranks, so distances
-    stay right when a class is absent.
+
+# Overall metrics by name, over the columns of `measured`.
+OVERALL = {
+    "accuracy": _ratio(_sum(cm.cell(c, c) for c in CODES), "rows"),
+    "quadratic_weighted_kappa": _kappa(),
+    "macro_precision": _macro("precision"),
+    "macro_recall": _macro("recall"),
+    "macro_f1": _macro("f1"),
+    "macro_f1_naive": _naive(),
+    "weighted_precision": _weighted("precision"),
+    "weighted_recall": _weighted("recall"),
+    "weighted_f1": _weighted("f1"),
+    "support": "rows",
+    "unscored": _sum(cm.unscored(c) for c in CODES),
+}
+SUMMARY = tuple(m for m in OVERALL if m not in ("support", "unscored"))
+PER_TOPIC = ("quadratic_weighted_kappa", "macro_f1", "weighted_f1", "support")
+
+
+def measured(counts: DataFrame) -> DataFrame:
+    """Counts with marginals and precision_c, recall_c, f1_c of each class.
+
+    A value whose denominator is 0 is 0. `classes` is the number of classes
+    that occur as true or as predicted class.
     """
-    pairs = [(t, p) for t in CODES for p in CODES if t != p]
-    observed = total([F.col(cm.cell(t, p)) * (t - p) ** 2 for t, p in pairs])
-    expected = total(
-        [
-            (F.col(f"support_{t}") - F.col(cm.unscored(t))).cast("double")
-            * F.col(f"predicted_{p}")
-            * (t - p) ** 2
-            for t, p in pairs
+    values = [
+        _sum(f"CAST(support_{c} + predicted_{c} > 0 AS INT)" for c in CODES) + " AS classes"
+    ]
+    for c in CODES:
+        hits = cm.cell(c, c)
+        values += [
+            f"{_ratio(hits, f'predicted_{c}')} AS precision_{c}",
+            f"{_ratio(hits, f'support_{c}')} AS recall_{c}",
+            f"{_ratio(f'2 * {hits}', f'(support_{c} + predicted_{c})')} AS f1_{c}",
         ]
-    )
-    chance = F.nullif(expected, F.lit(0.0))
-    return 1 - observed * F.col("scored").cast("double") / chance
+    return cm.with_marginals(counts).selectExpr("*", *values)
 
 
-def naive_macro_f1() -> Column:
-    """Macro F1 of always answering the most frequent true class."""
-    supports = [F.col(f"support_{c}") for c in CODES]
-    largest = F.greatest(*supports).cast("double")
-    classes = total([(s > 0).cast("int") for s in supports])
-    return ratio_or_zero(2 * largest, (largest + F.col("rows")) * classes)
+def metric(name: str) -> Column:
+    """One of the overall metrics, as a column over `measured`.
+
+    Macro averages are plain means over the classes that occur; weighted ones
+    go by the number of rows of each true class. Kappa looks at scored rows
+    only and is NULL where it is undefined; class codes are their own ranks,
+    so its distances stay right when a class is absent. The naive F1 is that
+    of always answering the most frequent true class.
+    """
+    return F.expr(OVERALL[name]).alias(name)
 
 
 def summary(counts: DataFrame, keys=()) -> DataFrame:
     """One wide row per key with all overall metrics."""
-    return measured(counts).select(
-        *keys,
-        accuracy().alias("accuracy"),
-        quadratic_weighted_kappa().alias("quadratic_weighted_kappa"),
-        macro("precision").alias("macro_precision"),
-        macro("recall").alias("macro_recall"),
-        macro("f1").alias("macro_f1"),
-        naive_macro_f1().alias("macro_f1_naive"),
-        weighted("precision").alias("weighted_precision"),
-        weighted("recall").alias("weighted_recall"),
-        weighted("f1").alias("weighted_f1"),
-        F.col("rows").alias("support"),
-        total([F.col(cm.unscored(c)) for c in CODES]).alias("unscored"),
-        F.col("no_truth"),
-    )
+    return measured(counts).select(*keys, *[metric(m) for m in OVERALL], "no_truth")
 
 
 def training_metrics(counts: DataFrame, keys=()) -> DataFrame:
     """The short set watched during training."""
-    return measured(counts).select(
-        *keys,
-        accuracy().alias("accuracy"),
-        macro("f1").alias("macro_f1"),
-        weighted("f1").alias("weighted_f1"),
-    )
+    short = ("accuracy", "macro_f1", "weighted_f1")
+    return measured(counts).select(*keys, *[metric(m) for m in short])
 
 
 def per_class(counts: DataFrame, keys=()) -> DataFrame:
     """One row per key and class, keyed by class code; absent classes are 0."""
     rows = [
-        F.struct(
-            F.lit(c).alias("label"),
-            F.lit(fv.LABEL_NAMES[c]).alias("label_name"),
-            F.col(f"precision_{c}").alias("precision"),
-            F.col(f"recall_{c}").alias("recall"),
-            F.col(f"f1_{c}").alias("f1"),
-            F.col(f"support_{c}").alias("support"),
-        )
+        f"named_struct('label', {c}, 'label_name', '{fv.LABEL_NAMES[c]}', "
+        f"'precision', precision_{c}, 'recall', recall_{c}, 'f1', f1_{c}, 'support', support_{c})"
         for c in CODES
     ]
-    return measured(counts).select(*keys, F.inline(F.array(*rows)))
+    return measured(counts).select(*keys, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def classification_report(counts: DataFrame, keys=()) -> DataFrame:
     """Per-class rows, then accuracy, macro avg and weighted avg."""
-    def line(name, p, r, f, n):
-        return F.struct(
-            F.lit(name).alias("line"),
-            p.cast("double").alias("precision"),
-            r.cast("double").alias("recall"),
-            f.alias("f1"),
-            n.alias("support"),
+    def line(name, precision, recall, f1, support):
+        return (
+            f"named_struct('line', '{name}', 'precision', {precision}, 'recall', {recall}, "
+            f"'f1', {f1}, 'support', {support})"
         )
 
+    nothing = "CAST(NULL AS DOUBLE)"
     lines = [
-        line(fv.LABEL_NAMES[c], F.col(f"precision_{c}"), F.col(f"recall_{c}"), F.col(f"f1_{c}"), F.col(f"support_{c}")) for c in CODES
-    ]
-    lines += [
-        line("accuracy", F.lit(None), F.lit(None), accuracy(), F.col("rows")),
-        line("macro avg", macro("precision"), macro("recall"), macro("f1"), F.col("rows")),
-        line("weighted avg", weighted("precision"), weighted("recall"), weighted("f1"), F.col("rows")),
+        line(fv.LABEL_NAMES[c], f"precision_{c}", f"recall_{c}", f"f1_{c}", f"support_{c}")
+        for c in CODES
     ]
-    return measured(counts).select(*keys, F.inline(F.array(*lines)))
+    lines.append(line("accuracy", nothing, nothing, OVERALL["accuracy"], "rows"))
+    for kind in ("macro", "weighted"):
+        values = [OVERALL[f"{kind}_{m}"] for m in ("precision", "recall", "f1")]
+        lines.append(line(f"{kind} avg", *values, "rows"))
+    return measured(counts).select(*keys, F.expr(f"inline(array({', '.join(lines)}))"))
 
 
 def per_topic(counts: DataFrame, topic: str = "topic") -> DataFrame:
     """Kappa, macro F1, weighted F1 and support of each topic."""
-    return measured(counts).select(
-        topic,
-        quadratic_weighted_kappa().alias("quadratic_weighted_kappa"),
-        macro("f1").alias("macro_f1"),
-        weighted("f1").alias("weighted_f1"),
-        F.col("rows").alias("support"),
-    )
+    return measured(counts).select(topic, *[metric(m) for m in PER_TOPIC])
 
 
 def overall_topic_f1(counts: DataFrame) -> DataFrame:
     """Mean of the topics' weighted F1, weighted by topic size."""
-    topics = measured(counts).select(weighted("f1").alias("f"), F.col("rows").alias("n"))
-    return topics.agg(
-        (F.sum(F.col("f") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias(
+    return measured(counts).agg(
+        F.expr(f"sum({OVERALL['weighted_f1']} * rows) / nullif(sum(rows), 0)").alias(
             "overall_topic_weighted_f1"
         )
     )
@@ -177,14 +157,11 @@ def overall_topic_f1(counts: DataFrame) -> DataFrame:
 def flagship(predictions: DataFrame, topic: str = "topic") -> DataFrame:
     """Overall and per-topic metrics from one pass over the predictions."""
     both = cm.with_overall(cm.cells(predictions, [topic]), topic)
-    return measured(both).select(
-        "scope",
-        "key",
-        F.round(macro("f1"), 9).alias("macro_f1"),
-        F.round(weighted("f1"), 9).alias("weighted_f1"),
-        F.round(quadratic_weighted_kappa(), 9).alias("quadratic_weighted_kappa"),
-        F.col("rows").alias("support"),
-    )
+    rounded = [
+        f"round({OVERALL[m]}, 9) AS {m}"
+        for m in ("macro_f1", "weighted_f1", "quadratic_weighted_kappa")
+    ]
+    return measured(both).selectExpr("scope", "key", *rounded, "rows AS support")
 
 
 def random_predictions(df: DataFrame, row_id: str, y_true="y_true", seed=fv.SEED) -> DataFrame:
@@ -207,52 +184,26 @@ def random_predictions(df: DataFrame, row_id: str, y_true="y_true", seed=fv.SEED
 
 
 def random_macro_f1(df: DataFrame, row_id: str, y_true="y_true", seed=fv.SEED) -> DataFrame:
+    """Macro F1 of answering at random in proportion to the true classes."""
     drawn = random_predictions(df.select(row_id, y_true), row_id, y_true, seed)
-    return measured(cm.cells(drawn, y_true=y_true)).select(macro("f1").alias("macro_f1_random"))
-
-
-def to_long(wide: DataFrame, scope: Column, key: Column, metrics) -> DataFrame:
-    """Wide metric columns to rows (scope, key, metric, value); NULLs stay."""
-    pairs = [
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-        for m in metrics
-    ]
-    return wide.select(scope.alias("scope"), key.alias("key"), F.inline(F.array(*pairs)))
+    counts = cm.cells(drawn, y_true=y_true)
+    return measured(counts).select(metric("macro_f1").alias("macro_f1_random"))
 
 
-def _entry(scope: str, key, metric: str, value: Column) -> Column:
-    key = key if isinstance(key, Column) else F.lit(key)
-    return F.struct(
-        F.lit(scope).alias("scope"),
-        key.cast("string").alias("key"),
-        F.lit(metric).alias("metric"),
-        value.cast("double").alias("value"),
+def _entry(scope: str, key: str, name: str, value: str) -> str:
+    return (
+        f"named_struct('scope', '{scope}', 'key', {key}, 'metric', '{name}', "
+        f"'value', CAST({value} AS DOUBLE))"
     )
 
 
-def _overall_entries() -> list[Column]:
-    values = {
-        "accuracy": accuracy(),
-        "quadratic_weighted_kappa": quadratic_weighted_kappa(),
-        "macro_precision": macro("precision"),
-        "macro_recall": macro("recall"),
-        "macro_f1": macro("f1"),
-        "macro_f1_naive": naive_macro_f1(),
-        "weighted_precision": weighted("precision"),
-        "weighted_recall": weighted("recall"),
-        "weighted_f1": weighted("f1"),
-        "support": F.col("rows"),
-        "unscored": total([F.col(cm.unscored(c)) for c in CODES]),
-    }
-    entries = [_entry("overall", "overall", m, v) for m, v in values.items()]
+def _overall_entries() -> list[str]:
+    entries = [_entry("overall", "'overall'", m, x) for m, x in OVERALL.items()]
     for c in CODES:
-        for name, value in (
-            ("precision", F.col(f"precision_{c}")),
-            ("recall", F.col(f"recall_{c}")),
-            ("f1", F.col(f"f1_{c}")),
-            ("support", F.col(f"support_{c}")),
-        ):
-            entries.append(_entry("class", fv.LABEL_NAMES[c], name, value))
+        entries += [
+            _entry("class", f"'{fv.LABEL_NAMES[c]}'", m, f"{m}_{c}")
+            for m in ("precision", "recall", "f1", "support")
+        ]
     return entries
 
 
@@ -262,30 +213,17 @@ def long_report(predictions: DataFrame, topic: str | None = "topic") -> DataFram
     Scopes: overall, class, topic. The predictions are read and shuffled once;
     the overall level is the sum of the topics' cells.
     """
+    whole = _overall_entries()
     if topic is None:
-        return measured(cm.cells(predictions)).select(F.inline(F.array(*_overall_entries())))
+        return measured(cm.cells(predictions)).selectExpr(f"inline(array({', '.join(whole)}))")
     counts = measured(cm.cells(predictions, [topic])).withColumn(
-        "f1_mass", weighted("f1") * F.col("rows")
+        "f1_mass", F.expr(f"{OVERALL['weighted_f1']} * rows")
     )
-    levels = counts.rollup(topic).agg(
-        F.grouping(topic).alias("is_total"),
-        *[F.sum(c).alias(c) for c in [*cm.COUNT_COLUMNS, "f1_mass"]],
+    levels = measured(cm.with_overall(counts, topic, ["f1_mass"]))
+    whole.append(
+        _entry("overall", "'overall'", "overall_topic_weighted_f1", _ratio("f1_mass", "rows"))
     )
-    whole = [
-        *_overall_entries(),
-        _entry(
-            "overall", "overall", "overall_topic_weighted_f1",
-            ratio_or_zero(F.col("f1_mass"), F.col("rows")),
-        ),
-    ]
-    one_topic = [
-        _entry("topic", F.col(topic), "quadratic_weighted_kappa", quadratic_weighted_kappa()),
-        _entry("topic", F.col(topic), "macro_f1", macro("f1")),
-        _entry("topic", F.col(topic), "weighted_f1", weighted("f1")),
-        _entry("topic", F.col(topic), "support", F.col("rows")),
-    ]
-    return measured(levels).select(
-        F.inline(
-            F.when(F.col("is_total") == 1, F.array(*whole)).otherwise(F.array(*one_topic))
-        )
+    one = [_entry("topic", "key", m, OVERALL[m]) for m in PER_TOPIC]
+    return levels.selectExpr(
+        f"inline(if(scope = 'overall', array({', '.join(whole)}), array({', '.join(one)})))"
     )

@@ -6,8 +6,8 @@ from answerloom import fixed_values as fv
 from answerloom.functions.basics import case_map
 from answerloom.functions.labels import try_points_label, try_topic_of_task
 from answerloom.functions.text import (
-    clean_html, clean_remark, decimal_comma, find_loose, find_subtask, strip_boilerplate,
-    tidy_loose, tidy_subtask, unify_breaks,
+    clean_html, clean_remark, decimal_comma, find_loose, find_subtask, tidy_loose,
+    tidy_subtask, unify_breaks,
 )
 from answerloom.operators.ranking import allocate_ids
 from answerloom.operators.reshape import lettered_tasks, lookup, overlay, pivot_wide, sum_mismatches
@@ -136,7 +136,8 @@ def long_answers(
     """One row per participant and subtask, with answer, points and question.
 
     With `strip_prefix_first` boilerplate is removed while its line breaks are
-    still there; by default it is looked for after extraction. Missing points
+    still there. By default it is not: it would be looked for in the extracted
+    answers, which have no line breaks left for it to match. Missing points
     stay NULL.
     """
     texts = {section: clean_html(F.col(section)) for section in fv.QUIZ_LETTERS}
@@ -156,7 +157,7 @@ def long_answers(
             part = find_subtask(F.col(section), x, section)
             found = F.when(here, part) if found is None else found.when(here, part)
     answers = kept.withColumn("task", F.explode(F.array(*[F.lit(t) for t in SUBTASKS]))).select(
-        "participant", "task", strip_boilerplate(tidy_subtask(found)).alias("student_answer")
+        "participant", "task", tidy_subtask(found).alias("student_answer")
     )
     graded = answers.join(
         points.select("participant", F.col("subtask").alias("task"), "points"),

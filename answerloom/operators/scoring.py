@@ -10,7 +10,7 @@ calls its predictor again: write the scores once and read them back.
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from answerloom.functions.text import prompt
@@ -35,7 +35,15 @@ def repeat_runs(df: DataFrame, runs: int) -> DataFrame:
 
 
 def _label(value):
-    return None if value is None or pd.isna(value) else int(value)
+    """A class code, or None for nothing and for NaN."""
+    return None if value is None or value != value else int(value)
+
+
+def _extended(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
+    """The batch with further columns; the ones it has are passed on as they are."""
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns, *columns.values()], [*batch.schema.names, *columns]
+    )
 
 
 def score_rows(
@@ -49,25 +57,29 @@ def score_rows(
     If a batch fails, its rows are tried one by one, so an error costs only
     the rows that cause it: they get a NULL y_pred and the error's text.
     """
+    inputs = df.drop("y_pred", "error")
     schema = T.StructType(
-        [f for f in df.schema.fields if f.name not in ("y_pred", "error")]
-        + [T.StructField("y_pred", T.IntegerType()), T.StructField("error", T.StringType())]
+        [
+            *inputs.schema.fields,
+            T.StructField("y_pred", T.IntegerType()),
+            T.StructField("error", T.StringType()),
+        ]
     )
-    inputs = df.drop("y_pred", "error")
 
-    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = make_predictor()
         for batch in batches:
-            questions = batch["question"].tolist()
-            answers = batch["student_answer"].tolist()
-            references = (
-                batch["reference_answer"].tolist() if pass_reference else [None] * len(batch)
-            )
-            errors = [None] * len(batch)
+            questions = batch.column("question").to_pylist()
+            answers = batch.column("student_answer").to_pylist()
+            if pass_reference:
+                references = batch.column("reference_answer").to_pylist()
+            else:
+                references = [None] * len(questions)
+            errors = [None] * len(questions)
             try:
                 labels = [_label(x) for x in predict(questions, answers, references)]
-                if len(labels) != len(batch):
-                    raise ValueError(f"{len(labels)} labels for {len(batch)} answers")
+                if len(labels) != len(questions):
+                    raise ValueError(f"{len(labels)} labels for {len(questions)} answers")
             except Exception:
                 if fail_on_error:
                     raise
@@ -78,9 +90,11 @@ def score_rows(
                     except Exception as error:
                         labels.append(None)
                         errors[row] = f"{type(error).__name__}: {error}"
-            yield batch.assign(y_pred=pd.array(labels, dtype="Int32"), error=errors)
+            yield _extended(
+                batch, y_pred=pa.array(labels, pa.int32()), error=pa.array(errors, pa.string())
+            )
 
-    return inputs.mapInPandas(grade, schema)
+    return inputs.mapInArrow(grade, schema)
 
 
 def answer_groups(
@@ -139,7 +153,8 @@ def score_groups(
     """One row per answer of each group, with y_pred and error.
 
     Labels are matched to answers by place: with too few labels the last
-    answers stay ungraded (NULL), surplus labels are ignored.
+    answers stay ungraded (NULL), surplus labels are ignored. A missing answer
+    is shown to the predictor as an empty text.
     """
     schema = T.StructType(
         list(groups.schema.fields)
@@ -149,16 +164,19 @@ def score_groups(
         ]
     )
 
-    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = make_predictor()
         for batch in batches:
+            questions = batch.column("question").to_pylist()
+            references = batch.column("reference_answer").to_pylist()
+            members = batch.column("members")
+            ends = members.offsets.to_pylist()
+            answers = [x or "" for x in members.values.field("answer").to_pylist()]
             labels, errors = [], []
-            for question, reference, members in zip(
-                batch["question"], batch["reference_answer"], batch["members"]
-            ):
+            for row, (question, reference) in enumerate(zip(questions, references)):
+                mine = answers[ends[row] : ends[row + 1]]
                 try:
-                    answers = [str(m["answer"]) for m in members]
-                    given = predict(question, answers, reference if pass_reference else None)
+                    given = predict(question, mine, reference if pass_reference else None)
                     labels.append([_label(x) for x in given])
                     errors.append(None)
                 except Exception as error:
@@ -166,9 +184,13 @@ def score_groups(
                         raise
                     labels.append([])
                     errors.append(f"{type(error).__name__}: {error}")
-            yield batch.assign(labels=labels, error=errors)
+            yield _extended(
+                batch,
+                labels=pa.array(labels, pa.list_(pa.int32())),
+                error=pa.array(errors, pa.string()),
+            )
 
-    scored = groups.mapInPandas(grade, schema)
+    scored = groups.mapInArrow(grade, schema)
     return scored.select(
         key, "labels", "error", F.posexplode("members").alias("pos", "member")
     ).select(
