@@ -1,11 +1,13 @@
 """All registered queries: name to (query, SQL or None)."""
 
 from answerloom.catalog import (
-    metric_queries, reshape_queries, scoring_queries, source_queries, split_queries, text_queries,
+    metric_queries, plan_queries, reshape_queries, scoring_queries, source_queries, split_queries,
+    text_queries,
 )
 
 MODULES = (
     metric_queries, split_queries, text_queries, reshape_queries, scoring_queries, source_queries,
+    plan_queries,
 )
 
 

@@ -425,7 +425,7 @@ QUERIES["P23_generated_names"] = (
     """SELECT p_partkey,
          p_brand || '_single' || CASE WHEN p_size > 1 THEN '_run' || p_size ELSE '' END AS run_name,
          'student_answers_c3_p' || p_size || '_i1_' || p_brand || '_per_question.csv' AS file_name,
-         'lr_5.0E-4_r_' || p_size || '_alpha_' || (p_size * 2) || '.0_drop_0.2_bs_16' AS grid_name,
+         'lr_0.0005_r_' || p_size || '_alpha_' || (p_size * 2) || '.0_drop_0.2_bs_16' AS grid_name,
          'eval_' || p_brand || '_' || p_name AS adapter_name
        FROM part""",
 )

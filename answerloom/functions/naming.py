@@ -66,10 +66,26 @@ def generated_file_name(
     )
 
 
+def plain_number(value: Column) -> Column:
+    """A double as Python writes it: 0.0005 and 1e-05, not 5.0E-4 and 1.0E-5."""
+    text = value.cast("double").cast("string")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    sign = F.when(value < 0, "-").otherwise("")
+    digits = F.regexp_replace(mantissa, "[-.]", "")
+    long_form = F.regexp_replace(value.try_cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return (
+        F.when(~F.contains(text, F.lit("E")), text)
+        .when(power == -4, F.concat(sign, F.lit("0.000"), digits))
+        .when(power < -4, F.concat(mantissa, F.lit("e-"), F.lpad((-power).cast("string"), 2, "0")))
+        .otherwise(long_form)
+    )
+
+
 def grid_run_name(rate: Column, rank: Column, alpha: Column, dropout: Column, batch: Column) -> Column:
     return F.format_string(
-        "lr_%s_r_%d_alpha_%.1f_drop_%s_bs_%d", rate.cast("string"), rank, alpha,
-        dropout.cast("string"), batch,
+        "lr_%s_r_%d_alpha_%.1f_drop_%s_bs_%d", plain_number(rate), rank, alpha,
+        plain_number(dropout), batch,
     )
 
 

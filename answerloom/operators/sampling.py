@@ -69,7 +69,7 @@ def exact_sample(df: DataFrame, fraction: float, key: str, seed: int = fv.SEED)
     in_head = hashed.filter(head == outer["b"])
     inner = _cut_row(histogram(in_head, middle), outer["left"])
     last = (
-        in_head.filter(middle == inner["b"])
+        hashed.filter(F.substring("h", 1, 8) == F.concat(outer["b"], inner["b"]))
         .agg(F.array_sort(F.collect_list(F.struct("h", "k"))).alias("few"))
         .select(F.element_at("few", inner["left"].cast("int")).alias("last"))
         .scalar()

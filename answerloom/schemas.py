@@ -24,7 +24,8 @@ TASK_JSON = T.StructType(
                 T.StructType(
                     [
                         T.StructField("answer", TEXT),
-                        T.StructField("is_correct", T.BooleanType()),
+                        # Text, since marks may also be numbers or words.
+                        T.StructField("is_correct", TEXT),
                     ]
                 )
             ),

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from answerloom import fixed_values as fv, schemas
 from answerloom.functions.labels import collapse_five_way
+from answerloom.functions.text import reference_option
 
 
 def semicolon_csv(
@@ -44,19 +45,25 @@ def task_json(
     )
     stem = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
     rows = reader.json(folder)
+    options = F.transform(
+        "answer_options",
+        lambda o: F.struct(
+            o["answer"].alias("answer"),
+            # Present and neither false nor zero nor empty.
+            F.coalesce(~o["is_correct"].isin("false", "0", "0.0", ""), F.lit(False)).alias(
+                "is_correct"
+            ),
+        ),
+    )
     return rows.select(
         F.coalesce("question", F.lit("")).alias("question"),
-        F.coalesce("answer_options", F.array().cast(schemas.TASK_JSON[1].dataType)).alias(
-            "answer_options"
-        ),
+        F.coalesce(options, F.array()).alias("answer_options"),
         (F.col(topic) if topic else stem).alias("topic"),
     )
 
 
 def tasks_of_json(tasks: DataFrame) -> DataFrame:
     """Question, reference answer and topic, sorted by topic."""
-    from answerloom.functions.text import reference_option
-
     return tasks.select(
         "question", reference_option(F.col("answer_options")).alias("reference_answer"), "topic"
     )

@@ -148,6 +148,8 @@ def test_task_json(spark, tmp_path):
                 {"question": "q1", "answer_options": [{"answer": "x"}, {"answer": "y", "is_correct": True}]},
                 {"question": "q2", "answer_options": None},
                 {"answer_options": [{"answer": "z", "is_correct": False}]},
+                {"question": "q4", "answer_options": [{"answer": "x", "is_correct": 0},
+                                                      {"answer": "y", "is_correct": 1}]},
             ],
             indent=1,
         )
@@ -156,7 +158,7 @@ def test_task_json(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("[]")
     rows = readers.tasks_of_json(readers.task_json(spark, str(tmp_path))).collect()
     assert {tuple(r) for r in rows} == {
-        ("q1", "y", "logic"), ("q2", "", "logic"), ("", "z", "logic"), ("q3", "", "a.b"),
+        ("q1", "y", "logic"), ("q4", "y", "logic"), ("q2", "", "logic"), ("", "z", "logic"), ("q3", "", "a.b"),
     }
 
 

@@ -156,3 +156,10 @@ def test_model_groups(values):
         "GPT-4o", "GPT-2 Large", "Qwen Other-7B",
     ]
     assert values(lambda x: nm.model_order(nm.model_group(x)), runs) == [1, 4, 999]
+
+
+@given(st.floats(allow_nan=False, allow_infinity=False, min_value=1e-12, max_value=1e9))
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_plain_number_against_python(values, number):
+    number = float(f"{number:.3g}")
+    assert values(nm.plain_number, [number, -number], "double") == [repr(number), repr(-number)]
