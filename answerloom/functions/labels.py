@@ -80,6 +80,11 @@ def label_name(code: Column) -> Column:
     return case_map(code, dict(enumerate(fv.LABEL_NAMES)))
 
 
-def argmax(values: Column) -> Column:
-    """Zero-based position of the largest element; the first one wins."""
+def argmax(values: Column, nested: bool = False) -> Column:
+    """Zero-based position of the largest element; the first one wins.
+
+    With `nested` the values are those of the first of several arrays.
+    """
+    if nested:
+        values = F.try_element_at(values, F.lit(1))
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom import fixed_values as fv
-from answerloom.functions.basics import case_map
 from answerloom.functions.labels import try_points_label, try_topic_of_task
 from answerloom.functions.text import (
     clean_html, clean_remark, decimal_comma, find_loose, find_subtask, tidy_loose,
@@ -196,6 +195,3 @@ def to_answers(quiz: DataFrame, existing: DataFrame) -> DataFrame:
         reason.alias("reject_reason"),
     )
 
-
-def section_of_remark(task_id: Column) -> Column:
-    return case_map(task_id, fv.REMARK_TASKS)

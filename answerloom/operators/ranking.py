@@ -15,8 +15,8 @@ def hash_rank(df: DataFrame, keys, hashed: str, ties, name="rank", digits: int =
     bucket its offset: at most 16**digits rows per group. A group that holds
     most of the table is therefore ranked by many tasks.
     """
-    # One text per group, never NULL, so that groups with NULL keys join too.
-    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    # One value per group, never NULL, so that groups with NULL keys join too.
+    group = F.struct(*keys) if keys else F.lit(0)
     bucketed = df.withColumns({"_group": group, "_bucket": F.substring(hashed, 1, digits)})
     before = (
         Window.partitionBy("_group")

@@ -2,13 +2,16 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from answerloom import fixed_values as fv
 from answerloom.functions.labels import label_source, lenient_label, strict_label
 from answerloom.operators import metrics as mt
+from answerloom.operators.confusion import cells
+from answerloom.operators.leaderboard import group_stats
 from answerloom.operators.sampling import exact_sample
-from answerloom.operators.scoring import repeat_runs, score
+from answerloom.operators.scoring import repeat_runs, score, score_rows
 from answerloom.session import scratch_path
 from answerloom.sources import writers
 
@@ -32,7 +35,7 @@ def grade_and_measure(
     """
     spark = answers.sparkSession
     raw = label_source(answers)
-    numeric = not isinstance_text(answers, raw)
+    numeric = not _is_text(answers, raw)
     truth = lenient_label(raw, numeric=numeric) if lenient else strict_label(raw)
     sampled = exact_sample(answers.withColumn("y_true", truth), sample_fraction, "row_id", sample_seed)
     options = {"pass_reference": pass_reference}
@@ -53,24 +56,25 @@ def grade_and_measure(
     return spark.read.parquet(metrics_path).filter(F.col("run_id") == run_id)
 
 
-def isinstance_text(df: DataFrame, column) -> bool:
-    return df.select(column.alias("x")).schema["x"].dataType.simpleString() == "string"
-
-
 def measure_models(predictions: DataFrame, key: str = "model") -> DataFrame:
     """Overall metrics of several models over the same answers, from one pass."""
-    from answerloom.operators.confusion import cells
-
     return mt.summary(cells(predictions, [key]), [key])
 
 
-def measure_runs(predictions: DataFrame, metric: str = "quadratic_weighted_kappa") -> DataFrame:
-    """Mean and deviation of a metric over repeated runs (column run)."""
-    from answerloom.operators.confusion import cells
-    from answerloom.operators.leaderboard import group_stats
+def grade_repeatedly(
+    answers: DataFrame, make_predictor: Callable, runs: int, predictions_path: str,
+    metric: str = "quadratic_weighted_kappa", **options,
+) -> DataFrame:
+    """Grade every answer once per run; mean and deviation of a metric over runs.
 
-    return group_stats(mt.summary(cells(predictions, ["run"]), ["run"]), [], metric)
+    All runs are graded in one job and written once. `answers` must have
+    y_true.
+    """
+    repeated = repeat_runs(answers, runs)
+    writers.to_parquet(score_rows(repeated, make_predictor, **options), predictions_path, "overwrite")
+    written = answers.sparkSession.read.parquet(predictions_path)
+    return group_stats(mt.summary(cells(written, ["run"]), ["run"]), [], metric)
 
 
-def repeated(answers: DataFrame, runs: int) -> DataFrame:
-    return repeat_runs(answers, runs)
+def _is_text(df: DataFrame, column: Column) -> bool:
+    return df.select(column.alias("x")).schema["x"].dataType == StringType()

@@ -60,3 +60,5 @@ def test_unknown_values_raise(values, function, bad):
 
 def test_argmax_takes_the_first(values):
     assert values(lb.argmax, [[0.1, 0.7, 0.7], [3.0, 1.0, 2.0]], "array<double>") == [1, 0]
+    nested = values(lambda x: lb.argmax(x, nested=True), [[[0.1, 0.7], [9.0]], []], "array<array<double>>")
+    assert nested == [1, None]

@@ -263,3 +263,19 @@ def test_synthesis_plan(spark, tmp_path):
     assert out["answers"].count() == 18 and out["violations"].count() == 0
     with pytest.raises(ValueError, match="0 'correct' answers instead of 3|instead of 3"):
         synthesize.generate_answers(tasks, quotas, failing, "per_question", str(tmp_path / "bad"))
+
+
+def wavering():
+    return lambda questions, answers, references: [len(a) % 2 for a in answers]
+
+
+def test_repeated_runs(spark, tmp_path):
+    answers = spark.createDataFrame(
+        [(i, "q", "r", "x" * i, i % 2) for i in range(10)],
+        "row_id int, question string, reference_answer string, student_answer string, y_true int",
+    )
+    row = evaluate.grade_repeatedly(answers, wavering, 3, str(tmp_path / "runs")).first()
+    assert (row.mean_quadratic_weighted_kappa, row.std_quadratic_weighted_kappa) == (1.0, 0.0)
+    assert row.n_quadratic_weighted_kappa == 3
+    models = answers.select("y_true", F.lit("m").alias("model"), F.col("y_true").alias("y_pred"))
+    assert evaluate.measure_models(models).first().accuracy == 1.0
