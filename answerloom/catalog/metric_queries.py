@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from answerloom.catalog import views as v
 from answerloom.functions.labels import argmax
 from answerloom.operators import confusion as cm, metrics as mt
+from answerloom.operators.leaderboard import group_stats
+from answerloom.operators.scoring import repeat_runs
 
 # The cells of a 3x3 matrix and the metrics over them, in SQL.
 _CELLS = ", ".join(
@@ -299,7 +301,7 @@ QUERIES["A11_A15_with_missing_predictions"] = (
     FROM m JOIN extra ON extra_topic = topic""",
 )
 
-_LONG_SQL = (
+LONG_SQL = (
     " UNION ALL ".join(
         [
             f"SELECT 'overall' AS scope, 'overall' AS key, '{n}' AS metric, {e} AS value FROM w"
@@ -333,7 +335,7 @@ _LONG_SQL = (
 QUERIES["D9_metrics_long"] = (
     lambda s, d: _rounded(mt.long_report(v.answers(s, d)), "value"),
     "WITH " + measured(v.ANSWERS, "topic") + ", " + measured("", "", "answers", "w").lstrip(", ")
-    + f", l AS ({_LONG_SQL}) SELECT scope, key, metric, round(CAST(value AS DOUBLE), 9) AS value FROM l",
+    + f", l AS ({LONG_SQL}) SELECT scope, key, metric, round(CAST(value AS DOUBLE), 9) AS value FROM l",
 )
 
 QUERIES["F5_valid_labels_matrix"] = (
@@ -371,9 +373,6 @@ QUERIES["M7_repeated_runs"] = (
 
 
 def _runs(spark, folder):
-    from answerloom.operators.leaderboard import group_stats
-    from answerloom.operators.scoring import repeat_runs
-
     repeated = repeat_runs(v.answers(spark, folder), 3)
     u = F.conv(
         F.substring(F.md5(F.concat_ws(":", F.col("run"), F.col("row_id"))), 1, 8), 16, 10

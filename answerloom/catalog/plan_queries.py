@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from answerloom.catalog import scoring_queries as sq, split_queries as xq, stubs, views as v
-from answerloom.catalog.metric_queries import _LONG_SQL, measured
+from answerloom.catalog.metric_queries import LONG_SQL, measured
 from answerloom.operators import distribution as ds, generation as gn, metrics as mt, scoring as sc, split as xs
 from answerloom.session import scratch_path
 from answerloom.sources import writers
@@ -13,7 +13,7 @@ QUERIES = {}
 
 def _graded(spark, folder):
     """Grade per question, write the predictions, read them back, measure."""
-    answers = sq._order_answers(spark, folder).withColumn(
+    answers = sq.order_answers(spark, folder).withColumn(
         "topic", F.split_part("question", F.lit(" "), F.lit(1))
     )
     path = scratch_path(spark, "predictions")
@@ -35,11 +35,11 @@ QUERIES["L1_grade_and_measure"] = (
           FROM a WINDOW w AS (PARTITION BY task_id ORDER BY row_id)),
     scored AS (SELECT topic, y_true,
       CASE WHEN task_id IS NOT NULL AND (n <= 2 OR pos < n) THEN least(2, """
-    + sq._OVERLAP.format(q="first_question", a="student_answer") + ") END AS y_pred FROM g), "
+    + sq.OVERLAP_SQL.format(q="first_question", a="student_answer") + ") END AS y_pred FROM g), "
     + measured("", "topic", "scored").lstrip(", ") + ", "
     + measured("", "", "scored", "w").lstrip(", ")
     + ", missing AS (SELECT count(*) AS n FROM scored WHERE y_pred IS NULL)"
-    + f""", l AS ({_LONG_SQL})
+    + f""", l AS ({LONG_SQL})
     SELECT scope, key, metric, round(CAST(CASE WHEN metric = 'unscored'
       THEN (SELECT n FROM missing) ELSE value END AS DOUBLE), 9) AS value FROM l""",
 )
@@ -53,9 +53,9 @@ def _split_statistics(spark, folder):
 QUERIES["L2_balanced_split_statistics"] = (
     _split_statistics,
     "WITH RECURSIVE "
-    + ", ".join([v.ANSWERS, xq._TASKS, xq._QUOTA, xq._TARGETS, xq._walk_sql()])
+    + ", ".join([v.ANSWERS, xq.TASKS, xq.QUOTA, xq.TARGETS, xq.walk_sql()])
     + f""", assigned AS (SELECT a.*, w.split FROM answers a JOIN walk w ON w.pos > 0 AND w.task_id = a.task_id)
-    SELECT split, topic, {xq._STATISTICS},
+    SELECT split, topic, {xq.STATISTICS},
            CASE grouping(split, topic) WHEN 3 THEN 'GRAND TOTAL' WHEN 1 THEN 'TOTAL'
              WHEN 2 THEN 'TOPIC TOTAL' ELSE 'SPLIT TOPIC' END AS level
     FROM assigned GROUP BY CUBE (split, topic)""",
@@ -63,17 +63,17 @@ QUERIES["L2_balanced_split_statistics"] = (
 
 
 def _generated_totals(spark, folder):
-    tasks = sq._turn_tasks(spark, folder)
+    tasks = sq.turn_tasks(spark, folder)
     path = scratch_path(spark, "generated")
     writers.to_parquet(
-        gn.generate(tasks, sq._QUOTAS, stubs.question_generator, "per_question"), path
+        gn.generate(tasks, sq.QUOTAS, stubs.question_generator, "per_question"), path
     )
-    return gn.label_totals(gn.accepted(spark.read.parquet(path)), tasks, sq._QUOTAS)
+    return gn.label_totals(gn.accepted(spark.read.parquet(path)), tasks, sq.QUOTAS)
 
 
 QUERIES["L4_generate_and_count"] = (
     _generated_totals,
-    "WITH " + sq._TURN_TASKS + """, q(label, n) AS (
+    "WITH " + sq.TURN_TASKS + """, q(label, n) AS (
       VALUES ('correct', 2), ('partial', 1), ('incorrect', 3)),
     counts AS (SELECT label, sum(n) AS expected,
         sum(CASE WHEN len(string_split(question, chr(10))) >= n THEN n ELSE 0 END) AS actual

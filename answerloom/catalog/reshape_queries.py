@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from answerloom import fixed_values as fv
 from answerloom.catalog import views as v
+from answerloom.catalog.text_queries import FLAT_SQL, SENTENCES, UNIFIED_SQL, VALIDITY, strict_sql
 from answerloom.functions.text import dirty_number
 from answerloom.operators import generation as gn, leaderboard as ld, quiz as qz, reshape as rs
 
@@ -231,7 +232,7 @@ def _quiz(spark, folder):
 
 
 def _quiz_points(spark, folder):
-    """A grade for every subtask of turns of even length texts, by letter."""
+    """Points of every subtask by its letter; every third letter has none."""
     rows = qz.default_points(_quiz(spark, folder))
     place = F.ascii(F.right("subtask", F.lit(1))) % 3
     return rows.select(
@@ -257,16 +258,14 @@ def _quiz_long(spark, folder):
 
 
 def _quiz_sql():
-    from answerloom.catalog.text_queries import _FLAT, _SENTENCES, _VALIDITY, _strict
-
     parts = []
     for section, letters, kind in (
-        ("sentences", _SENTENCES, "ECONOMY"), ("validity_and_soundness", _VALIDITY, "PROMO"),
+        ("sentences", SENTENCES, "ECONOMY"), ("validity_and_soundness", VALIDITY, "PROMO"),
     ):
         for n, x in enumerate(letters, 1):
             parts.append(
                 f"SELECT participant AS student, '{section}_{x}' AS task, "
-                f"{_FLAT.format(_strict(x, letters))} AS student_answer, "
+                f"{FLAT_SQL.format(strict_sql(x, letters))} AS student_answer, "
                 f"CASE WHEN {ord(x) % 3} > 0 THEN {ord(x) % 3} / 2.0::DOUBLE END AS points, "
                 f"'{kind}' AS kind, {n} AS nth FROM texts"
             )
@@ -305,7 +304,7 @@ QUERIES["L3_quiz_export_merged"] = (
     "WITH " + v.STYLED + f""", e AS (
       SELECT page_id, html, CASE WHEN page_id % 2 = 0 THEN '&amp;lt;' || page_id END AS remark FROM styled)
     SELECT CAST(page_id AS VARCHAR) AS participant,
-           {{unified}} AS sentences, 'a. x<br />b. y' AS validity_and_soundness,
+           {UNIFIED_SQL} AS sentences, 'a. x<br />b. y' AS validity_and_soundness,
            page_id + 0.5::DOUBLE AS sentences_points, CAST(NULL AS DOUBLE) AS validity_and_soundness_points,
            CASE WHEN page_id % 2 = 0 THEN '<' || page_id END AS sentences_remarks,
            CAST(NULL AS VARCHAR) AS validity_and_soundness_remarks
@@ -339,15 +338,6 @@ def _export_merged(spark, folder):
     return qz.merge_export(raw, points, remarks)
 
 
-def _finish():
-    from answerloom.catalog.text_queries import _UNIFIED
-
-    query, sql = QUERIES["L3_quiz_export_merged"]
-    QUERIES["L3_quiz_export_merged"] = (query, sql.replace("{unified}", _UNIFIED))
-
-
-_finish()
-
 # Two questions and two answers each per turn; short turns give a wrong length.
 QUERIES["R3_flat_answers_per_question"] = (
     lambda s, d: gn.split_flat(

@@ -8,13 +8,13 @@ from answerloom.operators import generation as gn, leaderboard as ld, scoring as
 QUERIES = {}
 
 # Words shared by question and answer.
-_OVERLAP = "len(list_intersect(list_distinct(string_split({q}, ' ')), list_distinct(string_split({a}, ' '))))"
+OVERLAP_SQL = "len(list_intersect(list_distinct(string_split({q}, ' ')), list_distinct(string_split({a}, ' '))))"
 
 QUERIES["M3_row_grader"] = (
     lambda s, d: sc.score_rows(v.pairs(s, d), stubs.row_predictor).select("row_id", "y_pred", "error"),
     "WITH " + v.PAIRS + f"""
     SELECT row_id, CASE WHEN length(question) <= 400 THEN
-             CAST(least(2, {_OVERLAP.format(q='question', a='student_answer')}) AS INTEGER) END AS y_pred,
+             CAST(least(2, {OVERLAP_SQL.format(q='question', a='student_answer')}) AS INTEGER) END AS y_pred,
            CASE WHEN length(question) > 400 THEN 'ValueError: question too long' END AS error
     FROM pairs""",
 )
@@ -41,7 +41,7 @@ QUERIES["A27_answers_per_question"] = (
 )
 
 
-def _order_answers(spark, folder):
+def order_answers(spark, folder):
     """Order answers with a text: several answers per task, none for some segments' key."""
     return v.answers(spark, folder).select(
         F.when(F.col("priority") != "5-LOW", F.col("task_id")).alias("task_id"),
@@ -54,7 +54,7 @@ def _order_answers(spark, folder):
 
 QUERIES["M4_J7_question_grader"] = (
     lambda s, d: sc.score_questions(
-        _order_answers(s, d), stubs.question_predictor, carry=("y_true",)
+        order_answers(s, d), stubs.question_predictor, carry=("y_true",)
     ).select("row_id", "task_id", "y_true", "y_pred"),
     "WITH " + v.ANSWERS + """, a AS (
       SELECT CASE WHEN priority <> '5-LOW' THEN task_id END AS task_id, row_id, y_true,
@@ -65,31 +65,28 @@ QUERIES["M4_J7_question_grader"] = (
           FROM a WINDOW w AS (PARTITION BY task_id ORDER BY row_id))
     SELECT row_id, task_id, y_true,
            CASE WHEN task_id IS NOT NULL AND (n <= 2 OR pos < n) THEN CAST(least(2, """
-    + _OVERLAP.format(q="first_question", a="student_answer") + """) AS INTEGER) END AS y_pred
+    + OVERLAP_SQL.format(q="first_question", a="student_answer") + """) AS INTEGER) END AS y_pred
     FROM g""",
 )
 
-_TASKS = """tasks AS (SELECT doc_id AS task_id, source || ' ' || lang AS question,
-  text AS reference_answer, lang AS topic FROM documents)"""
 
-
-def _turn_tasks(spark, folder):
+def turn_tasks(spark, folder):
     return v.pairs(spark, folder).select(
         F.col("row_id").alias("task_id"), "question", "reference_answer",
         F.col("task_id").alias("topic"),
     )
 
 
-_TURN_TASKS = v.PAIRS + """, tasks AS (
+TURN_TASKS = v.PAIRS + """, tasks AS (
   SELECT row_id AS task_id, question, reference_answer, task_id AS topic FROM pairs)"""
 
-_QUOTAS = {"correct": 2, "partial": 1, "incorrect": 3}
+QUOTAS = {"correct": 2, "partial": 1, "incorrect": 3}
 _REQUESTS = """(VALUES ('correct', 1), ('correct', 2), ('partial', 1), ('incorrect', 1),
   ('incorrect', 2), ('incorrect', 3)) AS q(label, i)"""
 
 QUERIES["M6_generate_single"] = (
-    lambda s, d: gn.generate(_turn_tasks(s, d), _QUOTAS, stubs.single_generator, "single"),
-    "WITH " + _TURN_TASKS + f"""
+    lambda s, d: gn.generate(turn_tasks(s, d), QUOTAS, stubs.single_generator, "single"),
+    "WITH " + TURN_TASKS + f"""
     SELECT task_id, question, reference_answer, topic,
            CASE WHEN length(question) <= 400 THEN label || '/' ||
                CASE WHEN label = 'incorrect' OR reference_answer IS NULL THEN '-'
@@ -102,8 +99,8 @@ QUERIES["M6_generate_single"] = (
 )
 
 QUERIES["M6_generate_per_question"] = (
-    lambda s, d: gn.generate(_turn_tasks(s, d), _QUOTAS, stubs.question_generator, "per_question"),
-    "WITH " + _TURN_TASKS + """, asked AS (
+    lambda s, d: gn.generate(turn_tasks(s, d), QUOTAS, stubs.question_generator, "per_question"),
+    "WITH " + TURN_TASKS + """, asked AS (
       SELECT *, string_split(question, chr(10)) AS lines
       FROM tasks, (VALUES ('correct', 2), ('partial', 1), ('incorrect', 3)) AS q(label, n))
     SELECT task_id, question, reference_answer, topic, label || ': ' || line AS student_answer,
@@ -116,8 +113,8 @@ QUERIES["M6_generate_per_question"] = (
 )
 
 QUERIES["M6_generate_all_batched"] = (
-    lambda s, d: gn.generate(_turn_tasks(s, d), _QUOTAS, stubs.batch_generator, "all"),
-    "WITH " + _TURN_TASKS + f"""
+    lambda s, d: gn.generate(turn_tasks(s, d), QUOTAS, stubs.batch_generator, "all"),
+    "WITH " + TURN_TASKS + f"""
     SELECT task_id, question, reference_answer, topic, label || ' ' || (i - 1) || ' ' || question
              AS student_answer, label AS labels, CAST(NULL AS VARCHAR) AS reject_reason
     FROM tasks, {_REQUESTS}""",
@@ -126,11 +123,11 @@ QUERIES["M6_generate_all_batched"] = (
 QUERIES["M6_rejects_and_violations"] = (
     lambda s, d: gn.count_violations(
         gn.accepted(
-            gn.generate(_turn_tasks(s, d), _QUOTAS, stubs.question_generator, "per_question")
+            gn.generate(turn_tasks(s, d), QUOTAS, stubs.question_generator, "per_question")
         ),
-        _turn_tasks(s, d), _QUOTAS,
+        turn_tasks(s, d), QUOTAS,
     ),
-    "WITH " + _TURN_TASKS + """
+    "WITH " + TURN_TASKS + """
     SELECT task_id, label, CAST(n AS BIGINT) AS expected, CAST(0 AS BIGINT) AS actual
     FROM tasks, (VALUES ('correct', 2), ('partial', 1), ('incorrect', 3)) AS q(label, n)
     WHERE len(string_split(question, chr(10))) < n""",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F, types as T
 
 from answerloom import schemas
-from answerloom.catalog import text_queries, views as v
+from answerloom.catalog import metric_queries, text_queries, views as v
 from answerloom.functions.labels import strict_label
 from answerloom.operators import metrics as mt, training as tr
 from answerloom.operators.scoring import model_inputs
@@ -145,7 +145,7 @@ QUERIES["S5_load_without_test_set"] = (
 
 def _corpus(spark, folder):
     path = scratch_path(spark, "corpus")
-    rows = text_queries._raw(spark, folder, text_queries._FIVE).select(
+    rows = text_queries.raw_labels(spark, folder, text_queries.FIVE_WAY).select(
         F.col("row_id").alias("id"),
         F.lit("q").alias("question"),
         F.lit("r").alias("reference_answer"),
@@ -207,17 +207,12 @@ def _metric_sink(spark, folder):
     )
 
 
-def _metric_sink_sql():
-    from answerloom.catalog.metric_queries import QUERIES as metric
-
-    return (
-        "SELECT run_id, scope, metric, count(*) AS n, round(sum(value), 6) AS total FROM ("
-        + metric["D9_metrics_long"][1]
-        + "), (VALUES ('first'), ('second')) AS r(run_id) GROUP BY run_id, scope, metric"
-    )
-
-
-QUERIES["S10_metric_sink"] = (_metric_sink, _metric_sink_sql())
+QUERIES["S10_metric_sink"] = (
+    _metric_sink,
+    "SELECT run_id, scope, metric, count(*) AS n, round(sum(value), 6) AS total FROM ("
+    + metric_queries.QUERIES["D9_metrics_long"][1]
+    + "), (VALUES ('first'), ('second')) AS r(run_id) GROUP BY run_id, scope, metric",
+)
 
 
 def _labelled_documents(spark, folder):

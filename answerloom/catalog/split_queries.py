@@ -23,7 +23,7 @@ QUERIES["A2_count_per_class_zero_filled"] = (
     GROUP BY ALL""",
 )
 
-_TASKS = """tasks AS (
+TASKS = """tasks AS (
   SELECT task_id, min(topic) AS topic, min(topic) <> max(topic) AS topic_conflict,
          count(*) FILTER (y_true = 0) AS n_0, count(*) FILTER (y_true = 1) AS n_1,
          count(*) FILTER (y_true = 2) AS n_2
@@ -31,7 +31,7 @@ _TASKS = """tasks AS (
 
 QUERIES["A3_label_counts_per_task"] = (
     lambda s, d: ds.task_label_counts(v.answers(s, d)).select("task_id", "n_0", "n_1", "n_2"),
-    "WITH " + v.ANSWERS + ", " + _TASKS + " SELECT task_id, n_0, n_1, n_2 FROM tasks",
+    "WITH " + v.ANSWERS + ", " + TASKS + " SELECT task_id, n_0, n_1, n_2 FROM tasks",
 )
 
 # Tasks that occur under several topics: status instead of segment as topic.
@@ -39,11 +39,11 @@ QUERIES["A4_first_topic_per_task"] = (
     lambda s, d: ds.task_label_counts(
         v.answers(s, d).withColumn("topic", F.col("priority"))
     ).select("task_id", "topic", "topic_conflict"),
-    "WITH " + v.ANSWERS.replace("c_mktsegment AS topic", "o_orderpriority AS topic") + ", " + _TASKS
+    "WITH " + v.ANSWERS.replace("c_mktsegment AS topic", "o_orderpriority AS topic") + ", " + TASKS
     + " SELECT task_id, topic, topic_conflict FROM tasks",
 )
 
-_TARGETS = """targets AS (
+TARGETS = """targets AS (
   SELECT *, n_0 - 2*val_0 AS train_0, n_1 - 2*val_1 AS train_1, n_2 - 2*val_2 AS train_2,
          val_0 AS test_0, val_1 AS test_1, val_2 AS test_2
   FROM (SELECT topic, count(*) AS n_tasks,
@@ -56,7 +56,7 @@ _TARGETS = """targets AS (
 
 QUERIES["A5_topic_label_targets"] = (
     lambda s, d: xs.topic_targets(ds.task_label_counts(v.answers(s, d))),
-    "WITH " + v.ANSWERS + ", " + _TASKS + ", " + _TARGETS + " SELECT * FROM targets",
+    "WITH " + v.ANSWERS + ", " + TASKS + ", " + TARGETS + " SELECT * FROM targets",
 )
 
 QUERIES["A6_label_distribution_per_split"] = (
@@ -77,14 +77,14 @@ QUERIES["A7_label_distribution_per_topic_split"] = (
            count(*) AS total FROM presplit GROUP BY topic, split""",
 )
 
-_STATISTICS = """count(DISTINCT task_id) AS questions, count(*) AS answers,
+STATISTICS = """count(DISTINCT task_id) AS questions, count(*) AS answers,
            count(*) FILTER (y_true = 2) AS correct_answers,
            count(*) FILTER (y_true = 1) AS partially_correct_answers,
            count(*) FILTER (y_true = 0) AS incorrect_answers"""
 
 QUERIES["A8_split_topic_statistics"] = (
     lambda s, d: ds.split_statistics(v.presplit(s, d)),
-    "WITH " + v.PRESPLIT + f" SELECT split, topic, {_STATISTICS} FROM presplit GROUP BY split, topic",
+    "WITH " + v.PRESPLIT + f" SELECT split, topic, {STATISTICS} FROM presplit GROUP BY split, topic",
 )
 
 # Priorities as topics and rows as split members, so that tasks span both.
@@ -97,7 +97,7 @@ QUERIES["A9_statistics_with_totals"] = (
     "WITH " + v.PRESPLIT + f""", spanning AS (
       SELECT * REPLACE (priority AS topic,
         CASE WHEN labels = 'partial' THEN 'val' ELSE 'train' END AS split) FROM presplit)
-    SELECT split, topic, {_STATISTICS},
+    SELECT split, topic, {STATISTICS},
            CASE grouping(split, topic) WHEN 3 THEN 'GRAND TOTAL' WHEN 1 THEN 'TOTAL'
              WHEN 2 THEN 'TOPIC TOTAL' ELSE 'SPLIT TOPIC' END AS level
     FROM spanning GROUP BY CUBE (split, topic)""",
@@ -119,26 +119,26 @@ QUERIES["A28_sizes"] = (
     SELECT split, y_true, count(*) AS n FROM presplit GROUP BY ROLLUP (split, y_true)""",
 )
 
-_QUOTA = """sized AS (
+QUOTA = """sized AS (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5('42:' || task_id), task_id) AS pos,
          count(*) OVER (PARTITION BY topic) AS n FROM tasks),
 quotas AS (
   SELECT *, CASE WHEN n <= 2 THEN 0 WHEN n = 3 THEN 1
     ELSE greatest(1, CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)) END AS q FROM sized)"""
 
-_QUOTA_SPLIT = """SELECT task_id, topic, CASE WHEN pos <= n - 2*q THEN 'train'
+QUOTA_SPLIT = """SELECT task_id, topic, CASE WHEN pos <= n - 2*q THEN 'train'
              WHEN pos <= n - q THEN 'val' ELSE 'test' END AS split FROM quotas"""
 
 QUERIES["X2b_quota_split"] = (
     lambda s, d: xs.split_by_task(v.answers(s, d), balanced=False),
-    "WITH " + ", ".join([v.ANSWERS, _TASKS, _QUOTA]) + " " + _QUOTA_SPLIT,
+    "WITH " + ", ".join([v.ANSWERS, TASKS, QUOTA]) + " " + QUOTA_SPLIT,
 )
 
 QUERIES["J4_answers_with_split"] = (
     lambda s, d: xs.with_split(
         v.answers(s, d), xs.split_by_task(v.answers(s, d), balanced=False)
     ).select("row_id", "task_id", "topic", "split"),
-    "WITH " + ", ".join([v.ANSWERS, _TASKS, _QUOTA]) + f""", assigned AS ({_QUOTA_SPLIT})
+    "WITH " + ", ".join([v.ANSWERS, TASKS, QUOTA]) + f""", assigned AS ({QUOTA_SPLIT})
     SELECT row_id, task_id, answers.topic, split FROM answers JOIN assigned USING (task_id)""",
 )
 
@@ -165,7 +165,7 @@ _MOVE = ", ".join(
 )
 _STATE = [f"{s}_{c}" for s in _D for c in range(3)] + [f"room_{s}" for s in _D]
 
-def _walk_sql():
+def walk_sql():
     distance = {
         s: "+".join(f"abs(w.{s}_{c} - k.n_{c})" for c in range(3)) for s in _D
     }
@@ -189,7 +189,7 @@ def _walk_sql():
 
 QUERIES["X2a_balanced_split"] = (
     lambda s, d: xs.split_by_task(v.answers(s, d)),
-    "WITH RECURSIVE " + ", ".join([v.ANSWERS, _TASKS, _QUOTA, _TARGETS, _walk_sql()])
+    "WITH RECURSIVE " + ", ".join([v.ANSWERS, TASKS, QUOTA, TARGETS, walk_sql()])
     + " SELECT task_id, topic, split FROM walk WHERE pos > 0",
 )
 
@@ -295,7 +295,7 @@ QUERIES["K6_shuffle_inside_topic"] = (
         ),
         ["topic"], "hashed", ["task_id"], name="place",
     ).select("task_id", "topic", "place"),
-    "WITH " + ", ".join([v.ANSWERS, _TASKS]) + """
+    "WITH " + ", ".join([v.ANSWERS, TASKS]) + """
     SELECT task_id, topic, row_number() OVER (PARTITION BY topic ORDER BY md5('42:' || task_id), task_id)
       AS place FROM tasks""",
 )

@@ -25,7 +25,7 @@ _RAW_STRICT = {
 }
 
 
-def _raw(spark, folder, raws):
+def raw_labels(spark, folder, raws):
     return v.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("row_id"),
         case_map(F.col("o_orderpriority"), raws).alias("labels"),
@@ -37,7 +37,7 @@ def _cases(column, mapping):
 
 
 QUERIES["P2a_strict_label"] = (
-    lambda s, d: _raw(s, d, {k: raw for k, (raw, _) in _RAW_STRICT.items()}).select(
+    lambda s, d: raw_labels(s, d, {k: raw for k, (raw, _) in _RAW_STRICT.items()}).select(
         "row_id", lb.strict_label(F.col("labels")).alias("y_true")
     ),
     "SELECT o_orderkey AS row_id, "
@@ -51,7 +51,7 @@ _RAW_LENIENT = {
 }
 
 QUERIES["P2b_lenient_label"] = (
-    lambda s, d: _raw(s, d, _RAW_LENIENT).select(
+    lambda s, d: raw_labels(s, d, _RAW_LENIENT).select(
         "row_id",
         lb.lenient_label(F.col("labels")).alias("unknown_null"),
         lb.lenient_label(F.col("labels"), -1).alias("unknown_batch"),
@@ -72,13 +72,13 @@ QUERIES["P2b_numeric_label_truncated"] = (
               CAST(trunc(l_tax * 30) AS INTEGER) AS y_true FROM lineitem""",
 )
 
-_FIVE = {
+FIVE_WAY = {
     "1-URGENT": "correct", "2-HIGH": "partially_correct_incomplete", "3-MEDIUM": "contradictory",
     "4-NOT SPECIFIED": "irrelevant", "5-LOW": "non_domain",
 }
 
 QUERIES["P3_five_way_to_three_way"] = (
-    lambda s, d: _raw(s, d, _FIVE).select(
+    lambda s, d: raw_labels(s, d, FIVE_WAY).select(
         "row_id", lb.collapse_five_way(F.col("labels")).alias("labels")
     ),
     """SELECT o_orderkey AS row_id, CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1
@@ -162,29 +162,29 @@ QUERIES["P8_reference_answer_of_options"] = (
        FROM conversations""",
 )
 
-_SPANS = """regexp_replace(regexp_replace(regexp_replace({0},
+SPANS_SQL = """regexp_replace(regexp_replace(regexp_replace({0},
   '<span style="[^"]*background-color:rgb\\(\\d{{1,3}},\\d{{1,3}},\\d{{1,3}}\\);?[^"]*">', '', 'g'),
   '<span style="?background-color:transparent;color:#000000;"?>', '', 'g'),
   '<span style="?color:rgb\\(0,0,0\\);"?>', '', 'g')"""
 
 QUERIES["P9a_drop_styled_spans"] = (
     lambda s, d: v.styled_pages(s, d).select("page_id", tx.drop_styled_spans(F.col("html")).alias("html")),
-    "WITH " + v.STYLED + f" SELECT page_id, {_SPANS.format('html')} AS html FROM styled",
+    "WITH " + v.STYLED + f" SELECT page_id, {SPANS_SQL.format('html')} AS html FROM styled",
 )
 
-_UNIFIED = (
-    f"replace(replace(replace({_SPANS.format('html')}, '<!--HTML-->', ''), '</p><p>', '<br />'), "
+UNIFIED_SQL = (
+    f"replace(replace(replace({SPANS_SQL.format('html')}, '<!--HTML-->', ''), '</p><p>', '<br />'), "
     "'<br /><br />', '<br />')"
 )
 
 QUERIES["P9b_clean_html"] = (
     lambda s, d: v.styled_pages(s, d).select("page_id", tx.clean_html(F.col("html")).alias("html")),
-    "WITH " + v.STYLED + f" SELECT page_id, replace({_UNIFIED}, '</span>', '') AS html FROM styled",
+    "WITH " + v.STYLED + f" SELECT page_id, replace({UNIFIED_SQL}, '</span>', '') AS html FROM styled",
 )
 
 QUERIES["P9b_unify_breaks"] = (
     lambda s, d: v.styled_pages(s, d).select("page_id", tx.unify_breaks(F.col("html")).alias("html")),
-    "WITH " + v.STYLED + f" SELECT page_id, {_UNIFIED} AS html FROM styled",
+    "WITH " + v.STYLED + f" SELECT page_id, {UNIFIED_SQL} AS html FROM styled",
 )
 
 # The pages hold four entities; '&' is escaped once more, so decoding takes two rounds.
@@ -232,13 +232,13 @@ QUERIES["P11_extract_subtask_loose"] = (
     ) + " FROM m",
 )
 
-_FLAT = (
+FLAT_SQL = (
     "trim(regexp_replace(regexp_replace(replace({0}, '</span>', ''), '<br\\s*/?>', ' ', 'g'), "
     "'\\s+', ' ', 'g'))"
 )
 
 
-def _strict(letter, letters):
+def strict_sql(letter, letters):
     start = f"(?is)(?:^|[^\\p{{L}}\\p{{N}}_]){letter}\\.\\s*(.*)"
     rest = f"regexp_extract(quiz_text, '{start}', 1)"
     place = letters.index(letter)
@@ -251,17 +251,17 @@ def _strict(letter, letters):
         )
     else:
         found = rest
-    return _FLAT.format(_TRAILING.format(found))
+    return FLAT_SQL.format(_TRAILING.format(found))
 
 
-_SENTENCES = fv.QUIZ_LETTERS["sentences"]
-_VALIDITY = fv.QUIZ_LETTERS["validity_and_soundness"]
+SENTENCES = fv.QUIZ_LETTERS["sentences"]
+VALIDITY = fv.QUIZ_LETTERS["validity_and_soundness"]
 
 QUERIES["P12_extract_subtask"] = (
     lambda s, d: qz.strict_subtask_columns(_sections(s, d)).drop(*fv.QUIZ_LETTERS),
     "WITH " + v.ENUMERATED + " SELECT conv_id, turn, "
-    + ", ".join(f"{_strict(x, _SENTENCES)} AS sentences_{x}" for x in _SENTENCES) + ", "
-    + ", ".join(f"{_strict(x, _VALIDITY)} AS validity_and_soundness_{x}" for x in _VALIDITY) + " FROM enumerated",
+    + ", ".join(f"{strict_sql(x, SENTENCES)} AS sentences_{x}" for x in SENTENCES) + ", "
+    + ", ".join(f"{strict_sql(x, VALIDITY)} AS validity_and_soundness_{x}" for x in VALIDITY) + " FROM enumerated",
 )
 
 QUERIES["P13_strip_boilerplate"] = (
@@ -271,7 +271,7 @@ QUERIES["P13_strip_boilerplate"] = (
             F.concat(F.lit("true/FALSE,  because ... <br/>Yes/No, because ...<br />"), "quiz_text", F.lit("</span>"))
         ).alias("answer"),
     ),
-    "WITH " + v.ENUMERATED + " SELECT conv_id, turn, " + _FLAT.format(
+    "WITH " + v.ENUMERATED + " SELECT conv_id, turn, " + FLAT_SQL.format(
         "regexp_replace(regexp_replace('true/FALSE,  because ... <br/>Yes/No, because ...<br />' "
         "|| quiz_text || '</span>', 'True/False,\\s*because\\s*\\.\\.\\.\\s*<br\\s*/?>', '', 'gi'), "
         "'Yes/No,\\s*because\\s*\\.\\.\\.\\s*<br\\s*/?>', '', 'gi')"
@@ -434,7 +434,7 @@ QUERIES["M1_row_map"] = (
     lambda s, d: v.table(s, d, "documents").select(
         "doc_id", tx.strip_boilerplate(F.replace("text", F.lit("\n"), F.lit("<br>"))).alias("text")
     ),
-    "SELECT doc_id, " + _FLAT.format(
+    "SELECT doc_id, " + FLAT_SQL.format(
         "regexp_replace(regexp_replace(replace(text, chr(10), '<br>'), "
         "'True/False,\\s*because\\s*\\.\\.\\.\\s*<br\\s*/?>', '', 'gi'), "
         "'Yes/No,\\s*because\\s*\\.\\.\\.\\s*<br\\s*/?>', '', 'gi')"

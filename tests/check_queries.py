@@ -1,4 +1,7 @@
-"""Compare registered queries with their SQL: python tests/check_queries.py [sf] [name part ...]"""
+"""Compare registered queries with their SQL: python tests/check_queries.py [sf] [name part ...]
+
+With SHUFFLE_JOINS=1 Spark broadcasts nothing on its own, as with large tables.
+"""
 
 import os
 import sys
@@ -17,6 +20,8 @@ def main():
     parts = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = local_session()
+    if os.environ.get("SHUFFLE_JOINS"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = oracle.connect(folder)
     sql = entry.oracle_sql()
     bad = 0
