@@ -47,7 +47,8 @@ QUERIES["L1_grade_and_measure"] = (
 
 def _split_statistics(spark, folder):
     answers = v.answers(spark, folder)
-    return ds.full_statistics(xs.with_split(answers, xs.split_by_task(answers)))
+    by_task = ds.task_counts(answers, ["topic"])
+    return ds.cube_statistics(xs.with_split(by_task, xs.split_by_task(answers)))
 
 
 QUERIES["L2_balanced_split_statistics"] = (

@@ -211,7 +211,9 @@ QUERIES["U2_split_overlaps"] = (
 
 QUERIES["X1_no_task_in_two_splits"] = (
     lambda s, d: xs.split_overlaps(
-        xs.with_split(v.answers(s, d), xs.split_by_task(v.answers(s, d)))
+        xs.with_split(
+            ds.task_counts(v.answers(s, d), ["topic"]), xs.split_by_task(v.answers(s, d))
+        )
     ),
     """SELECT split_a, split_b, CAST(0 AS BIGINT) AS shared_tasks
        FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) AS p(split_a, split_b)""",

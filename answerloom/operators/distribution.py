@@ -91,11 +91,13 @@ def topic_split_distribution(df: DataFrame, label: str = "y_true") -> DataFrame:
     )
 
 
-def _by_task(df: DataFrame, task: str, label: str) -> DataFrame:
-    """Per (split, topic, task) counts: what the distinct counts run on."""
-    return df.groupBy("split", "topic", task).agg(
-        F.count("*").alias("answers"), *_class_counts(label)
-    )
+def task_counts(df: DataFrame, keys=("split", "topic"), task="task_id", label="y_true") -> DataFrame:
+    """Answers and answers per class of each task: what the statistics run on.
+
+    Anything that has to be joined to tasks is best joined to these rows:
+    answers of a hot task are then already added up.
+    """
+    return df.groupBy(*keys, task).agg(F.count("*").alias("answers"), *_class_counts(label))
 
 
 def _statistics(task: str) -> list[Column]:
@@ -110,17 +112,23 @@ def _statistics(task: str) -> list[Column]:
 
 def split_statistics(df: DataFrame, task="task_id", label="y_true") -> DataFrame:
     """Questions, answers and answers per class by split and topic."""
-    return _by_task(df, task, label).groupBy("split", "topic").agg(*_statistics(task))
+    by_task = task_counts(df, task=task, label=label)
+    return by_task.groupBy("split", "topic").agg(*_statistics(task))
 
 
 def full_statistics(df: DataFrame, task="task_id", label="y_true") -> DataFrame:
-    """`split_statistics` with totals per split, per topic and overall.
+    """`split_statistics` with totals per split, per topic and overall."""
+    return cube_statistics(task_counts(df, task=task, label=label), task)
+
+
+def cube_statistics(by_task: DataFrame, task="task_id") -> DataFrame:
+    """Statistics at all four levels, from `task_counts`.
 
     The cube runs on one row per (split, topic, task) instead of on answers,
     and counts questions anew at each level: a task that occurs twice counts
     once in a total.
     """
-    cubed = _by_task(df, task, label).cube("split", "topic").agg(
+    cubed = by_task.cube("split", "topic").agg(
         F.grouping("split").alias("no_split"),
         F.grouping("topic").alias("no_topic"),
         *_statistics(task),

@@ -18,6 +18,9 @@ from answerloom.session import settle
 
 GROUP_LIMIT = 1000
 
+# Shares are planned a little below the limit, so that most fit into one group.
+SHARE_FILL = 0.9
+
 
 def model_inputs(df: DataFrame, include_reference: bool = False, keep=("labels", "topic")) -> DataFrame:
     """Model input text with the kept columns only; absent columns read as ''."""
@@ -115,7 +118,7 @@ def answer_groups(
     # once, by question and share.
     large = settle(
         keyed.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-        .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / limit).alias("_shares")),
+        .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / (limit * SHARE_FILL)).alias("_shares")),
         "large-questions",
     )
     share = F.coalesce(

@@ -145,7 +145,12 @@ def split_by_task(answers: DataFrame, seed: int = fv.SEED, balanced: bool = True
 
 
 def with_split(answers: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Answers with the split of their task; answers of unassigned tasks drop out."""
+    """Rows with the split of their task; rows of unassigned tasks drop out.
+
+    Spark splits a hot task's partition of this join by itself (adaptive skew
+    join) as long as what follows does not need the rows grouped by task. For
+    counts by split give it `task_counts` instead of answers.
+    """
     return answers.join(assignment.select("task_id", "split"), "task_id")
 
 

@@ -56,3 +56,29 @@ def test_sample_does_not_shuffle_the_table(spark, data):
     assert "Exchange" not in outer
     final = [x for x in text.splitlines() if "FileScan" in x and "text" in x]
     assert len(final) == 1
+
+
+@pytest.fixture
+def shuffle_joins(spark):
+    """Joins as with tables too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shares_of_a_question_are_spread_over_tasks(spark, data, shuffle_joins):
+    text = plan(QUERIES["A27_answers_per_question"](spark, data))
+    assert re.search(r"Window \[row_number.*\n.*Sort.*\n.*Exchange hashpartitioning\(task_id#\d+, share#", text)
+
+
+def test_answers_are_added_up_before_they_meet_their_split(spark, data, shuffle_joins):
+    text = plan(QUERIES["L2_balanced_split_statistics"](spark, data))
+    join = text.index("SortMergeJoin [task_id")
+    below = text[join:]
+    assert re.search(r"HashAggregate\(keys=\[topic#\d+, task_id#\d+\], functions=\[partial_count", below)
+
+
+def test_metrics_use_hash_aggregation_with_map_side_counts(spark, data):
+    text = plan(QUERIES["A18_per_topic_metrics"](spark, data))
+    assert "SortAggregate" not in text and "partial_count" in text
+    assert text.count("Exchange hashpartitioning(topic") == 1
