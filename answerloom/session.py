@@ -1,15 +1,17 @@
 """Session helpers for local runs, and the shared scratch folder."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int = 8, name: str = "answerloom") -> SparkSession:
-    """A session for tests and the bench; clusters bring their own."""
-    spark = (
+def local_session(cpus: int = 8, name: str = "answerloom", shared: str | None = None) -> SparkSession:
+    """A session for tests and the bench; clusters bring their own.
+
+    `shared` is the folder for intermediate tables, spark.checkpoint.dir.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -18,8 +20,10 @@ def local_session(cpus: int = 8, name: str = "answerloom") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -27,21 +31,34 @@ def local_session(cpus: int = 8, name: str = "answerloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares, as named in spark.checkpoint.dir.
 
-    Where none is named, a local session gets a temporary one.
+    Where none is named, a folder in the warehouse, which a cluster shares too.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="answerloom-")
-        context.setCheckpointDir(folder)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/answerloom_scratch"
     return folder.rstrip("/")
 
 
+# Scratch folders of each session, by application id.
+_written: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, known to `clear_scratch`."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this session put under scratch paths; call it once results are stored.
+
+    Returns how many paths it deleted. DataFrames that read them fail afterwards.
+    """
+    jvm, gone = spark.sparkContext._jvm, 0
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        gone += place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return gone
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:

@@ -5,6 +5,7 @@ With SHUFFLE_JOINS=1 Spark broadcasts nothing on its own, as with large tables.
 
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -19,7 +20,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     parts = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
-    spark = local_session()
+    spark = local_session(shared=tempfile.mkdtemp(prefix="check-"))
     if os.environ.get("SHUFFLE_JOINS"):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = oracle.connect(folder)

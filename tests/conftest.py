@@ -13,8 +13,8 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(4, "tests")
+def spark(tmp_path_factory):
+    return local_session(4, "tests", str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")
