@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom.session import settle
 
-#: Tables with at most so many long values are broadcast (at most 32 MB);
-#: larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Tables up to this size are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def small_side(ids: DataFrame) -> DataFrame:
-    """A settled table of one or two longs a row, marked for broadcast if its counted size allows."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+def small_side(table: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """A settled table with rows of a fixed size, marked for broadcast if its counted size allows."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerloom.llm import decontaminate, line_dedup, near_copies
+import public_tokenizers
+from answerloom.llm import byte_bpe, decontaminate, line_dedup, near_copies, quality_rules
 from answerloom.llm import queries_sql as sql
 
 
@@ -22,8 +23,19 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, folder, "documents"))
 
 
+def byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_report(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op3_benchmark_decontamination": (benchmark_windows, sql.BENCHMARK_WINDOWS),
     "op5_line_dedup": (repeated_lines, sql.REPEATED_LINES),
     "op8_minhash_near_dedup": (near_duplicates, sql.NEAR_DUPLICATES),
+    "op9_byte_bpe": (byte_pairs, None),
+    "op10_quality_rules": (quality, None),
 }

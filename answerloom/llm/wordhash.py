@@ -1,7 +1,7 @@
 """Words, shingles and minima of whole texts as 64-bit hashes, with numpy.
 
 For use inside Arrow tasks. Words are maximal runs of bytes outside
-`[\\x20\\x09-\\x0D]` of the UTF-8 text, with A-Z lower-cased. A text is worked
+`[\\x20\\x09-\\x0D]` of the UTF-8 text, with A-Z lower-cased unless asked otherwise. A text is worked
 through in pieces cut at white space, so memory follows the piece, not the
 text.
 """
@@ -26,13 +26,14 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(steps + np.uint64(salt)) | np.uint64(1)
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(fold: bool) -> np.ndarray:
     values = seeds(256, 11)
-    values[65:91] = values[97:123]
+    if fold:
+        values[65:91] = values[97:123]
     return values
 
 
-BYTE_VALUES = _byte_values()
+FOLDED, EXACT = _byte_values(True), _byte_values(False)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 # Powers of an odd base, for the places of bytes within a word.
@@ -45,7 +46,7 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(powers)
 
 
-def _piece_words(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece_words(piece: np.ndarray, byte_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one piece of bytes."""
     inside = ~SPACE[piece]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
@@ -56,23 +57,26 @@ def _piece_words(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     body = piece[inside]
     firsts = np.cumsum(lengths) - lengths
     place = np.arange(len(body)) - np.repeat(firsts, lengths)
-    values = BYTE_VALUES[body] * _powers(int(lengths.max()))[place]
+    values = byte_values[body] * _powers(int(lengths.max()))[place]
     sums = np.add.reduceat(values, firsts)
     return mix(sums + lengths.astype(np.uint64)), starts, ends
 
 
-def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, byte after the last) of each word of a text."""
+def words(text: bytes, byte_values: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after the last) of each word of a text.
+
+    With EXACT in place of FOLDED, capital letters count as different.
+    """
     data = np.frombuffer(text, dtype=np.uint8)
     if len(data) <= PIECE_BYTES:
-        return _piece_words(data)
+        return _piece_words(data, byte_values)
     parts, at = [], 0
     while at < len(data):
         end = min(at + PIECE_BYTES, len(data))
         while end < len(data) and not SPACE[data[end]]:
             step = np.flatnonzero(SPACE[data[end : end + PIECE_BYTES]])
             end = end + int(step[0]) if len(step) else min(end + PIECE_BYTES, len(data))
-        hashes, starts, ends = _piece_words(data[at:end])
+        hashes, starts, ends = _piece_words(data[at:end], byte_values)
         parts.append((hashes, starts + at, ends + at))
         at = end
     return tuple(np.concatenate(x) for x in zip(*parts))
