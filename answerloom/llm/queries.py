@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from answerloom.llm import byte_bpe, decontaminate, line_dedup, near_copies, quality_rules
+from answerloom.llm import (
+    byte_bpe, decontaminate, license_scan, line_dedup, near_copies, passages, quality_rules, secret_scan, url_rules, warc,
+)
 from answerloom.llm import queries_sql as sql
 
 
@@ -32,9 +34,35 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, folder, "documents"))
 
 
+def archive_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, folder, "documents"))
+
+
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.passage_spans(_table(spark, folder, "documents")).drop("mark")
+
+
+def urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return url_rules.judge(pages, url_rules.listed_labels(pages))
+
+
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_warc": (archive_round_trip, sql.ARCHIVES),
+    "op2_license_scan": (licenses, sql.LICENSES),
     "op3_benchmark_decontamination": (benchmark_windows, sql.BENCHMARK_WINDOWS),
+    "op4_passage_dedup": (repeated_passages, None),
     "op5_line_dedup": (repeated_lines, sql.REPEATED_LINES),
+    "op6_url_rules": (urls, None),
+    "op7_secret_scan": (secrets, None),
     "op8_minhash_near_dedup": (near_duplicates, sql.NEAR_DUPLICATES),
     "op9_byte_bpe": (byte_pairs, None),
     "op10_quality_rules": (quality, None),

@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries of this subpackage."""
 
+from answerloom.llm import license_scan
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -80,3 +82,50 @@ shared AS (
 SELECT doc_id, item_id, similarity, start AS first_word, whole + 4 AS n_words
 FROM close QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ARCHIVES = f"""
+WITH hashed AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), firsts AS (SELECT hex, min(page_id) AS first FROM hashed GROUP BY hex)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string([
+           '{_BASE32}'[1 + ((('0x' || hex[1 + 5 * (k // 4):5 + 5 * (k // 4)])::BIGINT >> (15 - 5 * (k % 4))) & 31)]
+           FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed JOIN firsts USING (hex)
+"""
+
+
+def _licenses() -> str:
+    """Phrases by their word lists, templates as regular expressions over spaced words."""
+    spots, base = [], []
+    for phrase, label in license_scan.PHRASES:
+        words = phrase.split()
+        stand = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+        spots.append(f"[i - 1 FOR i IN range(1, len(w) + 1) IF {stand}]")
+        base.append(f"CASE WHEN contains(joined, ' {phrase} ') THEN '{label}' END")
+    own = [
+        f"CASE WHEN regexp_matches(joined, '{license_scan.as_regex(text)}') THEN '{label}' END"
+        for label, text in license_scan.TEMPLATES
+    ]
+    tidy = "list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL)))"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH worded AS (
+    SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{word}') AS w FROM documents
+), spaced AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM worded),
+found AS (
+    SELECT doc_id, len(w) AS n_words, flatten([{", ".join(spots)}]) AS spots,
+           {tidy.format(", ".join(base))} AS base, {tidy.format(", ".join(own))} AS own
+    FROM spaced
+)
+SELECT doc_id, n_words, len(spots) AS n_base, list_min(spots)::BIGINT AS first_word, list_max(spots)::BIGINT AS last_word,
+       array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
+       CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM found
+"""
+
+
+LICENSES = _licenses()
