@@ -24,7 +24,7 @@ Rows that repeat a doc_id are reported once, with their best window.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom.llm.linking import small_side
-from answerloom.llm.rows import keyed_texts, text_key
+from answerloom.llm.rows import keyed_texts, without_rows
 from answerloom.session import settle
 
 SHINGLE_WORDS = 5
@@ -179,11 +179,5 @@ def contaminated(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows and columns of docs, without those in whose text an item is found."""
-    found = settle(
-        matches(docs, benchmark, percent).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(),
-        "found",
-    )
-    mark = text_key(docs["text"].cast("string"))
-    return docs.join(
-        found, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (mark == F.col("_mark")), "left_anti"
-    )
+    found = settle(matches(docs, benchmark, percent).select("doc_id", "mark").distinct(), "found")
+    return without_rows(docs, small_side(found))

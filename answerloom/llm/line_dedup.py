@@ -105,13 +105,11 @@ def without_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
 
     Where there is a column n_chars, it counts the code points of the text left over.
     """
-    bitmaps = settle(keep_bitmaps(docs, min_docs, min_chars), "bitmaps").select(
-        F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "dropped"
-    )
+    bitmaps = settle(keep_bitmaps(docs, min_docs, min_chars), "bitmaps")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     text = F.col("row.text").cast("string")
     joined = whole.join(
-        bitmaps, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_key(text) == F.col("_mark")), "left"
+        bitmaps, F.col("row.doc_id").cast("long").eqNullSafe(bitmaps["doc_id"]) & (text_key(text) == bitmaps["mark"]), "left"
     )
     left = joined.select("row", _line_columns(text)["rest"].alias("rest"))
     changed = {"text": F.col("rest")}

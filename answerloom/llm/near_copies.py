@@ -123,5 +123,5 @@ def without_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     The one with the smallest doc_id stays, all its rows included.
     """
-    dropped = near_copies(docs, percent).filter("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(settle(dropped, "copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
+    dropped = settle(near_copies(docs, percent).filter("not kept").select("doc_id").distinct(), "copies")
+    return docs.join(linking.small_side(dropped, 8), docs["doc_id"].cast("long") == dropped["doc_id"], "left_anti")

@@ -9,8 +9,8 @@ gives both the same paragraph at least once.
 Paragraphs of equal words are one node. Minima of their shingles are cut into BANDS bands of two: at
 similarity 0.75 a pair shares a band with a chance of 98 %, and a passage holds
 several paragraphs. Colliding paragraphs are confirmed by exact Jaccard similarity of
-their five-word shingles, and components of links are repeated passages. The occurrence in the smallest
-doc_id stays (of one document, the first), all others are removals; those next to or over each other are one span.
+their five-word shingles, and components of links are repeated passages. What stands in the smallest doc_id
+stays, all other occurrences are removals; those next to or over each other are one span.
 
 Words are runs outside `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Texts of fewer than WORDS words, NULL and
 empty ones have no paragraphs; what repeats within one document only is no repeat. Rows
@@ -151,12 +151,11 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             "doc_id", "mark", "start", F.coalesce("component", "node").alias("passage")
         ), "placed-paragraphs",
     )
-    spot = F.struct("doc_id", "mark", "start")
-    firsts = placed.groupBy("passage").agg(F.min(spot).alias("first"), F.max("doc_id").alias("last")).filter(
-        F.col("first.doc_id") < F.col("last")
+    firsts = placed.groupBy("passage").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).filter(
+        "first_doc < last"
     )
     return placed.join(firsts, "passage").select(
-        "doc_id", "mark", "start", "passage", F.col("first.doc_id").alias("first_doc"), (F.col("first") != spot).alias("removed")
+        "doc_id", "mark", "start", "passage", "first_doc", (F.col("doc_id") != F.col("first_doc")).alias("removed")
     )
 
 
@@ -199,11 +198,11 @@ def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     changed = settle(
         texts.join(cuts, same_row(texts, cuts)).select(texts["doc_id"], texts["mark"], "text", "cuts")
         .mapInArrow(_cut, "doc_id long, mark long, rest string"), "cut-texts",
-    ).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "rest")
+    )
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     text = F.col("row.text").cast("string")
     joined = whole.join(
-        changed, (F.col("row.doc_id").cast("long") == F.col("_doc")) & (text_key(text) == F.col("_mark")), "left"
+        changed, (F.col("row.doc_id").cast("long") == changed["doc_id"]) & (text_key(text) == changed["mark"]), "left"
     )
     return joined.select(*[
         (F.coalesce("rest", text) if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns

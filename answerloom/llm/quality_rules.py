@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from answerloom.llm import wordhash
 from answerloom.llm.linking import small_side
-from answerloom.llm.rows import text_key
+from answerloom.llm.rows import text_key, without_rows
 from answerloom.session import settle
 
 MIN_WORDS = 50
@@ -272,13 +272,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs that are kept."""
     rejected = settle(
-        judged(docs).filter("not kept").select(
-            F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("group_key").alias("_group")
-        ).distinct(), "rejected",
+        judged(docs).filter("not kept").select("doc_id", "mark", "group_key").distinct(), "rejected",
     )
     lang, source = (F.coalesce(docs[c].cast("string"), F.lit("\0")) for c in ("lang", "source"))
-    return docs.join(
-        small_side(rejected, 24),
-        docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (text_key(docs["text"].cast("string")) == F.col("_mark"))
-        & (F.xxhash64(F.lit("source"), lang, source) == F.col("_group")), "left_anti",
-    )
+    return without_rows(docs, small_side(rejected, 24), {"group_key": F.xxhash64(F.lit("source"), lang, source)})

@@ -28,3 +28,14 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     """Rows of equal (doc_id, mark); NULL ids are equal to each other."""
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["mark"] == right["mark"])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """The rows and columns of docs, save those whose doc_id and mark are in `gone`.
+
+    `extra` maps further columns of `gone` to what they must equal.
+    """
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (text_key(docs["text"].cast("string")) == gone["mark"])
+    for name, value in (extra or {}).items():
+        same = same & (value == gone[name])
+    return docs.join(gone, same, "left_anti")
