@@ -177,6 +177,22 @@ QUERIES["A23_point_sum_mismatches"] = (
              ELSE 3 END) > 0.01""",
 )
 
+# Sections whose points are all missing count 0.
+QUERIES["A23_missing_points"] = (
+    lambda s, d: rs.sum_mismatches(
+        v.subtask_points(s, d).select(
+            "participant", F.lit("all").alias("section"), F.when(F.col("letter") > "b", F.col("points")).alias("points")
+        ),
+        v.table(s, d, "orders").select(
+            F.col("o_orderkey").alias("participant"), F.lit("all").alias("section"), F.lit(1.0).alias("total")
+        ),
+        ["participant", "section"],
+    ),
+    "WITH " + v.SUBTASK_POINTS + """, sums AS (
+      SELECT participant, sum(CASE WHEN letter > 'b' THEN points ELSE 0 END) AS calculated FROM subtask_points GROUP BY participant)
+    SELECT participant, 'all' AS section, calculated, 1.0::DOUBLE AS expected FROM sums WHERE abs(calculated - 1) > 0.01""",
+)
+
 QUERIES["J6_task_requests"] = (
     lambda s, d: gn.requests(
         v.table(s, d, "documents").select(

@@ -28,7 +28,7 @@ _GROUPED = (
 )
 
 QUERIES["A27_answers_per_question"] = (
-    lambda s, d: sc.answer_groups(v.pairs(s, d)).select(
+    lambda s, d: sc.answer_groups(v.pairs(s, d), limit=1000).select(
         "task_id", "question", "reference_answer",
         F.array_join(F.transform("members", lambda m: m["answer"]), "|").alias("answers"),
         F.size("members").alias("n"),
@@ -41,6 +41,28 @@ QUERIES["A27_answers_per_question"] = (
 )
 
 
+# Topics as questions: thousands of answers each, cut in row order.
+QUERIES["A27_answers_of_large_questions"] = (
+    lambda s, d: sc.answer_groups(
+        v.answers(s, d).select(
+            "topic", "row_id", F.col("row_id").alias("row_no"), F.concat_ws(" ", "task_id", "priority").alias("question"),
+            F.col("labels").alias("reference_answer"), F.concat_ws("/", "labels", "row_id").alias("student_answer"),
+        ),
+        limit=1000, key="topic",
+    ).select(
+        "topic", "part", "question", "reference_answer", F.size("members").alias("n"),
+        F.md5(F.array_join(F.transform("members", lambda m: m["answer"]), "|")).alias("answers"),
+    ),
+    "WITH " + v.ANSWERS + """, placed AS (
+      SELECT topic, labels || '/' || row_id AS answer, row_id, row_number() OVER w AS pos,
+             first_value(task_id || ' ' || priority) OVER w AS question, first_value(labels) OVER w AS reference_answer
+      FROM answers WINDOW w AS (PARTITION BY topic ORDER BY row_id))
+    SELECT topic, (pos - 1) // 1000 AS part, question, reference_answer, CAST(count(*) AS INTEGER) AS n,
+           md5(string_agg(answer, '|' ORDER BY row_id)) AS answers
+    FROM placed GROUP BY ALL""",
+)
+
+
 def order_answers(spark, folder):
     """Order answers with a text: several answers per task, none for some segments' key."""
     return v.answers(spark, folder).select(
@@ -54,7 +76,7 @@ def order_answers(spark, folder):
 
 QUERIES["M4_J7_question_grader"] = (
     lambda s, d: sc.score_questions(
-        order_answers(s, d), stubs.question_predictor, carry=("y_true",)
+        order_answers(s, d), stubs.question_predictor, limit=1000, carry=("y_true",)
     ).select("row_id", "task_id", "y_true", "y_pred"),
     "WITH " + v.ANSWERS + """, a AS (
       SELECT CASE WHEN priority <> '5-LOW' THEN task_id END AS task_id, row_id, y_true,
@@ -113,7 +135,7 @@ QUERIES["M6_generate_per_question"] = (
 )
 
 QUERIES["M6_generate_all_batched"] = (
-    lambda s, d: gn.generate(turn_tasks(s, d), QUOTAS, stubs.batch_generator, "all"),
+    lambda s, d: gn.generate(turn_tasks(s, d), QUOTAS, stubs.batch_generator, "all", tasks_per_call=50),
     "WITH " + TURN_TASKS + f"""
     SELECT task_id, question, reference_answer, topic, label || ' ' || (i - 1) || ' ' || question
              AS student_answer, label AS labels, CAST(NULL AS VARCHAR) AS reject_reason

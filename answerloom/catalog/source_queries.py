@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F, types as T
 
 from answerloom import schemas
-from answerloom.catalog import metric_queries, text_queries, views as v
+from answerloom.catalog import metric_queries, split_queries, text_queries, views as v
 from answerloom.functions.labels import strict_label
-from answerloom.operators import metrics as mt, training as tr
+from answerloom.operators import confusion as cm, metrics as mt, training as tr
 from answerloom.operators.scoring import model_inputs
 from answerloom.operators.split import split_by_task, with_split
+from answerloom.plans import grid
 from answerloom.session import scratch_path
 from answerloom.sources import readers, writers
 
@@ -239,23 +240,79 @@ def _labelled_documents(spark, folder):
     return spark.read.parquet(path)
 
 
+# The same split in SQL: documents are tasks, languages topics.
+_LABELLED = """answers AS (
+  SELECT CAST(doc_id AS VARCHAR) AS task_id, lang AS topic, CAST(quality + 1 - toxic AS INTEGER) AS y_true
+  FROM labels JOIN documents USING (doc_id))"""
+_LABELLED_SPLIT = ", ".join([_LABELLED, split_queries.TASKS, split_queries.QUOTA, split_queries.BALANCED])
+
+
 def _trained(spark, folder):
+    """What is determined of a trained model's report: whom it was tested on, and that it learned something."""
     rows = _labelled_documents(spark, folder)
     model = tr.train(rows.filter("split = 'train'"), features=1 << 12, iterations=10)
-    return mt.long_report(tr.predict(model, rows.filter("split = 'test'")))
+    counts = cm.cells(tr.predict(model, rows.filter("split = 'test'")), ["topic"])
+    scopes = cm.with_marginals(cm.with_overall(counts, "topic")).join(
+        mt.summary(cm.with_overall(counts, "topic"), ["scope", "key"]).select("scope", "key", "accuracy"), ["scope", "key"]
+    )
+    most = F.greatest("support_0", "support_1", "support_2") / F.col("rows")
+    # Overall it has to beat the most frequent class; small languages need not.
+    return scopes.select(
+        "scope", "key", F.col("rows").alias("support"), "scored",
+        ((F.col("accuracy") >= most) | (F.col("scope") != "overall")).alias("beats_naive"),
+    )
 
 
-QUERIES["T1_train_and_evaluate"] = (_trained, None)
+QUERIES["T1_train_and_evaluate"] = (
+    _trained,
+    "WITH " + _LABELLED_SPLIT + """, test AS (
+      SELECT a.topic FROM answers a JOIN assigned USING (task_id) WHERE split = 'test')
+    SELECT CASE WHEN grouping(topic) = 1 THEN 'overall' ELSE 'topic' END AS scope, coalesce(topic, 'overall') AS key,
+           count(*) AS support, count(*) AS scored, true AS beats_naive
+    FROM test GROUP BY ROLLUP (topic)""",
+)
 
 
 def _tuned(spark, folder):
+    """The grid plan on the given splits; what is determined of its rows and choices."""
     rows = _labelled_documents(spark, folder)
-    base = tr.pipeline(features=1 << 12)
-    grid = tr.param_grid(base, regularization=[0.001, 0.1], iterations=[5, 10])
-    results, _ = tr.grid_search(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'"), grid, base
+    out = grid.search(
+        rows.filter("split = 'train'"), rows.filter("split = 'val'"), regularization=[0.001, 0.1], iterations=[5, 10],
+        seeds=[1, 2], fraction=0.9, key="task_id", path=scratch_path(spark, "grid"), features=1 << 12,
+    )
+    best = out["best_per_seed"].select("seed", F.col("combination_idx").alias("best"), F.col("metric_value").alias("top"))
+    overall = out["best"].select(F.col("metric_value").alias("m")).first().m
+    return out["rows"].join(best, "seed").select(
+        F.col("seed").cast("int").alias("seed"), "combination_idx", "params", "support",
+        (F.col("metric_value") <= F.col("top")).alias("not_above_best"), (F.col("top") <= overall).alias("seed_not_above_best"),
     )
-    return results.select("combination_idx", "params", "metric_value", "support")
 
 
-QUERIES["T2_grid_on_validation_split"] = (_tuned, None)
+QUERIES["T2_grid_on_validation_split"] = (
+    _tuned,
+    "WITH " + _LABELLED_SPLIT + """, val AS (
+      SELECT count(*) AS n FROM answers JOIN assigned USING (task_id) WHERE split = 'val')
+    SELECT CAST(seed AS INTEGER) AS seed, CAST(combination_idx AS INTEGER) AS combination_idx, params, n AS support,
+           true AS not_above_best, true AS seed_not_above_best
+    FROM val, (VALUES (1), (2)) AS s(seed), (VALUES (1, 'regParam=0.001, maxIter=5'), (2, 'regParam=0.001, maxIter=10'),
+      (3, 'regParam=0.1, maxIter=5'), (4, 'regParam=0.1, maxIter=10')) AS g(combination_idx, params)""",
+)
+
+
+def _params(spark, folder):
+    """Parameters of two runs, the first stored twice."""
+    path = scratch_path(spark, "params")
+    for run in ("first", "second", "first"):
+        n = v.table(spark, folder, "nation").count()
+        writers.params(
+            spark, run, {"model": {"name": "m", "output_dir": "x", "layers": n}, "direction": "up"}, path, ("_dir",)
+        )
+    return spark.read.parquet(path)
+
+
+QUERIES["S10_params_sink"] = (
+    _params,
+    """SELECT run_id, param, value FROM (VALUES ('first'), ('second')) AS r(run_id),
+       (SELECT 'model.name' AS param, 'm' AS value UNION ALL SELECT 'direction', 'up'
+        UNION ALL SELECT 'model.layers', CAST(count(*) AS VARCHAR) FROM nation)""",
+)

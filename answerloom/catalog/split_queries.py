@@ -156,41 +156,45 @@ QUERIES["F6_membership_by_key_set"] = (
       (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)""",
 )
 
-# One step of the walk through a topic's tasks, as SQL: distances to what each
-# split still lacks, and the nearest split that has room.
-_D = ("train", "val", "test")
-_MOVE = ", ".join(
-    [f"CASE WHEN pick = '{s}' THEN {s}_{c} - n_{c} ELSE {s}_{c} END AS {s}_{c}" for s in _D for c in range(3)]
-    + [f"room_{s} - CASE WHEN pick = '{s}' THEN 1 ELSE 0 END AS room_{s}" for s in _D]
-)
-_STATE = [f"{s}_{c}" for s in _D for c in range(3)] + [f"room_{s}" for s in _D]
-
-def walk_sql():
-    distance = {
-        s: "+".join(f"abs(w.{s}_{c} - k.n_{c})" for c in range(3)) for s in _D
-    }
-    step = ", ".join(
-        f"CASE WHEN w.room_{s} > 0 THEN {distance[s]} ELSE 1000000000000 END AS d_{s}" for s in _D
-    )
-    start = ", ".join(f"CAST({s}_{c} AS BIGINT) AS {s}_{c}" for s in _D for c in range(3))
-    state = ", ".join(f"w.{c}" for c in _STATE)
-    return f"""walk AS (
-      SELECT topic, CAST(0 AS BIGINT) AS pos, CAST('' AS VARCHAR) AS task_id,
-             CAST('' AS VARCHAR) AS split, {start}, CAST(n - 2*q AS BIGINT) AS room_train,
-             CAST(q AS BIGINT) AS room_val, CAST(q AS BIGINT) AS room_test
-      FROM targets JOIN (SELECT DISTINCT topic, n, q FROM quotas) USING (topic)
-      UNION ALL
-      SELECT topic, pos, task_id, pick, {_MOVE}
-      FROM (SELECT *, CASE WHEN d_train <= d_val AND d_train <= d_test THEN 'train'
-                 WHEN d_val <= d_test THEN 'val' ELSE 'test' END AS pick
-            FROM (SELECT w.topic, k.pos, k.task_id, k.n_0, k.n_1, k.n_2, {state}, {step}
-                  FROM walk w JOIN quotas k ON k.topic = w.topic AND k.pos = w.pos + 1)))"""
+# Tasks of a topic in order of their class counts, equal ones by hash; one of every n / (2 q) ranks is held out.
+BALANCED = """held AS (
+  SELECT *, r * 2 * q // n AS h, (r - 1) * 2 * q // n AS h_before
+  FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n_0, n_1, n_2, md5('42:' || task_id), task_id) AS r
+        FROM quotas)),
+assigned AS (
+  SELECT task_id, topic, n_0, n_1, n_2, CASE WHEN h = h_before THEN 'train' WHEN h % 2 = 1 THEN 'val' ELSE 'test' END AS split
+  FROM held)"""
 
+ASSIGNED = ", ".join([v.ANSWERS, TASKS, QUOTA, BALANCED])
 
 QUERIES["X2a_balanced_split"] = (
     lambda s, d: xs.split_by_task(v.answers(s, d)),
-    "WITH RECURSIVE " + ", ".join([v.ANSWERS, TASKS, QUOTA, TARGETS, walk_sql()])
-    + " SELECT task_id, topic, split FROM walk WHERE pos > 0",
+    "WITH " + ASSIGNED + " SELECT task_id, topic, split FROM assigned",
+)
+
+# All tasks under one topic: the same rule for a topic of any size.
+QUERIES["X2a_single_topic"] = (
+    lambda s, d: xs.split_by_task(v.answers(s, d).withColumn("topic", F.lit("all"))),
+    "WITH " + ASSIGNED.replace("c_mktsegment AS topic", "'all' AS topic") + " SELECT task_id, topic, split FROM assigned",
+)
+
+
+def _distances(spark, folder):
+    tasks = ds.task_label_counts(v.answers(spark, folder))
+    return xs.target_distances(tasks, xs.balanced_split(tasks))
+
+
+_WANTED = " UNION ALL ".join(
+    f"SELECT topic, '{s}' AS split, CAST({c} AS INTEGER) AS label, {s}_{c} AS target FROM targets"
+    for s in ("train", "val", "test") for c in range(3)
+)
+
+QUERIES["X2a_distance_to_targets"] = (
+    _distances,
+    "WITH " + ASSIGNED + ", " + TARGETS + f""", wanted AS ({_WANTED}),
+    given AS (SELECT topic, split, CAST(label AS INTEGER) AS label, CAST(sum(n) AS BIGINT) AS actual
+              FROM (SELECT topic, split, unnest([0, 1, 2]) AS label, unnest([n_0, n_1, n_2]) AS n FROM assigned) GROUP BY ALL)
+    SELECT topic, split, label, target, coalesce(actual, 0) AS actual FROM wanted LEFT JOIN given USING (topic, split, label)""",
 )
 
 QUERIES["U2_split_overlaps"] = (
@@ -209,14 +213,23 @@ QUERIES["U2_split_overlaps"] = (
     GROUP BY p.split_a, p.split_b""",
 )
 
+def _summary(spark, folder):
+    answers = v.answers(spark, folder)
+    counts = ds.task_counts(answers, ["topic"])
+    rows = counts.withColumn("n", F.col("n_0") + F.col("n_1") + F.col("n_2"))
+    return xs.split_summary(xs.with_split(rows, xs.split_by_task(answers)), "n")
+
+
 QUERIES["X1_no_task_in_two_splits"] = (
-    lambda s, d: xs.split_overlaps(
-        xs.with_split(
-            ds.task_counts(v.answers(s, d), ["topic"]), xs.split_by_task(v.answers(s, d))
-        )
-    ),
-    """SELECT split_a, split_b, CAST(0 AS BIGINT) AS shared_tasks
-       FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) AS p(split_a, split_b)""",
+    _summary,
+    "WITH " + ASSIGNED + """, k AS (
+      SELECT split, task_id, count(*) AS n FROM answers JOIN assigned USING (task_id) GROUP BY split, task_id),
+    sizes AS (SELECT split, count(*) AS tasks, CAST(sum(n) AS BIGINT) AS answers FROM k GROUP BY split)
+    SELECT p.split_a, p.split_b,
+           (SELECT count(*) FROM k x JOIN k y USING (task_id) WHERE x.split = p.split_a AND y.split = p.split_b) AS shared_tasks,
+           a.tasks AS tasks_a, b.tasks AS tasks_b, a.answers AS answers_a, b.answers AS answers_b
+    FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) AS p(split_a, split_b)
+    JOIN sizes a ON a.split = p.split_a JOIN sizes b ON b.split = p.split_b""",
 )
 
 QUERIES["U1_union_of_splits"] = (

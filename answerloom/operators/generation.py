@@ -106,7 +106,8 @@ def _call(inputs: DataFrame, make_generator: Callable, arguments, reply: str) ->
             for values in zip(*[batch.column(a).to_pylist() for a in arguments]):
                 try:
                     given = generate(*values)
-                    replies.append([given] if reply == "one" else list(given))
+                    texts = [given] if reply == "one" else list(given)
+                    replies.append(pa.array(texts, pa.string()).to_pylist())
                     errors.append(None)
                 except Exception as error:
                     replies.append(None)
@@ -164,7 +165,7 @@ def generate_per_question(tasks, quotas, make_generator, pass_reference=None) ->
 
 
 def generate_batched(
-    tasks, quotas, make_generator, pass_reference=None, tasks_per_call: int = 50
+    tasks, quotas, make_generator, tasks_per_call: int, pass_reference=None
 ) -> DataFrame:
     """One call per label for a batch of tasks: generate(label, questions, references, count).
 
@@ -235,7 +236,10 @@ MODES = {
 
 
 def generate(tasks: DataFrame, quotas: dict, make_generator: Callable, mode: str, **options) -> DataFrame:
-    """Answers and rejects in one table; reject_reason tells them apart."""
+    """Answers and rejects in one table; reject_reason tells them apart.
+
+    The mode "all" needs `tasks_per_call`, as that decides what a call sees.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {sorted(MODES)}, got {mode!r}")
     return MODES[mode](tasks, quotas, make_generator, **options)

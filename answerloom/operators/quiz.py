@@ -10,6 +10,7 @@ from answerloom.functions.text import (
 )
 from answerloom.operators.ranking import allocate_ids
 from answerloom.operators.reshape import lettered_tasks, lookup, overlay, pivot_wide, sum_mismatches
+from answerloom.session import settle
 
 SUBTASKS = [f"{section}_{x}" for section, letters in fv.QUIZ_LETTERS.items() for x in letters]
 
@@ -177,15 +178,16 @@ def long_answers(
 def to_answers(quiz: DataFrame, existing: DataFrame) -> DataFrame:
     """Long quiz rows as answers, with new task ids.
 
-    Rows that cannot be labelled carry a reject_reason instead of ending the
-    job.
+    Rows that cannot be labelled, or have no task, carry a reject_reason
+    instead of ending the job. The tasks are few and are settled, so their size is known when
+    the rows are joined.
     """
     rows = drop_header_rows(quiz)
-    ids = allocate_ids(existing, rows)
+    ids = settle(allocate_ids(existing, rows), "task-ids").withColumnRenamed("task", "_task")
     label = try_points_label(F.col("points"))
     topic = try_topic_of_task(F.col("task"))
     reason = F.when(label.isNull(), "points").when(topic.isNull(), "task")
-    return rows.join(ids, "task").select(
+    return rows.join(ids, F.col("task") == F.col("_task"), "left").select(
         F.col("task_id").cast("string").alias("task_id"),
         "question",
         "reference_answer",

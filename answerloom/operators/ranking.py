@@ -7,35 +7,54 @@ from answerloom.session import settle
 _PLACE_BITS = 33
 
 
-def hash_rank(df: DataFrame, keys, hashed: str, ties, name="rank", digits: int = 3) -> DataFrame:
-    """Rank from 1 within each key group in the order of a hex hash column.
-
-    The leading hex digits cut a group into 16**digits even buckets. Rows are
-    ranked inside a bucket, and bucket sizes, added up in order, give each
-    bucket its offset: at most 16**digits rows per group. A group that holds
-    most of the table is therefore ranked by many tasks.
-    """
-    # One value per group, never NULL, so that groups with NULL keys join too.
-    group = F.struct(*keys) if keys else F.lit(0)
-    bucketed = df.withColumns({"_group": group, "_bucket": F.substring(hashed, 1, digits)})
-    before = (
-        Window.partitionBy("_group")
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+def _ranked_in_buckets(df: DataFrame, bucketed: DataFrame, order, name: str, size: str | None) -> DataFrame:
+    """Ranks from rows with _group and _bucket: places inside buckets, moved by the sizes of those before."""
+    whole = Window.partitionBy("_group")
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy("_group", "_bucket")
         .agg(F.count("*").alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .drop("_size")
+        .select(
+            "_group", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+            *([F.sum("_size").over(whole).alias(size)] if size else []),
+        )
     )
-    inside = Window.partitionBy("_group", "_bucket").orderBy(hashed, *ties)
+    inside = Window.partitionBy("_group", "_bucket").orderBy(*order)
     placed = bucketed.withColumn("_place", F.row_number().over(inside))
     return placed.join(offsets, ["_group", "_bucket"]).select(
-        *df.columns, (F.col("_offset") + F.col("_place")).alias(name)
+        *df.columns, (F.col("_offset") + F.col("_place")).alias(name), *([size] if size else [])
     )
 
 
+def hash_rank(
+    df: DataFrame, keys, hashed: str, ties, name="rank", digits: int = 3, before=(), size: str | None = None
+) -> DataFrame:
+    """Rank from 1 within each key group in the order of the columns `before`, then of a hex hash column.
+
+    The leading hex digits cut what is equal in `before` into 16**digits even
+    buckets. Rows are ranked inside a bucket, and bucket sizes, added up in
+    order, give each bucket its offset. A group that holds most of the table
+    is therefore ranked by many tasks. `size` names a column for the number
+    of rows of the group, which comes from the same sums.
+    """
+    # One value per group, never NULL, so that groups with NULL keys join too.
+    group = F.struct(*keys) if keys else F.lit(0)
+    head = F.substring(hashed, 1, digits)
+    bucketed = df.withColumns({"_group": group, "_bucket": F.struct(*before, head.alias("_head")) if before else head})
+    return _ranked_in_buckets(df, bucketed, [*before, hashed, *ties], name, size)
+
+
+def grouped_rank(df: DataFrame, key: str, order, name="rank", size: str | None = None) -> DataFrame:
+    """Rank from 1 within each key in sort order, for keys with any number of rows.
+
+    The table is range-partitioned by key and order and written once. A key
+    that fills several ranges is ranked in each, and the ranges before it are
+    added.
+    """
+    ranged = settle(df.repartitionByRange(key, *order).withColumn("_bucket", F.spark_partition_id()), "ranged")
+    return _ranked_in_buckets(df, ranged.withColumn("_group", F.struct(key)), list(order), name, size)
+
+
 def sorted_rank(df: DataFrame, order, name="rank") -> DataFrame:
     """Rank from 1 over the whole table in sort order.
 
@@ -62,11 +81,11 @@ def sorted_rank(df: DataFrame, order, name="rank") -> DataFrame:
 
 
 def allocate_ids(existing: DataFrame, new: DataFrame, task="task", id_column="task_id") -> DataFrame:
-    """(task, id) for every distinct new task, sorted, after the largest id in use.
+    """(task, id) for every distinct new task but NULL, sorted, after the largest id in use.
 
     Only distinct tasks are ranked; answers never move.
     """
     numeric = F.col(id_column).try_cast("bigint")
     largest = existing.agg(F.coalesce(F.max(numeric), F.lit(0)).alias("m")).scalar()
-    tasks = sorted_rank(new.select(task).distinct(), [task], "_rank")
+    tasks = sorted_rank(new.select(task).filter(F.col(task).isNotNull()).distinct(), [task], "_rank")
     return tasks.select(task, (largest + F.col("_rank")).alias(id_column))

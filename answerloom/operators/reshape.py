@@ -24,9 +24,22 @@ def key_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
+def unique(df: DataFrame, keys) -> DataFrame:
+    """The rows of df; a key that is there twice is an error as soon as its row is used."""
+    rest = [c for c in df.columns if c not in keys]
+    named = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    row = F.when(
+        F.count("*") > 1, F.raise_error(F.concat(F.lit(f"duplicate {', '.join(keys)}: "), named))
+    ).otherwise(F.first(F.struct(*rest)))
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
 def join_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Columns of two tables side by side, matched by a key both must hold once."""
-    return left.join(right, key)
+    """Columns of two tables side by side, matched by a key; a key that one holds twice is an error.
+
+    Both sides are grouped by the key first, which is the shuffle the join needs.
+    """
+    return unique(left, [key]).join(unique(right, [key]), key)
 
 
 def lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -88,8 +101,11 @@ def lettered_tasks(tasks: DataFrame, kind: str, order, letters: dict) -> DataFra
 
 
 def overlay(base: DataFrame, over: DataFrame, keys, value: str, default) -> DataFrame:
-    """`base` with the value from `over` where there is one, else the default."""
-    return base.join(over.select(*keys, value), keys, "left").withColumn(
+    """`base` with the value from `over` where there is one, else the default.
+
+    Two values for one key are an error.
+    """
+    return base.join(unique(over.select(*keys, value), keys), keys, "left").withColumn(
         value, F.coalesce(value, F.lit(default))
     )
 
@@ -97,8 +113,8 @@ def overlay(base: DataFrame, over: DataFrame, keys, value: str, default) -> Data
 def sum_mismatches(
     points: DataFrame, totals: DataFrame, keys, tolerance: float = fv.POINTS_TOLERANCE
 ) -> DataFrame:
-    """Keys whose points do not add up to the recorded total (missing: 0)."""
-    sums = points.groupBy(*keys).agg(F.sum("points").alias("calculated"))
+    """Keys whose points do not add up to the recorded total; missing points and totals are 0."""
+    sums = points.groupBy(*keys).agg(F.sum(F.coalesce("points", F.lit(0.0))).alias("calculated"))
     recorded = F.coalesce("total", F.lit(0.0))
     return (
         sums.join(totals.select(*keys, "total"), keys, "left")

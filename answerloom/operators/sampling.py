@@ -1,34 +1,31 @@
 """Exact-size reproducible sampling and seeded shuffling."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from answerloom import fixed_values as fv
-from answerloom.functions.basics import fail
 from answerloom.functions.hashing import order_hash
+from answerloom.session import settle
 
 
-def _cut_row(histogram: DataFrame, wanted: Column) -> Column:
-    """Where the wanted-th row lies: its bucket `b`, and `left`, the rows of
-    that bucket still needed.
+def _cut_row(histogram: DataFrame, wanted: Column) -> DataFrame:
+    """One row (bucket, left): where the wanted-th row lies, and how many rows of that bucket are needed.
 
     `histogram` has one row (b, n) per bucket, at most 65,536 of them, so it
     fits one array. `wanted` may refer to `total`, the number of rows.
     """
-    start = F.struct(
-        F.col("wanted").alias("left"), F.lit(None).cast("string").alias("b")
-    )
+    start = F.struct(F.col("wanted").alias("left"), F.lit(None).cast("string").alias("bucket"))
 
     def step(state, bucket):
         return (
-            F.when(state["b"].isNotNull(), state)
+            F.when(state["bucket"].isNotNull(), state)
             .when(
                 bucket["n"] >= state["left"],
-                F.struct(state["left"].alias("left"), bucket["b"].alias("b")),
+                F.struct(state["left"].alias("left"), bucket["b"].alias("bucket")),
             )
             .otherwise(
                 F.struct(
                     (state["left"] - bucket["n"]).alias("left"),
-                    F.lit(None).cast("string").alias("b"),
+                    F.lit(None).cast("string").alias("bucket"),
                 )
             )
         )
@@ -38,44 +35,45 @@ def _cut_row(histogram: DataFrame, wanted: Column) -> Column:
         histogram.agg(buckets.alias("buckets"), F.sum("n").alias("total"))
         .select("buckets", wanted.cast("bigint").alias("wanted"))
         .select(F.aggregate("buckets", start, step).alias("cut"))
-        .scalar()
+        .select("cut.*")
     )
 
 
 def exact_sample(df: DataFrame, fraction: float, key: str, seed: int = fv.SEED) -> DataFrame:
     """int(rows * fraction) rows, the same ones on any partitioning.
 
-    Rows are ordered by the seeded hash of their unique key, and the smallest
-    hashes are kept. The hash of the last row to keep is found from counts
-    per leading four hex digits, then per next four digits within one bucket,
-    then among the few rows that share all eight. These passes read the key
-    column only; the table itself is filtered in place, without a shuffle.
+    Rows are ordered by the seeded hash of their key, and the smallest hashes
+    are kept. Counts per leading four hex digits show in which of 65,536
+    buckets the last row to keep lies; that bucket alone is written and
+    ranked. So the key column is read twice, and the table itself is filtered
+    in place, without a shuffle. A key that repeats at the cut would
+    make the size wrong and is an error.
     """
     if not 0.0 <= fraction <= 1.0:
         raise ValueError(f"fraction must be between 0 and 1, got {fraction}")
     if fraction == 1.0:
         return df
     hashed = df.select(F.col(key).alias("k"), order_hash(F.col(key), seed).alias("h"))
-    head, middle = F.substring("h", 1, 4), F.substring("h", 5, 4)
-
-    def histogram(rows, bucket):
-        return rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-
+    head = F.substring("h", 1, 4)
+    histogram = hashed.groupBy(head.alias("b")).agg(F.count("*").alias("n"))
     target = F.floor(F.col("total") * F.lit(float(fraction)))
-    checked = F.when(target >= 1, target).otherwise(
-        fail(f"sample fraction {fraction} leaves 0 rows").cast("bigint")
-    )
-    outer = _cut_row(histogram(hashed, head), checked)
-    in_head = hashed.filter(head == outer["b"])
-    inner = _cut_row(histogram(in_head, middle), outer["left"])
+    cut = _cut_row(histogram, target).first()
+    if cut.bucket is None or cut.left < 1:
+        raise ValueError(f"sample fraction {fraction} leaves 0 rows")
+    bucket = settle(hashed.filter(head == cut.bucket), "sample-cut")
+    order = Window.orderBy("h", "k")
     last = (
-        hashed.filter(F.substring("h", 1, 8) == F.concat(outer["b"], inner["b"]))
-        .agg(F.array_sort(F.collect_list(F.struct("h", "k"))).alias("few"))
-        .select(F.element_at("few", inner["left"].cast("int")).alias("last"))
-        .scalar()
+        bucket.select(
+            "h", "k", F.row_number().over(order).alias("place"),
+            (F.lag("k").over(order).eqNullSafe(F.col("k")) | F.lead("k").over(order).eqNullSafe(F.col("k"))).alias("again"),
+        )
+        .filter(F.col("place") == cut.left)
+        .first()
     )
-    mine = F.struct(order_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
-    return df.filter(mine <= last)
+    if last.again:
+        raise ValueError(f"the key {key} repeats: {last.k!r}")
+    edge = F.struct(F.lit(last.h).alias("h"), F.lit(last.k).cast(df.schema[key].dataType).alias("k"))
+    return df.filter(F.struct(order_hash(F.col(key), seed).alias("h"), F.col(key).alias("k")) <= edge)
 
 
 def seeded_order(df: DataFrame, key: str, seed: int = fv.SEED) -> DataFrame:

@@ -11,15 +11,10 @@ calls its predictor again: write the scores once and read them back.
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from answerloom.functions.text import prompt
-from answerloom.session import settle
-
-GROUP_LIMIT = 1000
-
-# Shares are planned a little below the limit, so that most fit into one group.
-SHARE_FILL = 0.9
+from answerloom.operators.ranking import grouped_rank
 
 
 def model_inputs(df: DataFrame, include_reference: bool = False, keep=("labels", "topic")) -> DataFrame:
@@ -49,6 +44,24 @@ def _extended(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
     )
 
 
+def _graded(predict: Callable, rows: list[tuple], fail_on_error: bool) -> list[tuple]:
+    """(label, error) of each row; rows whose batch fails are tried again in halves."""
+    if not rows:
+        return []
+    try:
+        labels = pa.array([_label(x) for x in predict(*[list(x) for x in zip(*rows)])], pa.int32())
+        if len(labels) != len(rows):
+            raise ValueError(f"{len(labels)} labels for {len(rows)} answers")
+        return [(x, None) for x in labels.to_pylist()]
+    except Exception as error:
+        if fail_on_error:
+            raise
+        if len(rows) == 1:
+            return [(None, f"{type(error).__name__}: {error}")]
+        half = len(rows) // 2
+        return _graded(predict, rows[:half], False) + _graded(predict, rows[half:], False)
+
+
 def score_rows(
     df: DataFrame,
     make_predictor: Callable,
@@ -57,8 +70,9 @@ def score_rows(
 ) -> DataFrame:
     """Add y_pred and error by grading each answer on its own.
 
-    If a batch fails, its rows are tried one by one, so an error costs only
-    the rows that cause it: they get a NULL y_pred and the error's text.
+    A batch that fails is halved until the rows that fail stand alone, so a
+    bad row costs itself and a few calls more: it gets a NULL y_pred and the
+    error's text.
     """
     inputs = df.drop("y_pred", "error")
     schema = T.StructType(
@@ -78,62 +92,28 @@ def score_rows(
                 references = batch.column("reference_answer").to_pylist()
             else:
                 references = [None] * len(questions)
-            errors = [None] * len(questions)
-            try:
-                labels = [_label(x) for x in predict(questions, answers, references)]
-                if len(labels) != len(questions):
-                    raise ValueError(f"{len(labels)} labels for {len(questions)} answers")
-            except Exception:
-                if fail_on_error:
-                    raise
-                labels = []
-                for row, triple in enumerate(zip(questions, answers, references)):
-                    try:
-                        labels.append(_label(predict(*[[x] for x in triple])[0]))
-                    except Exception as error:
-                        labels.append(None)
-                        errors[row] = f"{type(error).__name__}: {error}"
+            graded = _graded(predict, list(zip(questions, answers, references)), fail_on_error)
             yield _extended(
-                batch, y_pred=pa.array(labels, pa.int32()), error=pa.array(errors, pa.string())
+                batch, y_pred=pa.array([x for x, _ in graded], pa.int32()),
+                error=pa.array([x for _, x in graded], pa.string()),
             )
 
     return inputs.mapInArrow(grade, schema)
 
 
 def answer_groups(
-    df: DataFrame, key: str = "task_id", row_id: str = "row_id", order: str = "row_no",
-    carry=(), limit: int = GROUP_LIMIT,
+    df: DataFrame, limit: int, key: str = "task_id", row_id: str = "row_id", order: str = "row_no", carry=(),
 ) -> DataFrame:
-    """Answers collected per question, in row order: at most `limit` per group.
+    """Answers collected per question, in row order, `limit` to a group.
 
-    Questions with up to `limit` answers form one group, with the question
-    and reference answer of their first row. Larger ones are dealt by the
-    hash of the row key into about n / limit shares; each share is numbered in
-    row order and cut into groups. No task or array ever holds more than a
-    share, whatever the size of a question. Rows without a key are left out.
+    The n-th answer of a question is in its group (n - 1) div limit, however
+    many it has. All groups show the question and reference answer of the question's first
+    row. No task or array holds a whole hot question. Rows without a key are
+    left out.
     """
     keyed = df.filter(F.col(key).isNotNull())
-    # The few large questions are found first, from the key column alone.
-    # Their number is known when the answers are read, which then are shuffled
-    # once, by question and share.
-    large = settle(
-        keyed.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-        .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / (limit * SHARE_FILL)).alias("_shares")),
-        "large-questions",
-    )
-    share = F.coalesce(
-        F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.col("_shares")), F.lit(0)
-    )
-    # By share as well: if the join above is one by key, its tasks would
-    # otherwise go on with all shares of a question.
-    dealt = (
-        keyed.join(large, F.col(key) == F.col("_key"), "left")
-        .withColumn("share", share)
-        .repartition(key, "share")
-    )
-    inside = Window.partitionBy(key, "share").orderBy(order, row_id)
-    numbered = dealt.withColumn(
-        "part", F.floor((F.row_number().over(inside) - 1) / limit)
+    ranked = grouped_rank(keyed, key, [order, row_id], "_rank", "_n").withColumn(
+        "part", F.floor((F.col("_rank") - 1) / limit)
     )
     member = F.struct(
         F.col(order).alias("row_no"),
@@ -142,11 +122,18 @@ def answer_groups(
         *[F.col(c) for c in carry if c not in ("row_no", "row_id", "answer")],
     )
     first = F.struct(order, row_id)
-    return numbered.groupBy(key, "share", "part").agg(
-        F.min_by("question", first).alias("question"),
-        F.min_by("reference_answer", first).alias("reference_answer"),
+    groups = ranked.groupBy(key, "part").agg(
+        F.min_by(F.struct("question", "reference_answer"), first).alias("_own"),
         F.array_sort(F.collect_list(member)).alias("members"),
     )
+    # Only questions of several groups need the first row of another one.
+    heads = ranked.filter((F.col("_rank") == 1) & (F.col("_n") > limit)).select(
+        F.col(key).alias("_key"), F.struct("question", "reference_answer").alias("_head")
+    )
+    shown = F.coalesce("_head", "_own")
+    return groups.join(heads, F.col(key) == F.col("_key"), "left").select(
+        key, "part", shown["question"].alias("question"), shown["reference_answer"].alias("reference_answer"), "members"
+    )
 
 
 def score_groups(
@@ -180,7 +167,7 @@ def score_groups(
                 mine = answers[ends[row] : ends[row + 1]]
                 try:
                     given = predict(question, mine, reference if pass_reference else None)
-                    labels.append([_label(x) for x in given])
+                    labels.append(pa.array([_label(x) for x in given], pa.int32()).to_pylist())
                     errors.append(None)
                 except Exception as error:
                     if fail_on_error:
@@ -205,17 +192,17 @@ def score_groups(
 
 
 def score_questions(
-    df: DataFrame, make_predictor: Callable, pass_reference: bool = True,
+    df: DataFrame, make_predictor: Callable, limit: int, pass_reference: bool = True,
     key: str | None = None, row_id: str = "row_id", order: str = "row_no", carry=(),
-    limit: int = GROUP_LIMIT, fail_on_error: bool = False,
+    fail_on_error: bool = False,
 ) -> DataFrame:
-    """Grade all answers of a question together.
+    """Grade the answers of a question together, at most `limit` in one call.
 
     Columns needed later travel with the answers (`carry`), so nothing is
     joined back. Rows without a question key come out ungraded.
     """
     key = key or ("task_id" if "task_id" in df.columns else "question")
-    groups = answer_groups(df, key, row_id, order, carry, limit)
+    groups = answer_groups(df, limit, key, row_id, order, carry)
     scored = score_groups(groups, make_predictor, pass_reference, fail_on_error, key)
     names = scored.columns
     sources = {"row_no": order, "row_id": row_id, "answer": "student_answer"}
@@ -231,7 +218,7 @@ def score_questions(
 
 
 def score(df: DataFrame, make_predictor: Callable, mode: str = "single", **options) -> DataFrame:
-    """`score_rows` for mode 'single', `score_questions` for 'per_question'."""
+    """`score_rows` for mode 'single', `score_questions` (which needs `limit`) for 'per_question'."""
     if mode == "single":
         return score_rows(df, make_predictor, **options)
     if mode == "per_question":

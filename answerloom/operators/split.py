@@ -1,11 +1,9 @@
 """Splits without question leakage: every task lands in exactly one split."""
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom import fixed_values as fv
-from answerloom.functions.hashing import hash_uniform, order_hash
+from answerloom.functions.hashing import order_hash
 from answerloom.operators.distribution import task_label_counts
 from answerloom.operators.ranking import hash_rank
 from answerloom.session import settle
@@ -37,88 +35,55 @@ def held_out_quota(n: Column) -> Column:
     return F.when(n <= 2, 0).when(n == 3, 1).otherwise(share).cast("bigint")
 
 
-def _balance(block: pd.DataFrame) -> pd.DataFrame:
-    """Give the tasks of one block, in hash order, to train, val and test.
-
-    Each task goes to the split that still has room and comes closest (sum of
-    absolute differences) to its wanted class counts; train wins ties over
-    val, val over test.
-    """
-    block = block.sort_values(["hashed", "task_id"], kind="stable")
-    labels = block[[f"n_{c}" for c in CODES]].to_numpy()
-    held = int(block["val_quota"].iloc[0]), int(block["test_quota"].iloc[0])
-    room = np.array([len(block) - sum(held), *held])
-    whole = labels.sum(axis=0)
-    held_target = np.rint(whole * fv.HELD_OUT_SHARE)
-    missing = np.stack([whole - 2 * held_target, held_target, held_target])
-    chosen = np.empty(len(block), dtype=np.int64)
-    for place, counts in enumerate(labels):
-        distance = np.abs(missing - counts).sum(axis=1)
-        distance[room == 0] = np.inf
-        best = int(distance.argmin())
-        chosen[place] = best
-        missing[best] -= counts
-        room[best] -= 1
-    return pd.DataFrame(
-        {
-            "task_id": block["task_id"],
-            "topic": block["topic"],
-            "split": np.array(fv.SPLITS, dtype=object)[chosen],
-        }
-    )
-
-
-def balanced_split(tasks: DataFrame, seed: int = fv.SEED, block_tasks: int = 5000) -> DataFrame:
+def balanced_split(tasks: DataFrame, seed: int = fv.SEED) -> DataFrame:
     """(task_id, topic, split) from per-task class counts, balanced by class.
 
-    The balancing goes through the tasks of a topic one by one, so one topic
-    must not be one unit of work: topics of more than `block_tasks` tasks are
-    cut by hash into blocks of about that size, each balanced on its own.
-    Quotas are shared out over a topic's blocks by cumulative rounding, so the
-    topic's totals are exact however many blocks there are.
+    The n tasks of a topic are ranked by their class counts, equal ones by
+    hash, and of every n / (2 quota) ranks one is held out, for val and test
+    in turn. So both get exactly their quota, every profile of class
+    counts is spread over the splits in proportion, and a topic of any size
+    follows the same rule.
     """
-    key = F.col("task_id")
     hashed = tasks.select(
-        "task_id",
-        "topic",
-        *[f"n_{c}" for c in CODES],
-        order_hash(key, seed).alias("hashed"),
-        hash_uniform(key, seed).alias("u"),
-    )
-    topics = tasks.groupBy("topic").agg(F.count("*").alias("n_topic"))
-    blocks = F.ceil(F.col("n_topic") / block_tasks)
-    placed = hashed.join(topics, hashed.topic.eqNullSafe(topics.topic)).select(
-        hashed["*"], "n_topic", F.floor(F.col("u") * blocks).alias("block")
+        "task_id", "topic", *[f"n_{c}" for c in CODES], order_hash(F.col("task_id"), seed).alias("hashed")
     )
-    upto = Window.partitionBy("topic").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    quota, n, end, size = (
-        held_out_quota(F.col("n_topic")), F.col("n_topic"), F.col("end"), F.col("n_block"),
+    ranked = hash_rank(
+        hashed, ["topic"], "hashed", ["task_id"], before=[f"n_{c}" for c in CODES], size="n_topic"
+    ).withColumn("quota", held_out_quota(F.col("n_topic")))
+    reached = F.expr("rank * 2 * quota div n_topic")
+    held = reached > F.expr("(rank - 1) * 2 * quota div n_topic")
+    split = F.when(~held, "train").when(reached % 2 == 1, "val").otherwise("test")
+    return ranked.select("task_id", "topic", split.alias("split"))
+
+
+def target_distances(tasks: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(topic, split, label, target, actual): wanted and given class counts of each topic and split."""
+    given = (
+        tasks.select("task_id", "topic", *[f"n_{c}" for c in CODES])
+        .join(assignment.select("task_id", "split"), "task_id")
+        .groupBy("topic")
+        .agg(*[
+            F.coalesce(F.sum(F.when(F.col("split") == s, F.col(f"n_{c}"))), F.lit(0)).alias(f"got_{s}_{c}")
+            for s in fv.SPLITS for c in CODES
+        ])
+        .withColumnRenamed("topic", "_topic")
     )
-    share = F.floor(quota * end / n) - F.floor(quota * (end - size) / n)
-    quotas = (
-        placed.groupBy("topic", "block")
-        .agg(F.count("*").alias("n_block"), F.first("n_topic").alias("n_topic"))
-        .withColumn("end", F.sum("n_block").over(upto))
-        .select(
-            F.col("topic").alias("q_topic"),
-            F.col("block").alias("q_block"),
-            share.cast("bigint").alias("val_quota"),
-            share.cast("bigint").alias("test_quota"),
+    rows = [
+        F.struct(
+            F.lit(s).alias("split"), F.lit(c).alias("label"), F.col(f"{s}_{c}").alias("target"),
+            F.col(f"got_{s}_{c}").alias("actual"),
         )
-    )
-    ready = placed.join(
-        quotas, placed.topic.eqNullSafe(F.col("q_topic")) & (F.col("block") == F.col("q_block"))
-    ).drop("q_topic", "q_block", "u", "n_topic")
-    return ready.groupBy("topic", "block").applyInPandas(
-        _balance, "task_id string, topic string, split string"
+        for s in fv.SPLITS for c in CODES
+    ]
+    return topic_targets(tasks).join(given, F.col("topic").eqNullSafe(F.col("_topic"))).select(
+        "topic", F.inline(F.array(*rows))
     )
 
 
 def quota_split(tasks: DataFrame, seed: int = fv.SEED) -> DataFrame:
     """(task_id, topic, split) by hash order alone: exact quotas, no balancing."""
     hashed = tasks.select("task_id", "topic", order_hash(F.col("task_id"), seed).alias("hashed"))
-    ranked = hash_rank(hashed, ["topic"], "hashed", ["task_id"])
-    sizes = tasks.groupBy(F.col("topic").alias("s_topic")).agg(F.count("*").alias("n_topic"))
+    ranked = hash_rank(hashed, ["topic"], "hashed", ["task_id"], size="n_topic")
     quota = held_out_quota(F.col("n_topic"))
     train = F.col("n_topic") - 2 * quota
     split = (
@@ -126,9 +91,7 @@ def quota_split(tasks: DataFrame, seed: int = fv.SEED) -> DataFrame:
         .when(F.col("rank") <= train + quota, "val")
         .otherwise("test")
     )
-    return ranked.join(sizes, F.col("topic").eqNullSafe(F.col("s_topic"))).select(
-        "task_id", "topic", split.alias("split")
-    )
+    return ranked.select("task_id", "topic", split.alias("split"))
 
 
 def split_by_task(answers: DataFrame, seed: int = fv.SEED, balanced: bool = True) -> DataFrame:
@@ -155,20 +118,32 @@ def with_split(answers: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def split_overlaps(df: DataFrame) -> DataFrame:
-    """Tasks shared by each pair of splits; all three pairs are always listed.
+    """Tasks shared by each pair of splits; all three pairs are always listed."""
+    return split_summary(df).select("split_a", "split_b", "shared_tasks")
+
+
+def split_summary(df: DataFrame, answers: str | None = None) -> DataFrame:
+    """Each pair of splits with the tasks they share, and the tasks and answers of both.
 
     One aggregate per task says which splits it is in, so no table is joined
-    with itself.
+    with itself. `answers` names a column that counts the answers of a row.
     """
+    rows = F.col(answers) if answers else F.lit(1)
     seen = df.groupBy("task_id").agg(
-        *[F.bool_or(F.col("split") == s).alias(s) for s in fv.SPLITS]
+        *[F.bool_or(F.col("split") == s).alias(s) for s in fv.SPLITS],
+        *[F.sum(F.when(F.col("split") == s, rows)).alias(f"n_{s}") for s in fv.SPLITS],
     )
     pairs = [("train", "val"), ("train", "test"), ("val", "test")]
-    counts = seen.agg(*[F.count_if(F.col(a) & F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
+    counts = seen.agg(
+        *[F.count_if(F.col(a) & F.col(b)).alias(f"{a}_{b}") for a, b in pairs],
+        *[F.count_if(s).alias(f"tasks_{s}") for s in fv.SPLITS],
+        *[F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(f"answers_{s}") for s in fv.SPLITS],
+    )
     rows = [
         F.struct(
-            F.lit(a).alias("split_a"), F.lit(b).alias("split_b"),
-            F.col(f"{a}_{b}").alias("shared_tasks"),
+            F.lit(a).alias("split_a"), F.lit(b).alias("split_b"), F.col(f"{a}_{b}").alias("shared_tasks"),
+            F.col(f"tasks_{a}").alias("tasks_a"), F.col(f"tasks_{b}").alias("tasks_b"),
+            F.col(f"answers_{a}").alias("answers_a"), F.col(f"answers_{b}").alias("answers_b"),
         )
         for a, b in pairs
     ]

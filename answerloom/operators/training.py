@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from answerloom.operators import confusion as cm, metrics as mt
 from answerloom.operators.leaderboard import best_runs
+from answerloom.session import settle
 
 
 def pipeline(features: int = 1 << 14, iterations: int = 20, regularization: float = 0.01) -> Pipeline:
@@ -58,17 +59,24 @@ def grid_search(
     """Metrics per combination on the validation rows, and the fitted models.
 
     Models are fitted on the training rows and compared on the given
-    validation rows only. All of them are scored in one job: their
-    predictions are counted together, keyed by combination.
+    validation rows only. The feature stages are fitted once and their output
+    is written; combinations fit the regression alone. All of them are
+    scored in one job: their predictions are counted together, keyed by
+    combination.
     """
     data = train_rows.select("text", F.col("labels").cast("double").alias("labels"))
-    models = [base.fit(data, params) for params in grid]
+    features = Pipeline(stages=base.getStages()[:-1]).fit(data)
+    ready = settle(features.transform(data).select("features", "labels"), "features")
+    models = [PipelineModel([*features.stages, base.getStages()[-1].fit(ready, params)]) for params in grid]
+    checked = settle(
+        features.transform(val_rows.select("text", "labels")).select("features", "labels"), "features"
+    )
     scored = [
-        predict(model, val_rows).select(
+        model.stages[-1].transform(checked).select(
             F.lit(i).alias("combination_idx"),
             F.lit(", ".join(f"{p.name}={x}" for p, x in params.items())).alias("params"),
-            "y_true",
-            "y_pred",
+            F.col("labels").cast("int").alias("y_true"),
+            F.col("prediction").cast("int").alias("y_pred"),
         )
         for i, (model, params) in enumerate(zip(models, grid), 1)
     ]

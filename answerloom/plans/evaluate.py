@@ -8,10 +8,10 @@ from pyspark.sql.types import StringType
 from answerloom import fixed_values as fv
 from answerloom.functions.labels import label_source, lenient_label, strict_label
 from answerloom.operators import metrics as mt
-from answerloom.operators.confusion import cells
+from answerloom.operators.confusion import cells, confusion_matrix
 from answerloom.operators.leaderboard import group_stats
 from answerloom.operators.sampling import exact_sample
-from answerloom.operators.scoring import repeat_runs, score, score_rows
+from answerloom.operators.scoring import score
 from answerloom.session import scratch_path
 from answerloom.sources import writers
 
@@ -27,11 +27,19 @@ def grade_and_measure(
     sample_fraction: float = 1.0,
     sample_seed: int = fv.SEED,
     predictions_path: str | None = None,
+    question_limit: int | None = None,
+    params: dict | None = None,
+    params_path: str | None = None,
+    params_left_out=(),
+    confusion_path: str | None = None,
 ) -> DataFrame:
     """Grade answers, write predictions and metrics, return the metric rows.
 
     Predictions are written before they are measured, so the grader is called
-    once per answer even though several tables are made from them.
+    once per answer even though several tables are made from them. The mode
+    per_question needs `question_limit`, the answers a call may see. The run's
+    parameters and its confusion matrix are stored where paths are given for
+    them.
     """
     spark = answers.sparkSession
     raw = label_source(answers)
@@ -40,7 +48,9 @@ def grade_and_measure(
     sampled = exact_sample(answers.withColumn("y_true", truth), sample_fraction, "row_id", sample_seed)
     options = {"pass_reference": pass_reference}
     if mode == "per_question":
-        options["carry"] = ("topic", "y_true")
+        if question_limit is None:
+            raise ValueError("the mode per_question needs question_limit")
+        options |= {"carry": ("topic", "y_true"), "limit": question_limit}
         if "row_no" not in sampled.columns:
             sampled = sampled.withColumn("row_no", F.col("row_id"))
     predictions_path = predictions_path or scratch_path(spark, "predictions")
@@ -53,6 +63,10 @@ def grade_and_measure(
         )
     )
     writers.metrics(writers.with_run(report, run_id), metrics_path)
+    if params_path:
+        writers.params(spark, run_id, params or {}, params_path, params_left_out)
+    if confusion_path:
+        writers.by_run(confusion_matrix(cells(predictions)), run_id, confusion_path)
     return spark.read.parquet(metrics_path).filter(F.col("run_id") == run_id)
 
 
@@ -63,17 +77,30 @@ def measure_models(predictions: DataFrame, key: str = "model") -> DataFrame:
 
 def grade_repeatedly(
     answers: DataFrame, make_predictor: Callable, runs: int, predictions_path: str,
-    metric: str = "quadratic_weighted_kappa", **options,
-) -> DataFrame:
-    """Grade every answer once per run; mean and deviation of a metric over runs.
+    metric: str = "quadratic_weighted_kappa", mode: str = "single", **options,
+) -> dict:
+    """Grade every answer once per run, in either mode; mean and deviation of a metric over the runs.
 
-    All runs are graded in one job and written once. `answers` must have
-    y_true.
+    Returns `statistics` and `failed` (run, error). A run that fails is left out and
+    reported; the others go on. `answers` must have y_true.
     """
-    repeated = repeat_runs(answers, runs)
-    writers.to_parquet(score_rows(repeated, make_predictor, **options), predictions_path, "overwrite")
-    written = answers.sparkSession.read.parquet(predictions_path)
-    return group_stats(mt.summary(cells(written, ["run"]), ["run"]), [], metric)
+    spark, done, failed = answers.sparkSession, [], []
+    if mode == "per_question":
+        options["carry"] = tuple({*options.get("carry", ()), "y_true"})
+        if "row_no" not in answers.columns:
+            answers = answers.withColumn("row_no", F.col("row_id"))
+    for run in range(1, runs + 1):
+        path = f"{predictions_path}/run={run}"
+        try:
+            writers.to_parquet(score(answers, make_predictor, mode, **options), path, "overwrite")
+            done.append(path)
+        except Exception as error:
+            failed.append((run, f"{type(error).__name__}: {error}"))
+    report = spark.createDataFrame(failed, "run int, error string")
+    if not done:
+        raise RuntimeError(f"all {runs} runs failed; the first: {failed[0][1]}")
+    written = spark.read.option("basePath", predictions_path).parquet(*done)
+    return {"statistics": group_stats(mt.summary(cells(written, ["run"]), ["run"]), [], metric), "failed": report}
 
 
 def _is_text(df: DataFrame, column: Column) -> bool:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from answerloom import fixed_values as fv
 from answerloom.operators import quiz as qz, reshape as rs
+from answerloom.session import settle
 from answerloom.sources import writers
 
 
@@ -26,9 +27,16 @@ def import_quiz(
     }
 
 
-def append_to_answers(long: DataFrame, existing: DataFrame, table_path: str, rejects_path: str) -> None:
-    """Append labelled rows to the answers table, the others to the rejects."""
-    rows = qz.to_answers(long, existing)
-    good = rows.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    writers.append(good, table_path)
-    writers.append(rows.filter(F.col("reject_reason").isNotNull()), rejects_path)
+def append_to_answers(
+    long: DataFrame, existing: DataFrame, table_path: str, rejects_path: str, batch: str
+) -> None:
+    """Add labelled rows to the answers table, the others to the rejects, as one batch.
+
+    Importing a batch again replaces it, under the same task ids if the other
+    batches are as they were. `existing` are the answers so far.
+    """
+    if "batch" in existing.columns:
+        existing = existing.filter(F.col("batch") != batch)
+    rows = settle(qz.to_answers(long, existing), "quiz-answers")
+    writers.batch(rows.filter(F.col("reject_reason").isNull()).drop("reject_reason"), batch, table_path)
+    writers.batch(rows.filter(F.col("reject_reason").isNotNull()), batch, rejects_path)

@@ -66,7 +66,7 @@ def tasks_of_json(tasks: DataFrame) -> DataFrame:
     """Question, reference answer and topic, sorted by topic."""
     return tasks.select(
         "question", reference_option(F.col("answer_options")).alias("reference_answer"), "topic"
-    )
+    ).orderBy("topic")
 
 
 def grades_json(spark: SparkSession, path, whole_file: bool = True) -> DataFrame:

@@ -32,10 +32,24 @@ def metrics(df: DataFrame, path: str) -> None:
     ).partitionBy("run_id").parquet(path)
 
 
-def params(spark: SparkSession, run_id: str, values: dict, path: str) -> None:
+def batch(df: DataFrame, name: str, path: str) -> None:
+    """Rows of one delivery, partitioned by batch: writing it again replaces it, others stay."""
+    df.withColumn("batch", F.lit(name)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("batch").parquet(path)
+
+
+def by_run(df: DataFrame, run_id: str, path: str) -> None:
+    """Rows of one run, partitioned by run: writing it again replaces it, others stay."""
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run_id").parquet(path)
+
+
+def params(spark: SparkSession, run_id: str, values: dict, path: str, leave_out) -> None:
     """Parameters of a run, as rows next to its metrics; dotted keys, text values.
 
-    Keys that name folders are left out.
+    Keys that contain one of the texts of `leave_out` are left out.
     """
     flat = {}
 
@@ -44,15 +58,13 @@ def params(spark: SparkSession, run_id: str, values: dict, path: str) -> None:
             key = f"{prefix}.{name}" if prefix else name
             if isinstance(value, dict):
                 walk(key, value)
-            elif "dir" not in key:
+            elif not any(part in key for part in leave_out):
                 flat[key] = str(value)
 
     walk("", values)
     rows = [(run_id, k, x) for k, x in sorted(flat.items())]
     df = spark.createDataFrame(rows, "run_id string, param string, value string")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "run_id"
-    ).parquet(path)
+    by_run(df.drop("run_id"), run_id, path)
 
 
 def with_run(metrics_long: DataFrame, run_id: str) -> DataFrame:

@@ -6,9 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from answerloom.catalog import registry
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+REGISTERED = registry.registered()
+SQL = {name: sql for name, (_, sql) in REGISTERED.items() if sql}
+QUERIES = {name: query for name, (query, _) in REGISTERED.items()}
 
 
 @pytest.fixture(scope="module")

@@ -95,8 +95,9 @@ def test_quiz_import(spark, tmp_path):
 
     table, rejects = str(tmp_path / "answers"), str(tmp_path / "rejects")
     existing = spark.createDataFrame([("7", "q", "r", "t", "a", "1")], schemas.ANSWERS)
-    writers.append(existing, table)
-    quiz_import.append_to_answers(long, existing, table, rejects)
+    writers.batch(existing, "start", table)
+    for _ in range(2):  # the second import replaces the first
+        quiz_import.append_to_answers(long, spark.read.parquet(table), table, rejects, "first")
     stored = spark.read.parquet(table)
     assert stored.count() == 1 + 27
     assert {r.task_id for r in stored.collect()} == {"7"} | {str(8 + i) for i in range(14)}
@@ -188,7 +189,7 @@ def test_metric_sink_replaces_a_run(spark, tmp_path):
     stored = spark.read.schema(schemas.METRICS).parquet(path)
     assert {(r.run_id, r.value) for r in stored.collect()} == {("a", 3.0), ("b", 2.0)}
     params = str(tmp_path / "params")
-    writers.params(spark, "a", {"lora": {"r": 8}, "output": {"dir": "x"}, "seed": 42}, params)
+    writers.params(spark, "a", {"lora": {"r": 8}, "output": {"dir": "x"}, "seed": 42}, params, ("dir",))
     assert {(r.param, r.value) for r in spark.read.parquet(params).collect()} == {("lora.r", "8"), ("seed", "42")}
 
 
@@ -224,7 +225,12 @@ def test_evaluation_plan(spark, tmp_path, mode, make):
         "student_answer string, labels string",
     )
     path = str(tmp_path / "metrics")
-    report = evaluate.grade_and_measure(answers, make, "run1", path, mode=mode)
+    report = evaluate.grade_and_measure(
+        answers, make, "run1", path, mode=mode, question_limit=100 if mode == "per_question" else None,
+        params={"seed": 1}, params_path=str(tmp_path / "params"), confusion_path=str(tmp_path / "confusion"),
+    )
+    assert spark.read.parquet(str(tmp_path / "params")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "confusion")).count() == 9
     values = {(r.scope, r.key, r.metric): r.value for r in report.collect()}
     assert values[("overall", "overall", "accuracy")] == 1.0
     assert values[("overall", "overall", "support")] == 24
@@ -274,8 +280,63 @@ def test_repeated_runs(spark, tmp_path):
         [(i, "q", "r", "x" * i, i % 2) for i in range(10)],
         "row_id int, question string, reference_answer string, student_answer string, y_true int",
     )
-    row = evaluate.grade_repeatedly(answers, wavering, 3, str(tmp_path / "runs")).first()
+    out = evaluate.grade_repeatedly(answers, wavering, 3, str(tmp_path / "runs"))
+    row = out["statistics"].first()
+    assert out["failed"].count() == 0
     assert (row.mean_quadratic_weighted_kappa, row.std_quadratic_weighted_kappa) == (1.0, 0.0)
     assert row.n_quadratic_weighted_kappa == 3
     models = answers.select("y_true", F.lit("m").alias("model"), F.col("y_true").alias("y_pred"))
     assert evaluate.measure_models(models).first().accuracy == 1.0
+
+
+def failing_once(path):
+    """The first run's grader raises, later ones work."""
+    def make():
+        import os
+
+        if not os.path.exists(path):
+            open(path, "w").close()
+            raise RuntimeError("no connection")
+        return lambda questions, answers, references: [0] * len(answers)
+
+    return make
+
+
+def test_a_failed_run_is_reported(spark, tmp_path):
+    answers = spark.createDataFrame(
+        [(i, "q", "r", "x", 0) for i in range(5)],
+        "row_id int, question string, reference_answer string, student_answer string, y_true int",
+    ).coalesce(1)
+    out = evaluate.grade_repeatedly(answers, failing_once(str(tmp_path / "up")), 3, str(tmp_path / "runs"), "accuracy")
+    assert [r.run for r in out["failed"].collect()] == [1]
+    assert out["statistics"].first().n_accuracy == 2
+
+
+def test_repeated_keys_are_errors(spark):
+    from answerloom.operators import reshape as rs
+
+    twice = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0)], "k int, points double")
+    once = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")
+    for left, right in ((twice, once), (once, twice)):
+        with pytest.raises(Exception, match="duplicate k: 1"):
+            rs.join_by_key(left, right, "k").collect()
+    with pytest.raises(Exception, match="duplicate k: 1"):
+        rs.overlay(once, twice, ["k"], "points", 0.0).collect()
+    assert rs.join_by_key(once, twice.filter("points < 3"), "k").count() == 2
+    missing = spark.createDataFrame([(1, None), (1, None)], "k int, points double")
+    totals = spark.createDataFrame([(1, 3.0)], "k int, total double")
+    assert rs.sum_mismatches(missing, totals, ["k"]).first().calculated == 0.0
+
+
+def test_scratch_tables_can_be_removed(spark):
+    import os
+
+    from answerloom import session
+
+    kept = session.settle(spark.range(3))
+    path = next(p for p in reversed(session._written[spark.sparkContext.applicationId]))
+    assert kept.count() == 3 and os.path.isdir(path)
+    others = session._written[spark.sparkContext.applicationId][:-1]
+    session._written[spark.sparkContext.applicationId] = [path]
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(path)
+    session._written[spark.sparkContext.applicationId] = others

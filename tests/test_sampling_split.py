@@ -82,12 +82,11 @@ def quotas(n):
     return n - 2 * held, held, held
 
 
-@pytest.mark.parametrize("block", [5000, 40])
 @pytest.mark.parametrize("balanced", [True, False])
-def test_split_quotas_are_exact(spark, block, balanced):
+def test_split_quotas_are_exact(spark, balanced):
     sizes = {"one": 1, "two": 2, "three": 3, "four": 4, "some": 57, "hot": 700}
     tasks = make_tasks(spark, sizes)
-    split = xs.balanced_split(tasks, block_tasks=block) if balanced else xs.quota_split(tasks)
+    split = xs.balanced_split(tasks) if balanced else xs.quota_split(tasks)
     rows = split.collect()
     assert sorted(r.task_id for r in rows) == sorted(r.task_id for r in tasks.collect())
     for topic, n in sizes.items():
@@ -97,41 +96,53 @@ def test_split_quotas_are_exact(spark, block, balanced):
         assert got == quotas(n), topic
 
 
-def walk(rows, held):
-    """Brute force: one topic's tasks, in hash order, to the nearest split with room."""
-    rows = sorted(rows, key=lambda r: (hashlib.md5(f"42:{r.task_id}".encode()).hexdigest(), r.task_id))
-    whole = [sum(r[f"n_{c}"] for r in rows) for c in range(3)]
-    share = [int(np.round(x * 0.2)) for x in whole]
-    target = {"train": [x - 2 * y for x, y in zip(whole, share)], "val": share, "test": share}
-    room = {"train": len(rows) - 2 * held, "val": held, "test": held}
-    have = {s: [0, 0, 0] for s in target}
-    out = {}
-    for r in rows:
-        cost = {
-            s: sum(abs(have[s][c] + r[f"n_{c}"] - target[s][c]) for c in range(3))
-            for s in target if room[s]
-        }
-        best = min(cost, key=cost.get)
-        out[r.task_id] = best
-        room[best] -= 1
-        for c in range(3):
-            have[best][c] += r[f"n_{c}"]
+def held_out(rows, held):
+    """Brute force: one topic's tasks in order of their counts; where the running share of held ones rises, one goes out."""
+    def order(r):
+        return r.n_0, r.n_1, r.n_2, hashlib.md5(f"42:{r.task_id}".encode()).hexdigest(), r.task_id
+
+    out, reached = {}, 0
+    for place, r in enumerate(sorted(rows, key=order), 1):
+        now = place * 2 * held // len(rows)
+        out[r.task_id] = "train" if now == reached else "val" if now % 2 else "test"
+        reached = now
     return out
 
 
-def test_balanced_split_against_brute_force(spark):
-    sizes = {"a": 37, "b": 4, "c": 120}
+@pytest.mark.parametrize("sizes", [{"a": 37, "b": 4, "c": 10}, {"hot": 20_000, "d": 10}])
+def test_balanced_split_against_brute_force(spark, sizes):
     tasks = make_tasks(spark, sizes, seed=3)
     expected = {}
     for topic, n in sizes.items():
-        expected |= walk([r for r in tasks.collect() if r.topic == topic], quotas(n)[1])
-    assert {r.task_id: r.split for r in xs.balanced_split(tasks).collect()} == expected
+        expected |= held_out([r for r in tasks.collect() if r.topic == topic], quotas(n)[1])
+    for parts in (3, 11):
+        assert {r.task_id: r.split for r in xs.balanced_split(tasks.repartition(parts)).collect()} == expected
+
+
+def test_class_counts_come_close_to_their_targets(spark):
+    tasks = make_tasks(spark, {"a": 500, "b": 60})
+    rows = xs.target_distances(tasks, xs.balanced_split(tasks)).collect()
+    assert len(rows) == 2 * 3 * 3
+    for r in rows:
+        assert abs(r.target - r.actual) <= 0.2 * r.target + 8, r
+
+
+def test_repeated_keys_cannot_be_sampled_exactly(spark):
+    with pytest.raises(ValueError, match="repeats"):
+        sp.exact_sample(spark.range(1000).selectExpr("id % 10 AS id"), 0.15, "id")
 
 
-def test_split_does_not_depend_on_partitions(spark):
-    tasks = make_tasks(spark, {"a": 60, "b": 45})
-    first = sorted(map(tuple, xs.balanced_split(tasks, block_tasks=20).collect()))
-    assert first == sorted(map(tuple, xs.balanced_split(tasks.repartition(9), block_tasks=20).collect()))
+@pytest.mark.parametrize("parts", [1, 7])
+def test_grouped_rank_equals_row_number(spark, parts):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), "id"
+    ).repartition(parts)
+    ranked = rk.grouped_rank(df, "g", ["id"], size="n").collect()
+    groups = {}
+    for r in sorted(ranked, key=lambda r: r.id):
+        groups.setdefault(r.g, []).append(r)
+    for rows in groups.values():
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and {r.n for r in rows} == {len(rows)}
 
 
 def test_null_topic_is_a_topic(spark):

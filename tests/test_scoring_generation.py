@@ -32,11 +32,14 @@ def test_groups_are_whole_and_bounded(answers):
     for g in groups:
         numbers = [m.row_no for m in g.members]
         assert numbers == sorted(numbers)
-        assert g.question == f"question {numbers[0]}"
-        assert g.reference_answer == f"reference {numbers[0]}"
+        # Every group shows the question's first row.
+        top = 0 if g.task_id == "hot" else numbers[0]
+        assert g.question == f"question {top}" and g.reference_answer == f"reference {top}"
+        if g.task_id == "hot":
+            assert numbers == list(range(50 * g.part, 50 * g.part + 50))
     small = [g for g in groups if g.task_id != "hot"]
     assert len(small) == len({g.task_id for g in small}) == 60
-    assert [len(g.members) for g in sc.answer_groups(answers).collect() if g.task_id == "hot"] == [700]
+    assert [len(g.members) for g in sc.answer_groups(answers, limit=1000).collect() if g.task_id == "hot"] == [700]
 
 
 def echo():
@@ -61,7 +64,7 @@ def test_short_and_long_label_lists(spark):
         [(i, i, "a" if i < 5 else "b", "q", "r", "x") for i in range(7)],
         "row_id int, row_no int, task_id string, question string, reference_answer string, student_answer string",
     )
-    rows = {r.row_id: r.y_pred for r in sc.score_questions(df, short).collect()}
+    rows = {r.row_id: r.y_pred for r in sc.score_questions(df, short, limit=5).collect()}
     assert rows == {0: 2, 1: 2, 2: 2, 3: None, 4: None, 5: 2, 6: 2}
 
 
@@ -86,6 +89,29 @@ def test_row_errors_cost_only_their_rows(answers):
     assert hidden.filter("y_pred IS NOT NULL").count() == 0
 
 
+def counting(path):
+    """Calls are counted in a file; one answer fails, another gets a label of a wrong type."""
+    def make():
+        def predict(questions, answers, references):
+            with open(path, "a") as calls:
+                calls.write("x")
+            if "answer 77" in answers:
+                raise ValueError("bad")
+            return ["two" if a == "answer 500" else 1 for a in answers]
+
+        return predict
+
+    return make
+
+
+def test_bad_rows_cost_few_calls(answers, tmp_path):
+    path = str(tmp_path / "calls")
+    rows = sc.score_rows(answers.coalesce(1), counting(path)).collect()
+    assert {r.student_answer for r in rows if r.error} == {"answer 77", "answer 500"}
+    assert sum(r.y_pred == 1 for r in rows) == 998
+    assert len(open(path).read()) < 60
+
+
 def broken():
     def predict(question, answers, reference):
         raise RuntimeError("down")
@@ -94,11 +120,11 @@ def broken():
 
 
 def test_group_errors(answers):
-    rows = sc.score(answers, broken, "per_question").collect()
+    rows = sc.score(answers, broken, "per_question", limit=100).collect()
     assert len(rows) == 1000 and {r.y_pred for r in rows} == {None}
     assert {r.error for r in rows if r.task_id} == {"RuntimeError: down"}
     with pytest.raises(Exception, match="down"):
-        sc.score(answers, broken, "per_question", fail_on_error=True).collect()
+        sc.score(answers, broken, "per_question", limit=100, fail_on_error=True).collect()
 
 
 def test_mode_is_checked(answers):
@@ -190,7 +216,7 @@ def test_batched_mode_cuts_question_by_question(tasks, size):
 
 
 def test_batched_mode_keeps_what_a_short_reply_holds(tasks):
-    out = gn.generate(tasks, {"correct": 2}, missing, "all")
+    out = gn.generate(tasks, {"correct": 2}, missing, "all", tasks_per_call=50)
     assert {r.reject_reason for r in out.collect()} == {"expected 14 answers, got 13"}
     assert gn.accepted(out).count() == 13
     assert gn.count_violations(gn.accepted(out), tasks, {"correct": 2}).count() == 1
