@@ -7,7 +7,7 @@ fitting one decides.
 
 FP-growth mines combinations of URL tokens from labelled URLs: host names, the host's parts, path
 segments, file endings and names of query arguments. Combinations that lead to a label with
-enough support and confidence, and say more than any part of them, become rules. They are
+enough support and confidence, and with more of it than without one of their tokens, become rules. They are
 matched through an inverted index by each rule's rarest token. The rule of highest confidence
 decides, of equals the one of more tokens, then of higher support, then the first in order; a URL that fits none is
 allowed.
@@ -71,8 +71,8 @@ def url_tokens(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, verdict, confidence, support, anchor) from (tokens, verdict).
 
-    A rule goes if a part of its tokens leads to the same verdict with at least its confidence. The
-    anchor is its rarest token.
+    A rule goes if without one of its tokens it leads to the same verdict with at least its
+    confidence. The anchor is its rarest token.
     """
     items = labelled.select(F.array_append("tokens", F.concat(F.lit(VERDICT), "verdict")).alias("items"))
     items = settle(items, "transactions")
