@@ -37,19 +37,20 @@ def title_case(text: Column) -> Column:
     )
 
 
-def model_group(run: Column) -> Column:
+def model_group(run: Column, groups: dict = fv.RUN_GROUPS) -> Column:
+    """The model behind a run's name; names not listed are their own group."""
     return F.when(run.startswith(fv.GPT_RUN_PREFIX), fv.GPT_GROUP).otherwise(
-        case_map(run, fv.RUN_GROUPS, default=run)
+        case_map(run, groups, default=run)
     )
 
 
-def model_display(group: Column) -> Column:
+def model_display(group: Column, names: dict = fv.MODEL_DISPLAY) -> Column:
     plain = title_case(F.replace(group, F.lit("/"), F.lit(" ")))
-    return case_map(group, fv.MODEL_DISPLAY, default=plain)
+    return case_map(group, names, default=plain)
 
 
-def model_order(group: Column) -> Column:
-    return case_map(group, fv.MODEL_ORDER, default=F.lit(fv.UNKNOWN_MODEL_ORDER))
+def model_order(group: Column, order: dict = fv.MODEL_ORDER) -> Column:
+    return case_map(group, order, default=F.lit(fv.UNKNOWN_MODEL_ORDER))
 
 
 def evaluation_run_name(model: Column, mode: Column, run: Column, runs: Column) -> Column:

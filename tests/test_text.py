@@ -23,8 +23,8 @@ TEXTS = [
 
 def plain(found):
     """What is left of an extracted text, in Python."""
-    found = re.sub(r"\s*</?p>\s*$", "", found.strip())
-    found = re.sub(r"\s*<br\s*/?>\s*$", "", found)
+    found = re.sub(fv.TRAILING_PARAGRAPH, "", found.strip())
+    found = re.sub(fv.TRAILING_LINE_BREAK, "", found)
     return found
 
 
@@ -37,7 +37,7 @@ def test_subtask_against_python(values, section):
         for text in TEXTS:
             hit = re.search(rf"(?is)\b{x}\.\s*(.*?){stop}", text)
             found = plain(hit[1]) if hit else ""
-            found = re.sub(r"<br\s*/?>", " ", found.replace("</span>", ""))
+            found = re.sub(fv.LINE_BREAK_PATTERN, " ", found.replace("</span>", ""))
             expected.append(re.sub(r"\s+", " ", found).strip())
         assert values(lambda c: tx.subtask(c, x, section), TEXTS) == expected, x
 
@@ -64,7 +64,7 @@ def test_subtask_random_texts(values, texts):
     for text in texts:
         hit = re.search(r"(?is)\ba\.\s*(.*?)(?=\bb\.(?!\w)|\Z)", text)
         found = plain(hit[1]) if hit else ""
-        found = re.sub(r"<br\s*/?>", " ", found)
+        found = re.sub(fv.LINE_BREAK_PATTERN, " ", found)
         expected.append(re.sub(r"\s+", " ", found).strip())
     assert values(lambda c: tx.subtask(c, "a"), texts) == expected
 
