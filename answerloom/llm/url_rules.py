@@ -61,10 +61,9 @@ def url_tokens(url: Column) -> Column:
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
     tokens = F.concat(
         F.array(part("host:")(host)), F.transform(labels, part("part:")),
-        F.array(part("top:")(F.element_at(labels, -1))), F.transform(segments, part("path:")),
-        F.transform(names, part("arg:")), F.array(part("end:")(ending)),
+        F.transform(segments, part("path:")), F.transform(names, part("arg:")), F.array(part("end:")(ending)),
     )
-    used = F.filter(tokens, lambda x: ~x.isin("arg:", "end:", "part:", "top:"))
+    used = F.filter(tokens, lambda x: ~x.isin("arg:", "end:", "part:"))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(used)))
 
 
