@@ -17,6 +17,9 @@ from answerloom.session import settle
 #: Tables up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
+#: Elements that fewer nodes hold are looked up one by one.
+RARE = 8
+
 
 def small_side(table: DataFrame, row_bytes: int = 16) -> DataFrame:
     """A settled table with rows of a fixed size, marked for broadcast if its counted size allows."""
@@ -123,12 +126,14 @@ def links(
     without repeats. `sketches` (node, sig) drops pairs whose estimate is below
     `least_estimate`.
 
-    First round: each node against its bucket's smallest node. Second round:
-    only buckets of three nodes or more that still hold several components. A pair
-    can share no more than either node's elements that others of these nodes
-    have too, so with x of size n and s such elements a partner must have
-    between percent * n and (1 + 1/percent) * s - n elements. That rules out
-    copies that were changed too much, however many there are.
+    First round: each node against its bucket's smallest node. Second round: only buckets of
+    three nodes or more that still hold several components. Their nodes' elements are
+    rare, held by fewer than RARE of these nodes, or common. Pairs that share a rare
+    element are found by it, at most RARE / 2 for each time one is held. Pairs that share
+    none have no more in common than either's common elements: with x of size n and s of
+    those, a partner must have between percent * n and (1 + 1/percent) * s - n
+    elements. That rules out copies that were changed too much, however many there are. The
+    pairs left over are met in the first bucket they share.
     """
     share = percent / 100
     ends = buckets.groupBy("bucket").agg(
@@ -162,43 +167,53 @@ def links(
     open_buckets = placed.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high").select("bucket")
-    open_rows = settle(placed.join(open_buckets, "bucket"), "open")
-    open_nodes = open_rows.select("node").distinct()
-    open_sets = sets.join(open_nodes, "node", "left_semi")
-    private = (
-        open_sets.select("node", F.explode("items").alias("item"))
-        .groupBy("item").agg(F.min("node").alias("node"), F.count("*").alias("owners"))
-        .filter("owners = 1").groupBy("node").agg(F.count("*").alias("private"))
+    open_rows = settle(placed.join(open_buckets, "bucket").distinct(), "open")
+    open_nodes = open_rows.groupBy("node").agg(
+        F.min("component").alias("component"), F.sort_array(F.collect_set("bucket")).alias("buckets")
+    )
+    known = settle(
+        sets.dropDuplicates(["node"]).join(open_nodes, "node").withColumn("n", F.size("items").cast("long")), "open-nodes"
     )
-    size, kept = F.col("n"), F.col("s")
-    reach = settle(
-        open_sets.select("node", F.size("items").cast("long").alias("n")).join(private, "node", "left")
-        .withColumn("s", size - F.coalesce("private", F.lit(0)))
+    held = known.select("node", F.explode("items").alias("item"))
+    owners = held.groupBy("item").agg(F.count("*").alias("owners")).filter(F.col("owners") < RARE)
+    rare = settle(held.join(owners, "item"), "rare-elements")
+    size = F.col("n")
+    nodes = settle(
+        known.select("node", "component", "n", "buckets")
+        .join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
+        .withColumn("s", size - F.coalesce("rare", F.lit(0)))
         .withColumn("least", F.ceil(size * share - 1e-6))
-        .withColumn("most", F.floor(F.least(size / share, kept * (1 + 1 / share) - size) + 1e-6))
-        .filter("least <= most").select("node", "n", "least", "most"),
+        .withColumn("widest", F.floor(size / share + 1e-6))
+        .withColumn("most", F.floor(F.least(size / share, F.col("s") * (1 + 1 / share) - size) + 1e-6)),
         "reach",
     )
+
+    def end(table, side):
+        return table.select(
+            *[F.col(c).alias(side if c == "node" else f"{c}_{side}" if c in ("component", "n", "least", "most", "widest", "buckets") else c)
+              for c in table.columns]
+        )
+
+    apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+
+    def fits(bound):
+        return F.col("n_b").between(F.col("least_a"), F.col(f"{bound}_a")) & F.col("n_a").between(
+            F.col("least_b"), F.col(f"{bound}_b")
+        )
+
+    index = rare.filter("owners > 1").join(nodes.drop("s", "rare", "buckets", "most"), "node").drop("owners")
+    by_rare = end(index, "a").join(end(index, "b"), "item").filter(apart & fits("widest")).select("a", "b")
+
     # Sizes in classes a twentieth of a factor wide, so that only partners of
     # fitting size meet.
     def level(x):
         return F.floor(F.log(F.greatest(x, F.lit(1))) * 20)
 
-    able = open_rows.join(reach, "node")
-    seeking = able.select(
-        "bucket", F.col("node").alias("a"), F.col("component").alias("part_a"), F.col("n").alias("n_a"),
-        F.col("least").alias("least_a"), F.col("most").alias("most_a"),
-        F.explode(F.sequence(level(F.col("least")), level(F.col("most")))).alias("level"),
-    )
-    offered = able.select(
-        "bucket", F.col("node").alias("b"), F.col("component").alias("part_b"), F.col("n").alias("n_b"),
-        F.col("least").alias("least_b"), F.col("most").alias("most_b"), level(F.col("n")).alias("level"),
-    )
-    fitting = (
-        (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
-        & F.col("n_b").between(F.col("least_a"), F.col("most_a"))
-        & F.col("n_a").between(F.col("least_b"), F.col("most_b"))
-    )
-    pairs = seeking.join(offered, ["bucket", "level"]).filter(fitting).select("a", "b").distinct()
+    able = open_rows.select("bucket", "node").join(nodes.filter("least <= most").drop("s", "rare", "widest"), "node")
+    seeking = end(able, "a").withColumn("level", F.explode(F.sequence(level(F.col("least_a")), level(F.col("most_a")))))
+    offered = end(able, "b").withColumn("level", level(F.col("n_b")))
+    first_met = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
+    by_bucket = seeking.join(offered, ["bucket", "level"]).filter(apart & fits("most") & first_met).select("a", "b")
+    pairs = by_rare.unionByName(by_bucket).distinct()
     second = verified(likely(pairs), sets, percent)
     return first.unionByName(second)
