@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from answerloom.llm.rows import keyed_texts
 
 #: Bytes of text after which a block ends.
-BLOCK_BYTES = 32 << 20
-# Rows of an output batch of ids.
+BLOCK_BYTES = 16 << 20
+# Rows of a batch of ids or decoded bytes.
 BATCH_DOCS = 512
 
 
@@ -222,10 +222,18 @@ def _assemble(sequences: pa.Table, words: pa.Table) -> pa.Table:
         length[place] = count
         start[place] = at + np.cumsum(count, dtype=np.int64) - count
         at += len(mine)
-    columns = [[], [], [], []]
+    if not length.all():
+        raise RuntimeError("the documents changed between two reads; store them first")
+    columns, batches = [[], [], [], []], []
+
+    def close():
+        batches.append(pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names))
+        for column in columns:
+            column.clear()
+
     for row in sequences.to_pylist():
         codes, done = _spread(row["codes"]), 0
-        if len(codes) and (int(codes.max()) >= size or not length[codes].all()):
+        if len(codes) and int(codes.max()) >= size:
             raise RuntimeError("the documents changed between two reads; store them first")
         for doc_id, mark, count in zip(row["doc_ids"], row["marks"], row["counts"]):
             mine = codes[done : done + count]
@@ -235,7 +243,10 @@ def _assemble(sequences: pa.Table, words: pa.Table) -> pa.Table:
             spots = np.arange(ends[-1] if count else 0) + np.repeat(start[mine] - ends + many, many)
             for column, value in zip(columns, (doc_id, mark, len(spots), flat[spots].astype("<u4").tobytes())):
                 column.append(value)
-    return pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds)], names)
+            if len(columns[0]) == BATCH_DOCS:
+                close()
+    close()
+    return pa.Table.from_batches(batches)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None) -> DataFrame:
@@ -268,14 +279,16 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.__getitem__
         for batch in batches:
-            decoded = [
-                b"".join(map(token, np.frombuffer(x.as_buffer() if x.is_valid else b"", "<u4").tolist()))
-                for x in batch.column("ids")
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), batch.column("ids"), pa.array(decoded, pa.binary())],
-                ["doc_id", "mark", "ids", "decoded"],
-            )
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(at, BATCH_DOCS)
+                decoded = [
+                    b"".join(map(token, np.frombuffer(x.as_buffer() if x.is_valid else b"", "<u4").tolist()))
+                    for x in part.column("ids")
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("mark"), part.column("ids"), pa.array(decoded, pa.binary())],
+                    ["doc_id", "mark", "ids", "decoded"],
+                )
 
     return encoded.select("doc_id", "mark", "ids").mapInArrow(rows, "doc_id long, mark long, ids binary, decoded binary")
 

@@ -456,3 +456,30 @@ def test_pipeline_against_brute_force(spark, data):
         ids = np.array(library.encode_ordinary(text), "<u4")
         assert rows[d].n_tokens == len(ids) and rows[d].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
         assert rows[d].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+# Lines
+
+
+def test_first_lines_can_be_kept(spark):
+    from answerloom.llm import line_dedup
+
+    docs = spark.createDataFrame(
+        [(k, f"Same line\n own {k}\n\n  same LINE ") for k in range(12)] + [(50, "same line"), (51, "")], "doc_id long, text string"
+    )
+    marked = {r.doc_id: sorted(r.dropped.items()) for r in line_dedup.keep_bitmaps(docs, keep_first=True).collect()}
+    assert marked[0] == [(0, 0b1000)] and marked[1] == [(0, 0b1001)] and marked[50] == [(0, 1)] and 51 not in marked
+    assert line_dedup.keep_bitmaps(docs, min_docs=14).count() == 0
+    report = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_report(docs).collect()}
+    assert report[3] == (4, 2, hashlib.sha256(b" own 3\n").hexdigest())
+    assert report[50] == (1, 1, hashlib.sha256(b"").hexdigest()) == report[51][:1] + (1, report[51][2])
+
+
+def test_long_documents_have_bitmaps_of_many_words(spark):
+    from answerloom.llm import line_dedup
+
+    lines = [f"line {k}" if k % 3 else "common" for k in range(1000)]
+    docs = spark.createDataFrame([(k, "\n".join(lines) if k == 0 else "common") for k in range(10)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}[0]
+    left = "\n".join(x for x in lines if x != "common")
+    assert (got.n_lines, got.n_dropped, got.kept_sha256) == (1000, 334, hashlib.sha256(left.encode()).hexdigest())
