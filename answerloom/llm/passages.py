@@ -43,11 +43,20 @@ def starts(shingles: np.ndarray) -> np.ndarray:
     able = shingles[: last + 1]
     if len(able) <= SPREAD:
         return np.array([int(able.argmin())])
-    found = []
-    for at in range(0, len(able) - SPREAD + 1, 1 << 16):
-        part = able[at : at + (1 << 16) + SPREAD - 1]
-        found.append(np.lib.stride_tricks.sliding_window_view(part, SPREAD).argmin(axis=1) + np.arange(len(part) - SPREAD + 1) + at)
-    return np.unique(np.concatenate(found))
+    # A place is taken if it holds the minimum of some run of SPREAD places around it.
+    least = _over_runs(able, np.minimum)
+    edge = np.zeros(SPREAD - 1, least.dtype)
+    reached = _over_runs(np.concatenate((edge, least, edge)), np.maximum)
+    return np.flatnonzero(reached == able)
+
+
+def _over_runs(values: np.ndarray, choose) -> np.ndarray:
+    """Minimum or maximum of each run of SPREAD values, in steps that double the run."""
+    width = 1
+    while 2 * width <= SPREAD:
+        values = choose(values[:-width], values[width:])
+        width *= 2
+    return choose(values[: len(values) - (SPREAD - width)], values[SPREAD - width :]) if width < SPREAD else values
 
 
 def _paragraphs(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +88,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             narrow = (table >> np.uint64(32)).astype(np.uint32)
-            minima = np.stack(
-                [(narrow * a + b).min(axis=1) for a, b in zip(functions.factors, functions.offsets)], axis=1
-            ).astype(np.uint64).reshape(len(at), BANDS, BAND_ROWS)
+            minima = np.concatenate([
+                (narrow[k : k + 1024, None] * functions.factors[:, None] + functions.offsets[:, None]).min(axis=2)
+                for k in range(0, len(narrow), 1024)
+            ]).astype(np.uint64).reshape(len(at), BANDS, BAND_ROWS)
             rows.append(np.full(len(at), row))
             nodes.append(_nodes(table))
             places.append(at)
