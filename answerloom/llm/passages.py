@@ -1,19 +1,16 @@
 """Passages that repeat across documents, wherever they stand in the text.
 
-Passages are pasted into the middle of lines as often as between them, so the
-paragraphs compared here are found by content: of each SPREAD consecutive
-places of a text the one with the smallest five-word hash starts a paragraph of WORDS
-words. Any passage of WORDS + SPREAD words (50) or more that two documents share thereby
-gives both the same paragraph at least once.
-
-Paragraphs of equal words are one node. Minima of their shingles are cut into BANDS bands of two: at
-similarity 0.75 a pair shares a band with a chance of 98 %, and a passage holds
-several paragraphs. Colliding paragraphs are confirmed by exact Jaccard similarity of
-their five-word shingles, and components of links are repeated passages. What stands in the smallest doc_id
-stays, all other occurrences are removals; those next to or over each other are one span.
+Passages are pasted into the middle of lines as often as between them, so windows of WORDS words are found by
+content: of each SPREAD consecutive places of a text the one with the smallest five-word hash starts a window. Any
+passage of WORDS + SPREAD - 1 words (22) or more that two documents share thereby gives both the same window at least
+once. Around windows that two documents share every run of WORDS words is looked up, sampled or not, so a passage is
+known from its first to its last word.
+
+What stands in the smallest doc_id stays, all other occurrences are removals; those next to or over each other are
+one span.
 
 Words are runs outside `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Texts of fewer than WORDS words, NULL and
-empty ones have no paragraphs; what repeats within one document only is no repeat. Rows
+empty ones have no windows; what repeats within one document only is no repeat. Rows
 without doc_id are left alone. Rows that repeat a doc_id are one document. An empty table gives an empty result.
 """
 
@@ -27,10 +24,8 @@ from answerloom.llm import linking, wordhash
 from answerloom.llm.rows import keyed_texts, same_row, text_key
 from answerloom.session import settle
 
-WORDS, SPREAD = 24, 26
+WORDS, SPREAD = 15, 8
 SHINGLE_WORDS = 5
-PERCENT = 75
-BANDS, BAND_ROWS = 5, 2
 
 SHINGLES = WORDS - SHINGLE_WORDS + 1
 
@@ -59,126 +54,95 @@ def _over_runs(values: np.ndarray, choose) -> np.ndarray:
     return choose(values[: len(values) - (SPREAD - width)], values[SPREAD - width :]) if width < SPREAD else values
 
 
-def _paragraphs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts, and the shingles of each paragraph as rows of a table."""
-    hashes, _, _ = wordhash.words(text.encode())
+def _runs(hashes: np.ndarray) -> np.ndarray:
+    """One number per run of WORDS words, the same for the same words."""
     if len(hashes) < WORDS:
-        return np.empty(0, np.int64), np.empty((0, SHINGLES), np.uint64)
-    shingles = wordhash.shingles(hashes, SHINGLE_WORDS)
-    at = starts(shingles)
-    return at, shingles[at[:, None] + np.arange(SHINGLES)]
+        return np.empty(0, np.int64)
+    return wordhash.shingles(hashes, WORDS).view(np.int64)
 
 
-NODE_FACTORS = wordhash.seeds(SHINGLES, 23)
+def _places(batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(doc_id, mark, start, node) from the starts and nodes of each row."""
+    take = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]).astype(np.int64))
+    columns = [np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id").take(take), batch.column("mark").take(take), *[pa.array(x, pa.int64()) for x in columns]],
+        ["doc_id", "mark", "start", "node"],
+    )
 
 
-def _nodes(table: np.ndarray) -> np.ndarray:
-    """One number per paragraph, the same for the same words."""
-    return wordhash.mix((table * NODE_FACTORS).sum(axis=1, dtype=np.uint64)).view(np.int64)
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows found by content."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            batch, found = whole.slice(k, 1000), []
+            for text in batch.column("text"):
+                hashes, _, _ = wordhash.words(text.as_py().encode())
+                at = starts(wordhash.shingles(hashes, SHINGLE_WORDS)) if len(hashes) >= WORDS else np.empty(0, np.int64)
+                found.append((at, _runs(hashes)[at]))
+            yield _places(batch, found)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, start, node, bands) of each paragraph."""
-    functions = wordhash.Minima(BANDS * BAND_ROWS, 29)
-    factors, salts = wordhash.seeds(BAND_ROWS, 30), wordhash.seeds(BANDS, 31)
-    for batch in batches:
-        rows, nodes, places, bands = [], [], [], []
-        for row, text in enumerate(batch.column("text")):
-            at, table = _paragraphs(text.as_py())
-            if not len(at):
-                continue
-            narrow = (table >> np.uint64(32)).astype(np.uint32)
-            minima = np.concatenate([
-                (narrow[k : k + 1024, None] * functions.factors[:, None] + functions.offsets[:, None]).min(axis=2)
-                for k in range(0, len(narrow), 1024)
-            ]).astype(np.uint64).reshape(len(at), BANDS, BAND_ROWS)
-            rows.append(np.full(len(at), row))
-            nodes.append(_nodes(table))
-            places.append(at)
-            bands.append(wordhash.mix((minima * factors).sum(axis=2, dtype=np.uint64) + salts).view(np.int64).ravel())
-        flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, nodes, places, bands)]
-        take = pa.array(flat[0], pa.int64())
-        offsets = pa.array(np.arange(len(flat[0]) + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").take(take), batch.column("mark").take(take), pa.array(flat[2]), pa.array(flat[1]),
-                pa.ListArray.from_arrays(offsets, pa.array(flat[3])),
-            ],
-            ["doc_id", "mark", "start", "node", "bands"],
-        )
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of WORDS words that start less than SPREAD words from one of `hits`."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            batch, found = whole.slice(k, 1000), []
+            for text, hits in zip(batch.column("text"), batch.column("hits")):
+                runs = _runs(wordhash.words(text.as_py().encode())[0])
+                edges, at = np.zeros(len(runs) + 1, np.int64), hits.values.to_numpy()
+                np.add.at(edges, np.maximum(at - SPREAD + 1, 0), 1)
+                np.add.at(edges, np.minimum(at + SPREAD, len(runs)), -1)
+                near = np.flatnonzero(np.cumsum(edges[:-1]))
+                found.append((near, runs[near]))
+            yield _places(batch, found)
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, items) of the paragraphs of each text that are asked for."""
-    for batch in batches:
-        nodes, items = [], []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist()):
-            _, table = _paragraphs(text.as_py())
-            asked = np.isin(_nodes(table), np.array(wanted, np.int64))
-            for node, row in zip(_nodes(table)[asked], table[asked]):
-                nodes.append(int(node))
-                items.append(np.unique(row.view(np.int64)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["node", "items"]
-        )
+PLACES = "doc_id long, mark long, start long, node long"
 
 
-def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, mark, start, passage, first_doc, removed): paragraphs that stand in two documents or more."""
-    texts = keyed_texts(docs).filter("doc_id is not null")
-    kind = "doc_id long, mark long, start long, node long, bands array<long>"
-    found = texts.mapInArrow(_keys, kind)
-    # What two documents share, by one count per band.
-    shared = settle(
-        found.select("doc_id", "node", F.explode("bands").alias("bucket")).groupBy("bucket").agg(
-            F.min("node").alias("low"), F.max("node").alias("high"), F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")
-        ).filter("doc <> last").select("bucket", "low", "high"), "shared-bands",
-    )
-    # Bands of several nodes are looked up by band; for the others the one node is enough.
-    keys = settle(
-        shared.filter("low = high").select(F.col("low").alias("key")).distinct()
-        .unionByName(shared.filter("low < high").select(F.col("bucket").alias("key"))), "passage-keys",
-    )
-    met = settle(
-        found.select("doc_id", "mark", "start", "node", F.explode(F.array_append("bands", F.col("node"))).alias("key"))
-        .join(linking.small_side(keys, 8), "key"), "met-paragraphs",
-    )
-    places = met.select("doc_id", "mark", "start", "node").distinct()
+def _several(found: DataFrame, key: str) -> DataFrame:
+    """(key, first_doc) of the keys that stand in two documents or more."""
+    return found.groupBy(key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).filter(
+        "first_doc < last"
+    ).drop("last")
 
-    def sets_of(needed):
-        one = places.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("row"))
-        asked = one.groupBy(F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")).agg(
-            F.collect_list("node").alias("wanted")
-        )
-        asked = settle(asked, "wanted-paragraphs")
-        known = texts.dropDuplicates(["doc_id", "mark"]).join(asked, ["doc_id", "mark"]).select("text", "wanted")
-        return known.mapInArrow(_items, "node long, items array<long>").dropDuplicates(["node"])
-
-    buckets = met.filter("key <> node").select(F.col("key").alias("bucket"), "node").distinct()
-    groups = linking.components(settle(linking.links(buckets, sets_of, percent), "passage-links"))
-    placed = settle(
-        places.join(groups, "node", "left").select(
-            "doc_id", "mark", "start", F.coalesce("component", "node").alias("passage")
-        ), "placed-paragraphs",
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, n_words, passage): every run of WORDS words around sampled ones that two documents share."""
+    sampled = texts.mapInArrow(_sampled, PLACES)
+    shared = settle(_several(sampled, "node").select("node"), "shared-windows")
+    hits = settle(
+        sampled.join(linking.small_side(shared, 8), "node").groupBy("doc_id", "mark").agg(F.collect_set("start").alias("hits")),
+        "window-hits",
     )
-    firsts = placed.groupBy("passage").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).filter(
-        "first_doc < last"
+    near = texts.dropDuplicates(["doc_id", "mark"]).join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hits")
+    return near.mapInArrow(_around, PLACES).select(
+        "doc_id", "mark", "start", F.lit(WORDS).cast("long").alias("n_words"), F.col("node").alias("passage")
     )
-    return placed.join(firsts, "passage").select(
-        "doc_id", "mark", "start", "passage", "first_doc", (F.col("doc_id") != F.col("first_doc")).alias("removed")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, n_words, passage, first_doc, removed): what stands in two documents or more."""
+    texts = keyed_texts(docs).filter("doc_id is not null")
+    placed = settle(repeated_runs(texts), "placed")
+    return placed.join(_several(placed, "passage"), "passage").select(
+        "doc_id", "mark", "start", "n_words", "passage", "first_doc", (F.col("doc_id") != F.col("first_doc")).alias("removed")
     )
 
 
-def passage_spans(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def passage_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, first_word, n_words, passage, first_doc, removed): `repeats` with spans that touch joined.
 
     passage and first_doc are the smallest of a span's.
     """
-    order = Window.partitionBy("doc_id", "mark", "removed").orderBy("start")
-    opened = F.coalesce((F.col("start") > F.lag("start").over(order) + WORDS).cast("long"), F.lit(1))
-    numbered = repeats(docs, percent).withColumn("opened", opened).withColumn("span", F.sum("opened").over(order))
+    order = Window.partitionBy("doc_id", "mark", "removed").orderBy("start", "n_words")
+    end = F.col("start") + F.col("n_words")
+    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.coalesce((F.col("start") > reached).cast("long"), F.lit(1))
+    numbered = repeats(docs).withColumn("opened", opened).withColumn("span", F.sum("opened").over(order))
     return numbered.groupBy("doc_id", "mark", "removed", "span").agg(
-        F.min("start").alias("first_word"), (F.max("start") + WORDS - F.min("start")).alias("n_words"),
+        F.min("start").alias("first_word"), (F.max(end) - F.min("start")).alias("n_words"),
         F.min("passage").alias("passage"), F.min("first_doc").alias("first_doc"),
     ).select("doc_id", "mark", "first_word", "n_words", "passage", "first_doc", "removed")
 
@@ -199,9 +163,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, texts without the words of removals."""
-    cuts = passage_spans(docs, percent).filter("removed").groupBy("doc_id", "mark").agg(
+    cuts = passage_spans(docs).filter("removed").groupBy("doc_id", "mark").agg(
         F.collect_list(F.struct("first_word", "n_words")).alias("cuts")
     )
     texts = keyed_texts(docs).dropDuplicates(["doc_id", "mark"])

@@ -146,6 +146,20 @@ def test_pasted_passages_are_cut_out(spark):
         assert left[: len(first)] == first and left[len(left) - len(last) :] == last
 
 
+def test_pasted_passages_go_whole(spark):
+    rng = random.Random(6)
+    own = lambda k: " ".join(rng.choices([f"w{i}" for i in range(5000)], k=k))
+    for length in (22, 50, 80):
+        pasted = own(length)
+        docs = [(k, f"a{k} {own(rng.randint(50, 90))} b{k} {pasted} c{k} {own(rng.randint(50, 90))}") for k in range(20)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        cut = {r.doc_id: r.text for r in passages.without_repeats(df).collect()}
+        assert cut[0] == docs[0][1]
+        assert all(cut[k].split() == text.replace(pasted, "").split() for k, text in docs[1:])
+        spans = [(r.doc_id, r.first_word, r.n_words) for r in passages.passage_spans(df).collect()]
+        assert sorted(spans) == [(k, text.split().index(f"b{k}") + 1, length) for k, text in docs]
+
+
 # URL rules
 
 
