@@ -6,11 +6,18 @@ passage of WORDS + SPREAD - 1 words (22) or more that two documents share thereb
 once. Around windows that two documents share every run of WORDS words is looked up, sampled or not, so a passage is
 known from its first to its last word.
 
+The texts' own paragraphs, their lines of five words or more, are compared whole. Paragraphs of equal words are one
+node. Of the distinct five-word shingles of each, the smallest hashes are its keys, one more than it may lack at the
+threshold: sets that share PERCENT percent of their union share a key with certainty, where MinHash bands would do
+so with a chance. Paragraphs that share a key are confirmed by exact Jaccard similarity, and components of
+links are one passage. A changed copy goes whole, save for ends of more than four words whose
+shingles no other paragraph of its passage has: those are text of its own beside a pasted passage.
+
 What stands in the smallest doc_id stays, all other occurrences are removals; those next to or over each other are
 one span.
 
-Words are runs outside `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Texts of fewer than WORDS words, NULL and
-empty ones have no windows; what repeats within one document only is no repeat. Rows
+Words are runs outside `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Lines end at `\\n`. Texts without a line of five words and
+without WORDS words have no paragraphs; what repeats within one document only is no repeat. Rows
 without doc_id are left alone. Rows that repeat a doc_id are one document. An empty table gives an empty result.
 """
 
@@ -26,6 +33,7 @@ from answerloom.session import settle
 
 WORDS, SPREAD = 15, 8
 SHINGLE_WORDS = 5
+PERCENT = 75
 
 SHINGLES = WORDS - SHINGLE_WORDS + 1
 
@@ -101,6 +109,89 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PLACES = "doc_id long, mark long, start long, node long"
 
 
+class Lines:
+    """The lines of a text that have a shingle: first words, lengths, nodes, and their shingles in text order."""
+
+    def __init__(self, text: str):
+        raw = text.encode()
+        hashes, begin, _ = wordhash.words(raw)
+        breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+        line = np.searchsorted(breaks, begin)
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        sizes = np.diff(first, append=len(line))
+        able = sizes >= SHINGLE_WORDS
+        self.start, self.n_words = first[able], sizes[able]
+        self.node = np.empty(0, np.int64)
+        self.shingles, self.owner = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if not len(self.start):
+            return
+        place = np.arange(len(hashes)) - np.repeat(first, sizes)
+        sums = np.add.reduceat(hashes * wordhash._powers(int(sizes.max()))[place], first)
+        self.node = wordhash.mix(sums + sizes.astype(np.uint64))[able].view(np.int64)
+        # Shingles that start at the last words of a line would run into the next.
+        number = np.cumsum(able) - 1
+        inside = np.repeat(able, sizes) & (place <= np.repeat(sizes, sizes) - SHINGLE_WORDS)
+        at = np.flatnonzero(inside)
+        self.shingles = wordhash.shingles(hashes, SHINGLE_WORDS)[at]
+        self.owner = np.repeat(number, sizes)[at]
+
+    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles by line, sorted as unsigned numbers, and the number of each line's."""
+        order = np.lexsort((self.shingles, self.owner))
+        values, owner = self.shingles[order], self.owner[order]
+        new = np.ones(len(values), bool)
+        new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+        return values[new], np.bincount(owner[new], minlength=len(self.start))
+
+    def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest shingles of each line, n - ceil(percent n / 100) + 1 of n, and the number of them."""
+        values, sizes = self.sets()
+        counts = sizes - -(-percent * sizes // 100) + 1
+        rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # Not the shingles themselves, which are small here.
+        return wordhash.mix(values[rank < np.repeat(counts, sizes)]).view(np.int64), counts
+
+
+def _lists(parts: list[np.ndarray], counts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum(np.concatenate([[0], *counts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def _line_keys(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, mark, start, node, n_words, keys) of each line."""
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                lines = [Lines(text.as_py()) for text in batch.column("text")]
+                places = _places(batch, [(x.start, x.node) for x in lines])
+                keys = [x.keys(percent) for x in lines]
+                n_words = np.concatenate([np.empty(0, np.int64), *[x.n_words for x in lines]])
+                yield pa.RecordBatch.from_arrays(
+                    [*places.columns, pa.array(n_words), _lists([x for x, _ in keys], [n for _, n in keys])],
+                    [*places.schema.names, "n_words", "keys"],
+                )
+    return run
+
+
+def _line_items(ordered: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, items) of the lines of each text that are asked for: shingles in text order, or sorted sets."""
+        for batch in batches:
+            nodes, items = [], []
+            for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist()):
+                lines = Lines(text.as_py())
+                ends = np.cumsum(np.bincount(lines.owner, minlength=len(lines.node)))
+                for k in np.flatnonzero(np.isin(lines.node, np.array(wanted, np.int64))):
+                    row = lines.shingles[ends[k - 1] if k else 0 : ends[k]].view(np.int64)
+                    nodes.append(int(lines.node[k]))
+                    items.append(row if ordered else np.unique(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["node", "items"]
+            )
+    return run
+
+
 def _several(found: DataFrame, key: str) -> DataFrame:
     """(key, first_doc) of the keys that stand in two documents or more."""
     return found.groupBy(key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).filter(
@@ -122,16 +213,75 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeated_lines(texts: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, mark, start, n_words, passage): lines that stand or have a near copy elsewhere, one passage per component."""
+    found = texts.mapInArrow(_line_keys(percent), PLACES + ", n_words long, keys array<long>")
+    # What several nodes or documents share. Nodes of a key met within one document may link others.
+    shared = settle(
+        found.select("doc_id", "node", F.explode(F.array_append("keys", F.col("node"))).alias("key")).groupBy("key").agg(
+            F.min("node").alias("low"), F.max("node").alias("high"), F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")
+        ).filter("low < high or doc < last").select("key", "low", "high"), "shared-keys",
+    )
+    # Keys of several nodes are looked up themselves; for the others the one node is enough.
+    keys = settle(
+        shared.filter("low = high").select(F.col("low").alias("key")).distinct()
+        .unionByName(shared.filter("low < high").select("key")), "line-keys",
+    )
+    met = settle(
+        found.select("doc_id", "mark", "start", "n_words", "node", F.explode(F.array_append("keys", F.col("node"))).alias("key"))
+        .join(linking.small_side(keys, 8), "key"), "met-lines",
+    )
+    places = met.select("doc_id", "mark", "start", "n_words", "node").distinct()
+
+    def items_of(needed, ordered=False):
+        one = places.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("row"))
+        asked = settle(
+            one.groupBy(F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")).agg(
+                F.collect_list("node").alias("wanted")
+            ), "wanted-lines",
+        )
+        known = texts.dropDuplicates(["doc_id", "mark"]).join(asked, ["doc_id", "mark"]).select("text", "wanted")
+        return known.mapInArrow(_line_items(ordered), "node long, items array<long>").dropDuplicates(["node"])
+
+    buckets = met.filter("key <> node").select(F.col("key").alias("bucket"), "node").distinct()
+    groups = settle(
+        linking.components(settle(linking.links(buckets, items_of, percent), "line-links")), "line-groups"
+    )
+
+    # Where the shingles that a changed copy has in common with its passage begin and end.
+    held = settle(
+        items_of(groups.select("node"), True).join(groups, "node")
+        .select("component", "node", F.posexplode("items").alias("at", "item")), "line-shingles",
+    )
+    common = held.groupBy("component", "item").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(
+        "low < high"
+    ).select("component", "item")
+    reach = settle(
+        held.join(common, ["component", "item"]).groupBy("node", "component").agg(
+            F.min("at").cast("long").alias("low"), (F.max("at") + SHINGLE_WORDS).cast("long").alias("high")
+        ), "line-reach",
+    )
+    # Lines that stand in two documents as they are go whole.
+    equal = _several(places, "node").select("node", F.lit(True).alias("equal"))
+    slack, own = SHINGLE_WORDS - 1, F.col("equal").isNull()
+    low = F.when(own & (F.col("low") > slack), F.col("low")).otherwise(0)
+    high = F.when(own & (F.col("high") < F.col("n_words") - slack), F.col("high")).otherwise(F.col("n_words"))
+    return places.join(reach, "node", "left").join(equal, "node", "left").select(
+        "doc_id", "mark", (F.col("start") + low).alias("start"), (high - low).alias("n_words"),
+        F.coalesce("component", "node").alias("passage"),
+    )
+
+
+def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, mark, start, n_words, passage, first_doc, removed): what stands in two documents or more."""
     texts = keyed_texts(docs).filter("doc_id is not null")
-    placed = settle(repeated_runs(texts), "placed")
+    placed = settle(repeated_runs(texts).unionByName(repeated_lines(texts, percent)), "placed")
     return placed.join(_several(placed, "passage"), "passage").select(
         "doc_id", "mark", "start", "n_words", "passage", "first_doc", (F.col("doc_id") != F.col("first_doc")).alias("removed")
     )
 
 
-def passage_spans(docs: DataFrame) -> DataFrame:
+def passage_spans(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, mark, first_word, n_words, passage, first_doc, removed): `repeats` with spans that touch joined.
 
     passage and first_doc are the smallest of a span's.
@@ -140,7 +290,7 @@ def passage_spans(docs: DataFrame) -> DataFrame:
     end = F.col("start") + F.col("n_words")
     reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = F.coalesce((F.col("start") > reached).cast("long"), F.lit(1))
-    numbered = repeats(docs).withColumn("opened", opened).withColumn("span", F.sum("opened").over(order))
+    numbered = repeats(docs, percent).withColumn("opened", opened).withColumn("span", F.sum("opened").over(order))
     return numbered.groupBy("doc_id", "mark", "removed", "span").agg(
         F.min("start").alias("first_word"), (F.max(end) - F.min("start")).alias("n_words"),
         F.min("passage").alias("passage"), F.min("first_doc").alias("first_doc"),
@@ -163,9 +313,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows and columns of docs, texts without the words of removals."""
-    cuts = passage_spans(docs).filter("removed").groupBy("doc_id", "mark").agg(
+    cuts = passage_spans(docs, percent).filter("removed").groupBy("doc_id", "mark").agg(
         F.collect_list(F.struct("first_word", "n_words")).alias("cuts")
     )
     texts = keyed_texts(docs).dropDuplicates(["doc_id", "mark"])

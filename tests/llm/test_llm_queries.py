@@ -160,6 +160,38 @@ def test_pasted_passages_go_whole(spark):
         assert sorted(spans) == [(k, text.split().index(f"b{k}") + 1, length) for k, text in docs]
 
 
+def test_paragraphs_against_all_pairs(spark):
+    rng = random.Random(8)
+    pool = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=k)) for k in [5, 6, 7, 9, 12, 16, 20, 24, 30, 40, 60, 90] * 4]
+
+    def edited(line):
+        w = line.split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    docs = {d: [edited(x) for x in rng.sample(pool, 4)] + [f"own{d} a b"] for d in range(80)}
+    lines = {(d, k): x for d, parts in docs.items() for k, x in enumerate(parts) if len(x.split()) >= 5}
+    group = components({place: shingle_set(x) for place, x in lines.items()})
+    members = defaultdict(set)
+    for place, root in group.items():
+        members[root].add(place[0])
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id long, text string").repartition(3)
+    gone = defaultdict(set)
+    for r in passages.passage_spans(df).filter("removed").collect():
+        gone[r.doc_id].update(range(r.first_word, r.first_word + r.n_words))
+    short = 0
+    for (d, k), root in group.items():
+        first = sum(len(x.split()) for x in docs[d][:k])
+        n = len(docs[d][k].split())
+        left = n - len(gone[d] & set(range(first, first + n)))
+        if d > min(members[root]):
+            # Changed words may stay at an end, with the rest of the shingle they break.
+            assert left <= 2 * 5 and (left == 0 or docs[d][k].count("new"))
+            short += n < 24
+    assert short > 20 and not any(gone[d] & {sum(len(x.split()) for x in docs[d][:4])} for d in docs)
+
+
 # URL rules
 
 
