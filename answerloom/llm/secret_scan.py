@@ -4,7 +4,8 @@ The plain kinds are assignments to names such as token, access keys, and long ru
 digits. Beyond those, values in a credential context (a name such as password, key or
 auth, a sign of assignment, a value) are priced: the cheapest cut of the value into
 dictionary words, dates, repeats, keyboard walks and brute-force spans gives the
-number of guesses an informed attacker needs, by dynamic programming. Values of
+number of guesses an informed attacker needs, by dynamic programming. Dictionary words are those of COMMON, then the
+words of the scanned table that stand in WORD_DOCS rows or more, by how many rows they stand in. Values of
 MIN_GUESSES guesses (as a power of ten) or more are spans of the kind `guess`.
 
 Spans count code points, the end excluded. NULL and empty texts have none. Repeated rows
@@ -16,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,6 +32,8 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 8, 16, 32
 KINDS = ("assign", "access", "hex", "guess")
 
 CONTEXT = re.compile(
+    # Names start after something else than a letter, or with a capital after a small one.
+    r"""(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"""
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(?:api|access|private|secret)[_\x20-]?key)"""
     r"""["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>|]+))""", re.ASCII | re.IGNORECASE
 )
@@ -44,7 +48,9 @@ COMMON = (
     "the", "and", "this", "that", "with", "your", "none", "null", "true", "false", "value", "string", "name", "server",
 )
 RANK = {word: k + 1 for k, word in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+#: Words of the table: at most DICTIONARY of LETTERS letters, about 100 bytes each in every task.
+WORD_DOCS, DICTIONARY, LETTERS = 20, 100_000, (3, 24)
+LONGEST = LETTERS[1]
 LEET = str.maketrans("4@31!0$57", "aaeiiosst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (x + 0.5 * y, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
@@ -83,18 +89,20 @@ def _date_cost(text: str) -> float | None:
     return math.log10(len(YEARS) * 366) + (0.6 if found[2] or found[6] else 0.0)
 
 
-def guesses(value: str) -> float:
+def guesses(value: str, ranks: dict[str, int] = RANK) -> float:
     """Log10 of the guesses that the cheapest segmentation of a value costs; 0 for an empty one.
 
     Brute-force spans cost their characters; a run of spans costs a factor of two per span.
     Spans other than brute force: words (also with capitals or look-alike signs), dates, runs of one character or of a
-    repeated block, and walks over neighbouring keys. Every span is tried from each start, so
-    the work is in proportion to the length, save for repeated blocks of up to eight characters.
+    repeated block of up to eight characters, and walks over neighbouring keys. Every span is tried from each start,
+    shorter parts of runs and walks too; the work is in proportion to the length, save inside long runs and walks.
     """
     n = len(value)
     lower = value.lower() if len(value.lower()) == n else value
     plain = lower.translate(LEET)
-    best = [0.0] + [math.inf] * n
+    best = np.full(n + 1, math.inf)
+    best[0] = 0.0
+    logs = np.log10(np.arange(1, n + 2))  # of 1, 2, ...
     # Where the walk and each run of repeats that goes through a place ends.
     walk_end = [0] * n
     for k in range(n - 1, -1, -1):
@@ -122,7 +130,7 @@ def guesses(value: str) -> float:
 
         for size in range(1, min(LONGEST, n - at) + 1):
             word, shape = plain[at : at + size], value[at : at + size]
-            rank = RANK.get(lower[at : at + size]) or RANK.get(word)
+            rank = ranks.get(lower[at : at + size]) or ranks.get(word)
             if rank:
                 changed = (shape != shape.lower()) + (shape.lower() != word)
                 offer(at + size, math.log10(rank) + 0.6 * changed)
@@ -134,16 +142,20 @@ def guesses(value: str) -> float:
         for size in range(1, 9):
             end = block_end[size][at]
             times = (end - at) // size if end <= n else 0
-            if times > 1 and times * size > 2:
-                offer(at + times * size, brute[at + size] - brute[at] + math.log10(times))
-        if walk_end[at] - at > 2:
-            offer(walk_end[at], math.log10(KEYS) + math.log10(walk_end[at] - at) + TURNS / 4)
+            least = max(2, 2 // size + 1)
+            if times >= least:
+                ends = best[at + least * size : at + times * size + 1 : size]
+                np.minimum(ends, here + brute[at + size] - brute[at] + logs[least - 1 : times] + SPAN, out=ends)
+        longest = walk_end[at] - at
+        if longest > 2:
+            ends = best[at + 3 : walk_end[at] + 1]
+            np.minimum(ends, here + math.log10(KEYS) + logs[2:longest] + TURNS / 4 + SPAN, out=ends)
     if n:
         best[n] = min(best[n], cheapest_start + brute[n] + SPAN)
-    return best[n]
+    return float(best[n])
 
 
-def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans(text: str, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Plain spans, and priced ones, as (start, number of the kind, end), each sorted."""
     low = text.lower()
     plain, priced = [], []
@@ -155,7 +167,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     if any(name in low for name in CONTEXT_NAMES):
         for m in CONTEXT.finditer(text):
             k = m.lastindex
-            if guesses(m[k]) >= MIN_GUESSES:
+            if guesses(m[k], ranks) >= MIN_GUESSES:
                 priced.append((m.start(k), 3, m.end(k)))
     return sorted(plain), sorted(priced)
 
@@ -164,20 +176,34 @@ def listed(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(found))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for value in batch.column("text"):
-            plain, priced = spans(value.as_py() or "")
-            counts = [sum(kind == k for _, kind, _ in plain) for k in range(3)]
-            digest = hashlib.sha256(listed(plain).encode()).hexdigest()
-            out.append((*counts, digest, listed(plain + priced), len(priced)))
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-        columns = zip(*out) if out else [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array(x, kind) for x, kind in zip(columns, kinds)]],
-            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"],
-        )
+def dictionary(texts: DataFrame) -> dict[str, int]:
+    """Rank of each word of COMMON, then of the DICTIONARY words that stand in most rows, WORD_DOCS at least."""
+    words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
+    counts = texts.select(F.explode(words).alias("word")).filter(F.length("word").between(*LETTERS)).groupBy("word").count()
+    most = counts.filter(F.col("count") >= WORD_DOCS).orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()
+    ranks = dict(RANK)
+    for row in most:
+        ranks.setdefault(row.word, len(ranks) + 1)
+    return ranks
+
+
+def _scanner(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value
+        for batch in batches:
+            out = []
+            for value in batch.column("text"):
+                plain, priced = spans(value.as_py() or "", ranks)
+                counts = [sum(kind == k for _, kind, _ in plain) for k in range(3)]
+                digest = hashlib.sha256(listed(plain).encode()).hexdigest()
+                out.append((*counts, digest, listed(plain + priced), len(priced)))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            columns = zip(*out) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.array(x, kind) for x, kind in zip(columns, kinds)]],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"],
+            )
+    return run
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -186,6 +212,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     spans lists `kind:start:end` by start, then kind; base_sha256 is the SHA-256 of the same list
     of the plain kinds alone.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ranks = docs.sparkSession.sparkContext.broadcast(dictionary(texts))
+    return texts.mapInArrow(
+        _scanner(ranks), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
     )

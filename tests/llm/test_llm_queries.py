@@ -314,6 +314,45 @@ def test_secret_spans_against_plain_patterns():
     assert plain == [] and [(a, b) for a, _, b in priced] == [(16, 28)]
 
 
+def all_spans_cost(value, ranks):
+    """The cheapest segmentation, with every part of a run or walk as a span."""
+    s, low, n = secret_scan, value.lower(), len(value)
+    plain, best = low.translate(s.LEET), [0.0] + [np.inf] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            part, size, brute = value[i:j], j - i, lambda x: sum(map(s._char_cost, x))
+            costs = [brute(part)]
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
+            if rank:
+                costs.append(np.log10(rank) + 0.6 * ((part != part.lower()) + (part.lower() != plain[i:j])))
+            if part[0].isdigit() and size in (4, 6, 7, 8, 9, 10) and (cost := s._date_cost(part)) is not None:
+                costs.append(cost)
+            costs += [brute(part[:b]) + np.log10(size // b) for b in range(1, 9) if size > b and size > 2 and size % b == 0 and part == part[:b] * (size // b)]
+            if size > 2 and all(map(s._neighbours, low[i:j], low[i + 1 : j])):
+                costs.append(np.log10(s.KEYS) + np.log10(size) + s.TURNS / 4)
+            best[j] = min(best[j], best[i] + min(costs) + s.SPAN)
+    return best[n]
+
+
+def test_guess_costs_of_parts_of_runs_and_walks():
+    rng = random.Random(9)
+    ranks = secret_scan.RANK | {"responsible": 900}
+    parts = ["aaaa", "admin", "qwerty", "erty", "abcabc", "caba", "2020", "responsible", "X", "aa", "P4ss"]
+    assert secret_scan.guesses("aaaadmin") < 3
+    for _ in range(200):
+        value = "".join(rng.choices(parts, k=rng.randint(1, 4)))
+        assert secret_scan.guesses(value, ranks) == pytest.approx(all_spans_cost(value, ranks)), value
+
+
+def test_prose_in_a_credential_context_is_no_secret(spark):
+    prose = ["the token is responsible", "this password is unbelievable", "his compass is zqvxkwpjhg", "password: beautifulmorning"]
+    rows = [(k, x) for k, x in enumerate(prose)] + [(9, "dbPassword is zqvxkwpjhg"), (10, "my_secret: zqvxkwpjhg")]
+    rows += [(100 + k, "a beautiful morning and a responsible but unbelievable person") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.scan_secrets(docs).filter("n_guess > 0").collect()}
+    assert found == {9, 10}
+
+
 # Licenses
 
 
