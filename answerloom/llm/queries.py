@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from answerloom.llm import (
-    byte_bpe, decontaminate, license_scan, line_dedup, near_copies, passages, quality_rules, secret_scan, url_rules, warc,
+    byte_bpe, decontaminate, fill_in_middle, license_scan, line_dedup, mixing, near_copies, passages, prefix_trie,
+    quality_rules, secret_scan, url_rules, warc,
 )
 from answerloom.llm import queries_sql as sql
 
@@ -55,6 +56,18 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, folder, "documents"))
 
 
+def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixing_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def middles(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.middle_report(_table(spark, folder, "documents"))
+
+
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie_report(_table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_warc": (archive_round_trip, sql.ARCHIVES),
     "op2_license_scan": (licenses, sql.LICENSES),
@@ -66,4 +79,7 @@ QUERIES = {
     "op8_minhash_near_dedup": (near_duplicates, sql.NEAR_DUPLICATES),
     "op9_byte_bpe": (byte_pairs, None),
     "op10_quality_rules": (quality, None),
+    "op11_source_mixing": (mixed_sources, sql.MIXED_SOURCES),
+    "op12_fill_in_middle": (middles, sql.MIDDLES),
+    "op13_prefix_trie": (conversation_trie, sql.CONVERSATION_TRIE),
 }

@@ -129,3 +129,116 @@ FROM found
 
 
 LICENSES = _licenses()
+
+_CAP = "3.0e0 * source_size"
+
+# Sources that are full by cap / weight, ascending: a source is full if its cap is below its share of what those before it leave.
+MIXED_SOURCES = rf"""
+WITH quality AS (
+    SELECT doc_id, avg(quality) AS share FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), sized AS (
+    SELECT d.doc_id, d.source, len({SPACE_WORDS.format("coalesce(d.text, '')")})::BIGINT AS size,
+           -ln((('0x' || substr(md5('42:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5e0)
+               / 4503599627370496.0e0) / CASE WHEN share > 0.5 THEN 2.0e0 WHEN share < 0.5 THEN 0.5e0 ELSE 1.0e0 END AS key
+    FROM documents d LEFT JOIN quality ON d.doc_id = quality.doc_id
+), sources AS (
+    SELECT source, source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+    FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
+), levels AS (
+    SELECT *, sum(source_size) OVER () - coalesce(sum({_CAP}) OVER before, 0e0) AS rest,
+           sum(weight) OVER () - coalesce(sum(weight) OVER before, 0e0) AS open
+    FROM sources
+    WINDOW before AS (ORDER BY {_CAP} / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), full_ones AS (
+    SELECT *, {_CAP} * open < weight * rest AS is_full FROM levels
+), shares AS (
+    SELECT source, source_size, CASE WHEN is_full THEN {_CAP} ELSE
+        weight * (SELECT sum(source_size) - coalesce(sum({_CAP}) FILTER (is_full), 0e0) FROM full_ones)
+        / (SELECT sum(weight) FILTER (NOT is_full) FROM full_ones) END AS target
+    FROM full_ones
+), wanted AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM shares
+), units AS (
+    SELECT source, key, doc_id, sum(size) AS unit FROM sized GROUP BY source, key, doc_id
+), summed AS (
+    SELECT *, sum(unit) OVER (
+        PARTITION BY source ORDER BY key, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    FROM units
+), taken AS (
+    SELECT u.source, u.doc_id, w.source_size, w.target,
+           w.epochs + (2 * u.upto - u.unit < 2 * (w.target - w.epochs * w.source_size))::BIGINT AS copies
+    FROM summed u JOIN wanted w ON u.source IS NOT DISTINCT FROM w.source
+)
+SELECT s.doc_id, s.size, t.source_size, t.target, (t.copies * s.size)::BIGINT AS taken
+FROM sized s JOIN taken t ON s.source IS NOT DISTINCT FROM t.source AND s.doc_id IS NOT DISTINCT FROM t.doc_id
+"""
+
+MIDDLES = r"""
+WITH tokens AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS key,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w
+    FROM documents
+), drawn AS (
+    SELECT *, len(w) AS n, ('0x' || substr(key, 1, 8))::BIGINT AS h1, ('0x' || substr(key, 9, 8))::BIGINT AS h2,
+           ('0x' || substr(key, 17, 8))::BIGINT AS h3, ('0x' || substr(key, 25, 8))::BIGINT AS h4
+    FROM tokens
+), formed AS (
+    SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                        OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+           least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b
+    FROM drawn
+), parts AS (
+    SELECT doc_id, n, form, text, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle,
+           array_to_string(w[b + 1:], '') AS suffix
+    FROM formed
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+# CRC-32, bit by bit: the reflected polynomial is a fixed value.
+_CRC32 = """xor(list_reduce(list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT), lambda crc, byte:
+    list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[],
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), 4294967295), 4294967295)"""
+
+CONVERSATION_TRIE = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), short AS (
+    SELECT conv_id, turn, substr(sha256(length(role)::VARCHAR || ':' || role || text), 1, 32) AS digest, length(text) AS chars
+    FROM turns
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM short
+), ids AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS head, {_CRC32.format("conv_id::VARCHAR")} % 6 AS shared
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT conv_id, place, digest, chars FROM placed JOIN ids USING (conv_id) WHERE place > shared
+    UNION ALL
+    SELECT ids.conv_id, place, digest, chars FROM ids JOIN placed ON placed.conv_id = ids.head WHERE place <= shared
+), chained AS (
+    SELECT conv_id, chars, row_number() OVER turn AS d, md5(string_agg(digest, '') OVER turn) AS node
+    FROM rebuilt WINDOW turn AS (PARTITION BY conv_id ORDER BY place)
+), prefixes AS (
+    SELECT conv_id, chars, d, node, lag(node, 1, '') OVER (PARTITION BY conv_id ORDER BY d) AS parent FROM chained
+    UNION ALL SELECT conv_id, 0, 0, '', NULL FROM ids
+), nodes AS (
+    SELECT node, any_value(parent) AS parent, any_value(d) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id,
+           count(*) AS n_convs
+    FROM prefixes GROUP BY node
+), children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+counted AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+below AS (
+    SELECT above.node, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.chars)::BIGINT AS saved
+    FROM counted x JOIN prefixes above ON above.conv_id = x.conv_id AND above.d <= x.depth GROUP BY above.node
+), last AS (
+    SELECT arg_max(node, d) AS node, conv_id FROM prefixes GROUP BY conv_id
+), ends AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS digest FROM last GROUP BY node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved AS saved_tokens,
+       coalesce(digest, sha256('')) AS ends_sha256
+FROM counted n JOIN below USING (node) LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN ends ON ends.node = n.node
+"""
