@@ -40,6 +40,17 @@ def _csv_round_trip(spark, folder):
 
 QUERIES["S1_S7_semicolon_csv"] = (_csv_round_trip, "WITH " + _TEXTS + " SELECT * FROM texts")
 
+
+
+def _split_csv(spark, folder):
+    """The same table in one file, read in byte ranges."""
+    path = scratch_path(spark, "answers-one-csv")
+    writers.semicolon_csv(_texts(spark, folder).coalesce(1), path)
+    return readers.split_csv(spark, path, schemas.ANSWERS)
+
+
+QUERIES["S1_split_csv"] = (_split_csv, "WITH " + _TEXTS + " SELECT * FROM texts")
+
 _EXPORT = T.StructType(
     [
         T.StructField("Run", T.StringType()),
@@ -110,6 +121,23 @@ QUERIES["S4_grades_json"] = (
 )
 
 
+def _grades_in_one_object(spark, folder):
+    """All participants in one JSON object of one file, read in byte ranges."""
+    path = scratch_path(spark, "grades-one-json")
+    grades = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("sentences_"), "letter"), "points")))
+    people = v.subtask_points(spark, folder).groupBy(F.col("participant").cast("string").alias("p")).agg(grades.alias("g"))
+    member = F.regexp_replace(F.to_json(F.create_map("p", "g")), r"^\{|\}$", "")
+    # One line per member, commas after all but the last: the whole is one object.
+    listed = people.select(member.alias("member"), "p").orderBy("p").coalesce(1).select("member", F.monotonically_increasing_id().alias("n"))
+    opened = F.when(F.col("n") == 0, "{").otherwise(",")
+    closing = spark.range(1).select(F.lit("}").alias("value"))
+    listed.select(F.concat(opened, "member").alias("value")).unionByName(closing).coalesce(1).write.text(path)
+    return readers.split_grades_json(spark, path)
+
+
+QUERIES["S4_split_grades_json"] = (_grades_in_one_object, QUERIES["S4_grades_json"][1])
+
+
 def _presplit(spark, folder):
     path = scratch_path(spark, "presplit")
     rows = v.presplit(spark, folder).select(

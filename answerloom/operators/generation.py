@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from answerloom import fixed_values as fv
 from answerloom.functions.hashing import order_hash
 from answerloom.operators.ranking import hash_rank
+from answerloom.operators.replies import ReplyStore, answered
 
 TASK_COLUMNS = ("task_id", "question", "reference_answer", "topic")
 
@@ -89,8 +90,18 @@ def split_flat(df: DataFrame, ids: str, flat: str, per_question: int) -> DataFra
     )
 
 
-def _call(inputs: DataFrame, make_generator: Callable, arguments, reply: str) -> DataFrame:
-    """Call the generator on each row; add its reply and the error, if any."""
+def _call(
+    inputs: DataFrame, make_generator: Callable, arguments, reply: str, store: ReplyStore | None = None, told_apart=(),
+) -> DataFrame:
+    """Call the generator on each row; add its reply and the error, if any.
+
+    With a store, equal arguments are passed once, ever; rows that differ in `told_apart` get replies of their own.
+    """
+    if store is not None:
+        return answered(
+            inputs, store, {a: F.col(a) for a in arguments}, lambda new: _call(new, make_generator, arguments, reply),
+            {"reply": "array<string>"}, told_apart,
+        )
     schema = T.StructType(
         list(inputs.schema.fields)
         + [
@@ -124,13 +135,13 @@ def _call(inputs: DataFrame, make_generator: Callable, arguments, reply: str) ->
     return inputs.mapInArrow(run, schema)
 
 
-def generate_single(tasks, quotas, make_generator, pass_reference=None) -> DataFrame:
+def generate_single(tasks, quotas, make_generator, pass_reference=None, store=None) -> DataFrame:
     """One call per answer: generate(label, question, reference).
 
     Failures are replaced by stand-ins, so every quota is met.
     """
     asked = requests(tasks, quotas, pass_reference)
-    called = _call(asked, make_generator, ("label", "question", "reference_answer"), "one")
+    called = _call(asked, make_generator, ("label", "question", "reference_answer"), "one", store, ("i",))
     stand_in = with_fallback(
         F.lit(None), F.col("label"), F.col("full_reference"), F.col("i"), F.col("task_id")
     )
@@ -139,7 +150,7 @@ def generate_single(tasks, quotas, make_generator, pass_reference=None) -> DataF
     return called.select(*_answer_columns(given), F.lit(None).cast("string").alias("reject_reason"))
 
 
-def generate_per_question(tasks, quotas, make_generator, pass_reference=None) -> DataFrame:
+def generate_per_question(tasks, quotas, make_generator, pass_reference=None, store=None) -> DataFrame:
     """One call per task and label: generate(label, question, reference, count).
 
     Longer replies are cut to the quota. Failed and short ones become one row
@@ -147,7 +158,7 @@ def generate_per_question(tasks, quotas, make_generator, pass_reference=None) ->
     """
     asked = label_requests(tasks, quotas, pass_reference)
     called = _call(
-        asked, make_generator, ("label", "question", "reference_answer", "count"), "many"
+        asked, make_generator, ("label", "question", "reference_answer", "count"), "many", store
     )
     fitting = fit_quota(F.col("reply"), F.col("count"))
     reason = F.coalesce(
@@ -165,7 +176,7 @@ def generate_per_question(tasks, quotas, make_generator, pass_reference=None) ->
 
 
 def generate_batched(
-    tasks, quotas, make_generator, tasks_per_call: int, pass_reference=None
+    tasks, quotas, make_generator, tasks_per_call: int, pass_reference=None, store=None
 ) -> DataFrame:
     """One call per label for a batch of tasks: generate(label, questions, references, count).
 
@@ -190,7 +201,7 @@ def generate_batched(
     )
     called = _call(
         asked.drop("pass_reference"), make_generator,
-        ("label", "questions", "references", "count"), "many",
+        ("label", "questions", "references", "count"), "many", store,
     )
     reason = F.coalesce(
         F.col("error"),
@@ -238,7 +249,7 @@ MODES = {
 def generate(tasks: DataFrame, quotas: dict, make_generator: Callable, mode: str, **options) -> DataFrame:
     """Answers and rejects in one table; reject_reason tells them apart.
 
-    The mode "all" needs `tasks_per_call`, as that decides what a call sees.
+    The mode "all" needs `tasks_per_call`, as that decides what a call sees. `store` keeps replies (`ReplyStore`).
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {sorted(MODES)}, got {mode!r}")

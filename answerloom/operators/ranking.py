@@ -7,18 +7,44 @@ from answerloom.session import settle
 _PLACE_BITS = 33
 
 
-def _ranked_in_buckets(df: DataFrame, bucketed: DataFrame, order, name: str, size: str | None) -> DataFrame:
-    """Ranks from rows with _group and _bucket: places inside buckets, moved by the sizes of those before."""
+def _offsets(sizes: DataFrame, size: str | None) -> DataFrame:
+    """(_group, _bucket, _offset, and the group's total as `size`) from _size of few buckets per group."""
     whole = Window.partitionBy("_group")
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy("_group", "_bucket")
-        .agg(F.count("*").alias("_size"))
-        .select(
-            "_group", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
-            *([F.sum("_size").over(whole).alias(size)] if size else []),
-        )
+    return sizes.select(
+        "_group", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+        *([F.sum("_size").over(whole).alias(size)] if size else []),
+    )
+
+
+def prefix_sums(sizes: DataFrame, size: str | None) -> DataFrame:
+    """`_offsets` for any number of buckets per group, in two levels.
+
+    Bucket sizes are range-partitioned by group and bucket and written once. Each range is summed
+    up, the sums of a group's ranges (one row per range) give each range its offset, and every range adds its
+    own buckets to it. A group with millions of buckets passes through as many tasks as it has ranges.
+    """
+    ranged = settle(
+        sizes.repartitionByRange("_group", "_bucket").withColumn("_range", F.spark_partition_id()), "bucket-ranges"
     )
+    ranges = ranged.groupBy("_group", F.col("_range").alias("_bucket")).agg(F.sum("_size").alias("_size"))
+    moved = _offsets(ranges, size).withColumnsRenamed({"_bucket": "_range", "_offset": "_before"})
+    inside = Window.partitionBy("_group", "_range").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    return own.join(moved, ["_group", "_range"]).select(
+        "_group", "_bucket", (F.col("_before") + F.col("_inside")).alias("_offset"), *([size] if size else [])
+    )
+
+
+def _ranked_in_buckets(
+    df: DataFrame, bucketed: DataFrame, order, name: str, size: str | None, many: bool = False
+) -> DataFrame:
+    """Ranks from rows with _group and _bucket: places inside buckets, moved by the sizes of those before.
+
+    `many`: the number of buckets of a group grows with its rows.
+    """
+    sizes = bucketed.groupBy("_group", "_bucket").agg(F.count("*").alias("_size"))
+    offsets = prefix_sums(sizes, size) if many else _offsets(sizes, size)
     inside = Window.partitionBy("_group", "_bucket").orderBy(*order)
     placed = bucketed.withColumn("_place", F.row_number().over(inside))
     return placed.join(offsets, ["_group", "_bucket"]).select(
@@ -34,14 +60,15 @@ def hash_rank(
     The leading hex digits cut what is equal in `before` into 16**digits even
     buckets. Rows are ranked inside a bucket, and bucket sizes, added up in
     order, give each bucket its offset. A group that holds most of the table
-    is therefore ranked by many tasks. `size` names a column for the number
-    of rows of the group, which comes from the same sums.
+    is therefore ranked by many tasks. Without `before` a group has 16**digits buckets
+    at most, with it any number, and sizes are added up in two levels (`prefix_sums`). `size` names a column for the
+    number of rows of the group, which comes from the same sums.
     """
     # One value per group, never NULL, so that groups with NULL keys join too.
     group = F.struct(*keys) if keys else F.lit(0)
     head = F.substring(hashed, 1, digits)
     bucketed = df.withColumns({"_group": group, "_bucket": F.struct(*before, head.alias("_head")) if before else head})
-    return _ranked_in_buckets(df, bucketed, [*before, hashed, *ties], name, size)
+    return _ranked_in_buckets(df, bucketed, [*before, hashed, *ties], name, size, many=bool(before))
 
 
 def grouped_rank(df: DataFrame, key: str, order, name="rank", size: str | None = None) -> DataFrame:

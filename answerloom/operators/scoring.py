@@ -5,7 +5,8 @@ called as predict(questions, answers, references) on the lists of one Arrow
 batch and return one label per row; question predictors are called as
 predict(question, answers, reference) on one batch of answers to the same
 question. References are None unless they are to be passed. A retried task
-calls its predictor again: write the scores once and read them back.
+calls its predictor again: write the scores once and read them back, or keep
+replies in a `ReplyStore`, from which equal inputs, later runs and retries are served.
 """
 
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from answerloom.functions.text import prompt
 from answerloom.operators.ranking import grouped_rank
+from answerloom.operators.replies import ReplyStore, answered
+from answerloom.session import settle
 
 
 def model_inputs(df: DataFrame, include_reference: bool = False, keep=("labels", "topic")) -> DataFrame:
@@ -67,14 +70,21 @@ def score_rows(
     make_predictor: Callable,
     pass_reference: bool = True,
     fail_on_error: bool = False,
+    store: ReplyStore | None = None,
 ) -> DataFrame:
     """Add y_pred and error by grading each answer on its own.
 
     A batch that fails is halved until the rows that fail stand alone, so a
     bad row costs itself and a few calls more: it gets a NULL y_pred and the
-    error's text.
+    error's text. With a store, equal inputs are graded once, ever.
     """
     inputs = df.drop("y_pred", "error")
+    if store is not None:
+        shown = {"question": F.col("question"), "student_answer": F.col("student_answer")}
+        shown["reference_answer"] = F.col("reference_answer") if pass_reference else F.lit(None).cast("string")
+        return answered(
+            inputs, store, shown, lambda new: score_rows(new, make_predictor, pass_reference, fail_on_error), {"y_pred": "int"}
+        )
     schema = T.StructType(
         [
             *inputs.schema.fields,
@@ -108,44 +118,77 @@ def answer_groups(
 
     The n-th answer of a question is in its group (n - 1) div limit, however
     many it has. All groups show the question and reference answer of the question's first
-    row. No task or array holds a whole hot question. Rows without a key are
-    left out.
+    row. Rows without a key are left out.
+
+    Answers are counted per question first, from the key column alone. Questions of at most
+    `limit` answers are one group each and need no ranks: one shuffle by key. Those of more, of which
+    there are at most rows / limit, are ranked over range partitions, so that no task or array holds a whole hot
+    question.
     """
     keyed = df.filter(F.col(key).isNotNull())
-    ranked = grouped_rank(keyed, key, [order, row_id], "_rank", "_n").withColumn(
+    hot = settle(keyed.groupBy(key).count().filter(F.col("count") > limit).select(F.col(key).alias("_key")), "hot-questions")
+    if hot.isEmpty():
+        return _groups(keyed.withColumn("part", F.lit(0).cast("long")), key, row_id, order, carry)
+    same = F.col(key) == F.col("_key")
+    cold = _groups(keyed.join(hot, same, "left_anti").withColumn("part", F.lit(0).cast("long")), key, row_id, order, carry)
+    ranked = grouped_rank(keyed.join(hot, same, "left_semi"), key, [order, row_id], "_rank").withColumn(
         "part", F.floor((F.col("_rank") - 1) / limit)
     )
+    heads = ranked.filter("_rank = 1").select(
+        F.col(key).alias("_key"), F.col("question").alias("_question"), F.col("reference_answer").alias("_reference")
+    )
+    parts = _groups(ranked, key, row_id, order, carry).drop("question", "reference_answer")
+    shown = parts.join(heads, same).select(
+        key, "part", F.col("_question").alias("question"), F.col("_reference").alias("reference_answer"), "members"
+    )
+    return cold.unionByName(shown)
+
+
+def _groups(rows: DataFrame, key: str, row_id: str, order: str, carry) -> DataFrame:
+    """Rows collected by key and part, with the question and reference answer of the first of them."""
     member = F.struct(
         F.col(order).alias("row_no"),
         F.col(row_id).alias("row_id"),
         F.col("student_answer").alias("answer"),
         *[F.col(c) for c in carry if c not in ("row_no", "row_id", "answer")],
     )
-    first = F.struct(order, row_id)
-    groups = ranked.groupBy(key, "part").agg(
-        F.min_by(F.struct("question", "reference_answer"), first).alias("_own"),
-        F.array_sort(F.collect_list(member)).alias("members"),
-    )
-    # Only questions of several groups need the first row of another one.
-    heads = ranked.filter((F.col("_rank") == 1) & (F.col("_n") > limit)).select(
-        F.col(key).alias("_key"), F.struct("question", "reference_answer").alias("_head")
-    )
-    shown = F.coalesce("_head", "_own")
-    return groups.join(heads, F.col(key) == F.col("_key"), "left").select(
-        key, "part", shown["question"].alias("question"), shown["reference_answer"].alias("reference_answer"), "members"
-    )
+    own = F.min_by(F.struct("question", "reference_answer"), F.struct(order, row_id))
+    groups = rows.groupBy(key, "part").agg(own.alias("_own"), F.array_sort(F.collect_list(member)).alias("members"))
+    return groups.select(key, "part", "_own.question", "_own.reference_answer", "members")
 
 
 def score_groups(
     groups: DataFrame, make_predictor: Callable, pass_reference: bool = True,
-    fail_on_error: bool = False, key: str = "task_id",
+    fail_on_error: bool = False, key: str = "task_id", store: ReplyStore | None = None,
 ) -> DataFrame:
     """One row per answer of each group, with y_pred and error.
 
     Labels are matched to answers by place: with too few labels the last
     answers stay ungraded (NULL), surplus labels are ignored. A missing answer
-    is shown to the predictor as an empty text.
+    is shown to the predictor as an empty text. With a store, a question with the same
+    answers in the same order is graded once, ever.
     """
+    if store is None:
+        scored = _label_groups(groups, make_predictor, pass_reference, fail_on_error)
+    else:
+        answers = F.transform("members", lambda m: F.struct(F.coalesce(m["answer"], F.lit("")).alias("answer")))
+        reference = F.col("reference_answer") if pass_reference else F.lit(None).cast("string")
+        scored = answered(
+            groups, store, {"question": F.col("question"), "reference_answer": reference, "members": answers},
+            lambda new: _label_groups(new, make_predictor, pass_reference, fail_on_error), {"labels": "array<int>"},
+        )
+    return scored.select(
+        key, "labels", "error", F.posexplode("members").alias("pos", "member")
+    ).select(
+        key,
+        "member.*",
+        F.try_element_at("labels", F.col("pos") + 1).alias("y_pred"),
+        "error",
+    )
+
+
+def _label_groups(groups: DataFrame, make_predictor: Callable, pass_reference: bool, fail_on_error: bool) -> DataFrame:
+    """Add labels and error to each group of answers (question, reference_answer, members)."""
     schema = T.StructType(
         list(groups.schema.fields)
         + [
@@ -180,21 +223,13 @@ def score_groups(
                 error=pa.array(errors, pa.string()),
             )
 
-    scored = groups.mapInArrow(grade, schema)
-    return scored.select(
-        key, "labels", "error", F.posexplode("members").alias("pos", "member")
-    ).select(
-        key,
-        "member.*",
-        F.try_element_at("labels", F.col("pos") + 1).alias("y_pred"),
-        "error",
-    )
+    return groups.mapInArrow(grade, schema)
 
 
 def score_questions(
     df: DataFrame, make_predictor: Callable, limit: int, pass_reference: bool = True,
     key: str | None = None, row_id: str = "row_id", order: str = "row_no", carry=(),
-    fail_on_error: bool = False,
+    fail_on_error: bool = False, store: ReplyStore | None = None,
 ) -> DataFrame:
     """Grade the answers of a question together, at most `limit` in one call.
 
@@ -203,7 +238,7 @@ def score_questions(
     """
     key = key or ("task_id" if "task_id" in df.columns else "question")
     groups = answer_groups(df, limit, key, row_id, order, carry)
-    scored = score_groups(groups, make_predictor, pass_reference, fail_on_error, key)
+    scored = score_groups(groups, make_predictor, pass_reference, fail_on_error, key, store)
     names = scored.columns
     sources = {"row_no": order, "row_id": row_id, "answer": "student_answer"}
     left_out = df.filter(F.col(key).isNull()).select(

@@ -10,6 +10,7 @@ from answerloom.functions.labels import label_source, lenient_label, strict_labe
 from answerloom.operators import metrics as mt
 from answerloom.operators.confusion import cells, confusion_matrix
 from answerloom.operators.leaderboard import group_stats
+from answerloom.operators.replies import ReplyStore
 from answerloom.operators.sampling import exact_sample
 from answerloom.operators.scoring import score
 from answerloom.session import scratch_path
@@ -32,6 +33,7 @@ def grade_and_measure(
     params_path: str | None = None,
     params_left_out=(),
     confusion_path: str | None = None,
+    store: ReplyStore | None = None,
 ) -> DataFrame:
     """Grade answers, write predictions and metrics, return the metric rows.
 
@@ -39,14 +41,14 @@ def grade_and_measure(
     once per answer even though several tables are made from them. The mode
     per_question needs `question_limit`, the answers a call may see. The run's
     parameters and its confusion matrix are stored where paths are given for
-    them.
+    them. With a `store`, only inputs it has no reply for reach the grader.
     """
     spark = answers.sparkSession
     raw = label_source(answers)
     numeric = not _is_text(answers, raw)
     truth = lenient_label(raw, numeric=numeric) if lenient else strict_label(raw)
     sampled = exact_sample(answers.withColumn("y_true", truth), sample_fraction, "row_id", sample_seed)
-    options = {"pass_reference": pass_reference}
+    options = {"pass_reference": pass_reference, "store": store}
     if mode == "per_question":
         if question_limit is None:
             raise ValueError("the mode per_question needs question_limit")
@@ -77,12 +79,15 @@ def measure_models(predictions: DataFrame, key: str = "model") -> DataFrame:
 
 def grade_repeatedly(
     answers: DataFrame, make_predictor: Callable, runs: int, predictions_path: str,
-    metric: str = "quadratic_weighted_kappa", mode: str = "single", **options,
+    metric: str = "quadratic_weighted_kappa", mode: str = "single", store: ReplyStore | None = None,
+    run_id: str = "run", metrics_path: str | None = None, confusion_path: str | None = None, **options,
 ) -> dict:
     """Grade every answer once per run, in either mode; mean and deviation of a metric over the runs.
 
     Returns `statistics` and `failed` (run, error). A run that fails is left out and
-    reported; the others go on. `answers` must have y_true.
+    reported; the others go on. `answers` must have y_true. All metrics and the confusion matrix of each run
+    are stored as run `run_id`-1, -2, ... where paths are given for them. With a `store`, each run asks for itself, and
+    a run taken up again asks only what it had not asked.
     """
     spark, done, failed = answers.sparkSession, [], []
     if mode == "per_question":
@@ -92,7 +97,8 @@ def grade_repeatedly(
     for run in range(1, runs + 1):
         path = f"{predictions_path}/run={run}"
         try:
-            writers.to_parquet(score(answers, make_predictor, mode, **options), path, "overwrite")
+            own = options | {"store": store and store.of_run(run)}
+            writers.to_parquet(score(answers, make_predictor, mode, **own), path, "overwrite")
             done.append(path)
         except Exception as error:
             failed.append((run, f"{type(error).__name__}: {error}"))
@@ -100,6 +106,12 @@ def grade_repeatedly(
     if not done:
         raise RuntimeError(f"all {runs} runs failed; the first: {failed[0][1]}")
     written = spark.read.option("basePath", predictions_path).parquet(*done)
+    for path in done:
+        run, predictions = path.rsplit("=", 1)[1], spark.read.parquet(path)
+        if metrics_path:
+            writers.metrics(writers.with_run(mt.long_report(predictions), f"{run_id}-{run}"), metrics_path)
+        if confusion_path:
+            writers.by_run(confusion_matrix(cells(predictions)), f"{run_id}-{run}", confusion_path)
     return {"statistics": group_stats(mt.summary(cells(written, ["run"]), ["run"]), [], metric), "failed": report}
 
 

@@ -1,10 +1,11 @@
 """Readers. All of them take declared schemas; nothing is inferred."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from answerloom import fixed_values as fv, schemas
 from answerloom.functions.labels import collapse_five_way
 from answerloom.functions.text import reference_option
+from answerloom.sources import ranges
 
 
 def semicolon_csv(
@@ -14,7 +15,7 @@ def semicolon_csv(
 
     Empty fields are NULL, quoted or not.
     Files read with `multi_line` are not split over tasks. Turn off where
-    fields hold no line breaks, or convert to Parquet once (`to_parquet`).
+    fields hold no line breaks; large files are for `split_csv`.
     """
     return spark.read.schema(schema).csv(
         path, sep=";", header=True, quote='"', escape='"', multiLine=multi_line,
@@ -22,6 +23,30 @@ def semicolon_csv(
     )
 
 
+def split_csv(spark: SparkSession, path, schema: T.StructType, sep: str = ";") -> DataFrame:
+    """`semicolon_csv` for large files, each read by as many tasks as it has byte ranges.
+
+    Quotes stand around whole fields and are doubled inside them, as the writer here does; a lone quote inside an
+    unquoted field is an error of the file that this reader does not notice. A header that names
+    other columns is an error. Line breaks inside fields stay as they are.
+    """
+    found = ranges.records(spark, path, ranges.CSV)
+    line = F.regexp_replace(ranges.without_bom(F.col("text"), F.col("opens")), "\r$", "")
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    names = F.from_csv("line", T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(schema))]).toDDL(), options)
+    as_named = F.array(*[names[f"c{i}"] for i in range(len(schema))]) == F.array(*[F.lit(n) for n in schema.fieldNames()])
+    other = F.raise_error(F.concat(F.lit("the header is not the schema's: "), "line")).cast("boolean")
+    is_row = F.when(F.col("opens"), F.when(as_named, False).otherwise(other)).otherwise(F.col("line") != "")
+    rows = found.select(line.alias("line"), "opens").filter(is_row)
+    return rows.select(F.from_csv("line", schema.toDDL(), options).alias("row")).select("row.*")
+
+
+def _member(opening: str, closing: str) -> Column:
+    """A member of a JSON object or array without the brackets around all of them."""
+    text = F.when(F.col("opens"), F.regexp_replace("text", rf"^\s*\{opening}", "")).otherwise(F.col("text"))
+    return F.when(F.col("closes"), F.regexp_replace(text, rf"\{closing}\s*$", "")).otherwise(text)
+
+
 def comma_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     """Comma CSV of experiment exports; empty fields are NULL."""
     return spark.read.schema(schema).csv(
@@ -43,8 +68,22 @@ def task_json(
         .option("multiLine", multi_line)
         .option("pathGlobFilter", "*.json")
     )
-    stem = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
-    rows = reader.json(folder)
+    return _as_tasks(reader.json(folder), F.col(topic) if topic else _stem("_metadata.file_path"))
+
+
+def split_task_json(spark: SparkSession, folder: str) -> DataFrame:
+    """`task_json` for large files: an array is read by as many tasks as its file has byte ranges."""
+    found = ranges.records(spark, f"{folder.rstrip('/')}/*.json", ranges.JSON_MEMBERS)
+    rows = found.select(_member("[", "]").alias("member"), _stem("file").alias("topic")).filter(F.btrim("member", F.lit(" \t\r\n")) != "")
+    return _as_tasks(rows.select(F.from_json("member", schemas.TASK_JSON).alias("task"), "topic").select("task.*", "topic"), F.col("topic"))
+
+
+def _stem(path: str) -> Column:
+    """The stem of a .json file from its path, which Spark gives percent-encoded."""
+    return F.regexp_extract(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), r"([^/]*)\.json$", 1)
+
+
+def _as_tasks(rows: DataFrame, topic: Column) -> DataFrame:
     options = F.transform(
         "answer_options",
         lambda o: F.struct(
@@ -58,7 +97,7 @@ def task_json(
     return rows.select(
         F.coalesce("question", F.lit("")).alias("question"),
         F.coalesce(options, F.array()).alias("answer_options"),
-        (F.col(topic) if topic else stem).alias("topic"),
+        topic.alias("topic"),
     )
 
 
@@ -82,6 +121,14 @@ def grades_json(spark: SparkSession, path, whole_file: bool = True) -> DataFrame
     return people.select("participant", F.explode("grades").alias("subtask", "points"))
 
 
+def split_grades_json(spark: SparkSession, path) -> DataFrame:
+    """`grades_json` of whole files of any size: participants' objects leave as they close, from all byte ranges at once."""
+    found = ranges.records(spark, path, ranges.JSON_MEMBERS)
+    person = F.from_json(F.concat(F.lit("{"), _member("{", "}"), F.lit("}")), schemas.GRADES)
+    people = found.select(F.explode(person).alias("participant", "grades"))
+    return people.select("participant", F.explode("grades").alias("subtask", "points"))
+
+
 def splits(read, paths: dict) -> DataFrame:
     """Tables of several splits as one, with a split column.
 

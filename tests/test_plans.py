@@ -75,10 +75,15 @@ def shuffle_joins(spark):
 
 
 def test_shares_of_a_question_are_spread_over_tasks(spark, data, shuffle_joins):
-    text = plan(QUERIES["A27_answers_per_question"](spark, data))
+    text = plan(QUERIES["A27_answers_of_large_questions"](spark, data))
     assert re.search(r"Window \[row_number.*\n.*Sort.*\n.*Exchange hashpartitioning\(_group#\d+, _bucket#", text)
 
 
+def test_questions_of_one_call_need_no_ranks(spark, data, shuffle_joins):
+    text = plan(QUERIES["A27_answers_per_question"](spark, data))
+    assert "Window" not in text and text.count("Exchange hashpartitioning(task_id") == 1
+
+
 def test_answers_are_added_up_before_they_meet_their_split(spark, data, shuffle_joins):
     text = plan(QUERIES["X1_no_task_in_two_splits"](spark, data))
     join = text.index("SortMergeJoin [task_id")
