@@ -6,6 +6,9 @@ from answerloom.session import settle
 
 _PLACE_BITS = 33
 
+#: So many bucket sizes one task may add up, short rows in one pass; more are added up in two levels. The sums are the same.
+FEW_BUCKETS = 1_000_000
+
 
 def _offsets(sizes: DataFrame, size: str | None) -> DataFrame:
     """(_group, _bucket, _offset, and the group's total as `size`) from _size of few buckets per group."""
@@ -44,6 +47,9 @@ def _ranked_in_buckets(
     `many`: the number of buckets of a group grows with its rows.
     """
     sizes = bucketed.groupBy("_group", "_bucket").agg(F.count("*").alias("_size"))
+    if many:
+        sizes = settle(sizes, "bucket-sizes")
+        many = sizes.count() > FEW_BUCKETS
     offsets = prefix_sums(sizes, size) if many else _offsets(sizes, size)
     inside = Window.partitionBy("_group", "_bucket").orderBy(*order)
     placed = bucketed.withColumn("_place", F.row_number().over(inside))

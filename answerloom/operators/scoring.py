@@ -126,9 +126,10 @@ def answer_groups(
     question.
     """
     keyed = df.filter(F.col(key).isNotNull())
-    hot = settle(keyed.groupBy(key).count().filter(F.col("count") > limit).select(F.col(key).alias("_key")), "hot-questions")
-    if hot.isEmpty():
+    many = keyed.groupBy(key).count().filter(F.col("count") > limit).select(F.col(key).alias("_key"))
+    if many.isEmpty():
         return _groups(keyed.withColumn("part", F.lit(0).cast("long")), key, row_id, order, carry)
+    hot = settle(many, "hot-questions")
     same = F.col(key) == F.col("_key")
     cold = _groups(keyed.join(hot, same, "left_anti").withColumn("part", F.lit(0).cast("long")), key, row_id, order, carry)
     ranked = grouped_rank(keyed.join(hot, same, "left_semi"), key, [order, row_id], "_rank").withColumn(

@@ -168,3 +168,39 @@ def test_overlaps_and_zero_fill(spark):
     assert totals[("val", None)] == 2 and totals[(None, None)] == 2 and totals[("val", "x")] == 2
     percent = ds.split_label_distribution(df).filter("split = 'test'").collect()
     assert [r.percent for r in percent] == [0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_ranks_of_a_group_with_very_many_buckets(spark, monkeypatch, few):
+    """A topic that holds nearly all tasks, with as many profiles as a third of them."""
+    monkeypatch.setattr(rk, "FEW_BUCKETS", few)
+    rows = [("big" if k % 50 else "small", k * 7919 % 1000, k % 3, f"{k * 2654435761 % 2**32:08x}", k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, a long, b long, h string, id long").repartition(6)
+    got = rk.hash_rank(df, ["g"], "h", ["id"], before=["a", "b"], size="n").collect()
+    expected = {}
+    for g in ("big", "small"):
+        mine = sorted(((r[1], r[2], r[3], r[4]) for r in rows if r[0] == g))
+        expected |= {r[3]: (n, len(mine)) for n, r in enumerate(mine, 1)}
+    assert {r.id: (r.rank, r.n) for r in got} == expected
+
+
+def test_many_buckets_are_summed_by_many_tasks(spark):
+    """A million profiles in one topic: no range adds up more than its share of them."""
+    sizes = spark.range(400_000).select(F.struct(F.lit("t")).alias("_group"), F.col("id").alias("_bucket"), (F.col("id") % 3 + 1).alias("_size"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        offsets = rk.prefix_sums(sizes, "total")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = spark.read.parquet(_latest(spark, "bucket-ranges"))
+        assert max(r["count"] for r in ranges.groupBy("_range").count().collect()) <= 2 * 400_000 / n
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    row = offsets.filter("_bucket = 399999").first()
+    assert (row._offset, row.total) == (sum(k % 3 + 1 for k in range(399_999)), sum(k % 3 + 1 for k in range(400_000)))
+
+
+def _latest(spark, name):
+    from answerloom import session
+
+    return [p for p in session._written[spark.sparkContext.applicationId] if f"/{name}-" in p][-1]
