@@ -1,17 +1,20 @@
 """Passages that repeat across documents, wherever they stand in the text.
 
-Passages are pasted into the middle of lines as often as between them, so windows of WORDS words are found by
-content: of each SPREAD consecutive places of a text the one with the smallest five-word hash starts a window. Any
-passage of WORDS + SPREAD - 1 words (22) or more that two documents share thereby gives both the same window at least
+The texts' own paragraphs, their lines of five words or more, are compared whole. Paragraphs of equal words are one
+node. Of each node's five-word shingles BANDS * BAND_ROWS minima are taken and cut into bands; nodes that collide
+in a band are candidates. Two paragraphs that share 75 % of the union of their shingles share no band once in 200 times
+(0.684 ** 14). Candidates are confirmed by exact Jaccard similarity, and components of links are one passage. Minima are made once per node and task, however many documents hold the line. A changed copy goes whole, save for
+ends of more than four words whose shingles no other paragraph of its passage has: those are text of its own beside a
+pasted passage.
+
+Passages are pasted into the middle of lines as often as between them, so besides paragraphs windows of WORDS words are
+found by content: of each SPREAD consecutive places of a text the one with the smallest five-word hash starts a window. Any
+passage of WORDS + SPREAD - 1 words (34) or more that two documents share thereby gives both the same window at least
 once. Around windows that two documents share every run of WORDS words is looked up, sampled or not, so a passage is
 known from its first to its last word.
 
-The texts' own paragraphs, their lines of five words or more, are compared whole. Paragraphs of equal words are one
-node. Of the distinct five-word shingles of each, the smallest hashes are its keys, one more than it may lack at the
-threshold: sets that share PERCENT percent of their union share a key with certainty, where MinHash bands would do
-so with a chance. Paragraphs that share a key are confirmed by exact Jaccard similarity, and components of
-links are one passage. A changed copy goes whole, save for ends of more than four words whose
-shingles no other paragraph of its passage has: those are text of its own beside a pasted passage.
+Texts are hashed in one pass, which writes lines, bands and windows; later passes read only the texts that hold
+something repeated.
 
 What stands in the smallest doc_id stays, all other occurrences are removals; those next to or over each other are
 one span.
@@ -31,11 +34,14 @@ from answerloom.llm import linking, wordhash
 from answerloom.llm.rows import keyed_texts, same_row, text_key
 from answerloom.session import settle
 
-WORDS, SPREAD = 15, 8
+WORDS, SPREAD = 15, 20
+BANDS, BAND_ROWS = 14, 4
 SHINGLE_WORDS = 5
 PERCENT = 75
 
 SHINGLES = WORDS - SHINGLE_WORDS + 1
+# Bounds of a task's memory: shingles taken through all hash functions at once, lines remembered.
+BLOCK_SHINGLES, MOST_SEEN = 1 << 16, 1 << 20
 
 
 def starts(shingles: np.ndarray) -> np.ndarray:
@@ -79,18 +85,6 @@ def _places(batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray]]) -
     )
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows found by content."""
-    for whole in batches:
-        for k in range(0, whole.num_rows, 1000):
-            batch, found = whole.slice(k, 1000), []
-            for text in batch.column("text"):
-                hashes, _, _ = wordhash.words(text.as_py().encode())
-                at = starts(wordhash.shingles(hashes, SHINGLE_WORDS)) if len(hashes) >= WORDS else np.empty(0, np.int64)
-                found.append((at, _runs(hashes)[at]))
-            yield _places(batch, found)
-
-
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All runs of WORDS words that start less than SPREAD words from one of `hits`."""
     for whole in batches:
@@ -115,6 +109,7 @@ class Lines:
     def __init__(self, text: str):
         raw = text.encode()
         hashes, begin, _ = wordhash.words(raw)
+        self.words = hashes
         breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
         line = np.searchsorted(breaks, begin)
         first = np.flatnonzero(np.diff(line, prepend=-1))
@@ -143,13 +138,63 @@ class Lines:
         new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
         return values[new], np.bincount(owner[new], minlength=len(self.start))
 
-    def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The smallest shingles of each line, n - ceil(percent n / 100) + 1 of n, and the number of them."""
-        values, sizes = self.sets()
-        counts = sizes - -(-percent * sizes // 100) + 1
-        rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        # Not the shingles themselves, which are small here.
-        return wordhash.mix(values[rank < np.repeat(counts, sizes)]).view(np.int64), counts
+    def bands(self, functions: wordhash.Minima, chosen: np.ndarray) -> np.ndarray:
+        """Band keys of the chosen lines, one row per line."""
+        sizes = np.bincount(self.owner, minlength=len(self.start))
+        ends = np.cumsum(sizes)
+        minima, k = np.empty((len(chosen), BANDS * BAND_ROWS), np.uint32), 0
+        while k < len(chosen):
+            # Lines in one go, as many as fit into a block; a longer line goes by itself, in pieces.
+            last = k + 1 + int(np.searchsorted(np.cumsum(sizes[chosen[k + 1 :]]), BLOCK_SHINGLES - sizes[chosen[k]]))
+            some = chosen[k:last]
+            if len(some) == 1:
+                minima[k] = functions.of(self.shingles[ends[some[0]] - sizes[some[0]] : ends[some[0]]])
+            else:
+                at = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in some])
+                narrow = (self.shingles[at] >> np.uint64(32)).astype(np.uint32)
+                first = np.cumsum(sizes[some]) - sizes[some]
+                minima[k:last] = np.minimum.reduceat(narrow[:, None] * functions.factors + functions.offsets, first, axis=0)
+            k = last
+        table = minima.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+        sums = (table * wordhash.seeds(BAND_ROWS, 19)).sum(axis=2, dtype=np.uint64)
+        return wordhash.mix(sums + wordhash.seeds(BANDS, 20)).view(np.int64)
+
+
+SCANNED = "doc_id long, mark long, start long, n_words long, node long, line boolean, bands array<long>"
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's windows found by content and its lines; bands with a line's first occurrence in the task alone."""
+    functions, seen = wordhash.Minima(BANDS * BAND_ROWS), set()
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            batch, found, n_words, is_line, bands, counts = whole.slice(k, 1000), [], [], [], [], []
+            for text in batch.column("text"):
+                lines = Lines(text.as_py())
+                at = np.empty(0, np.int64)
+                if len(lines.words) >= WORDS:
+                    at = starts(wordhash.shingles(lines.words, SHINGLE_WORDS))
+                fresh = np.zeros(len(lines.node), bool)
+                for i, node in enumerate(lines.node.tolist()):
+                    if node not in seen:
+                        fresh[i] = True
+                        seen.add(node)
+                found.append((np.concatenate((at, lines.start)), np.concatenate((_runs(lines.words)[at], lines.node))))
+                n_words += [np.full(len(at), WORDS), lines.n_words]
+                is_line += [np.zeros(len(at), bool), np.ones(len(lines.node), bool)]
+                counts += [np.zeros(len(at), np.int64), fresh * BANDS]
+                if fresh.any():
+                    bands.append(lines.bands(functions, np.flatnonzero(fresh)).reshape(-1))
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            places = _places(batch, found)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *places.columns[:3], pa.array(np.concatenate(n_words), pa.int64()), places.column("node"),
+                    pa.array(np.concatenate(is_line)), _lists(bands, counts),
+                ],
+                ["doc_id", "mark", "start", "n_words", "node", "line", "bands"],
+            )
 
 
 def _lists(parts: list[np.ndarray], counts: list[np.ndarray]) -> pa.ListArray:
@@ -157,23 +202,6 @@ def _lists(parts: list[np.ndarray], counts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
 
-def _line_keys(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, mark, start, node, n_words, keys) of each line."""
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                lines = [Lines(text.as_py()) for text in batch.column("text")]
-                places = _places(batch, [(x.start, x.node) for x in lines])
-                keys = [x.keys(percent) for x in lines]
-                n_words = np.concatenate([np.empty(0, np.int64), *[x.n_words for x in lines]])
-                yield pa.RecordBatch.from_arrays(
-                    [*places.columns, pa.array(n_words), _lists([x for x, _ in keys], [n for _, n in keys])],
-                    [*places.schema.names, "n_words", "keys"],
-                )
-    return run
-
-
 def _line_items(ordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(node, items) of the lines of each text that are asked for: shingles in text order, or sorted sets."""
@@ -199,58 +227,50 @@ def _several(found: DataFrame, key: str) -> DataFrame:
     ).drop("last")
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
-    """(doc_id, mark, start, n_words, passage): every run of WORDS words around sampled ones that two documents share."""
-    sampled = texts.mapInArrow(_sampled, PLACES)
-    shared = settle(_several(sampled, "node").select("node"), "shared-windows")
+def _of_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """texts joined with `wanted` (doc_id, mark, ...), settled; other texts are left out before any shuffle if they can be."""
+    rows = linking.small_side(wanted.select("doc_id", "mark"))
+    return texts.join(rows, ["doc_id", "mark"], "left_semi").join(wanted, ["doc_id", "mark"])
+
+
+def repeated_runs(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, n_words, passage): every run of WORDS words around windows that two documents share."""
+    shared = settle(_several(windows, "node").select("node"), "shared-windows")
     hits = settle(
-        sampled.join(linking.small_side(shared, 8), "node").groupBy("doc_id", "mark").agg(F.collect_set("start").alias("hits")),
+        windows.join(linking.small_side(shared, 8), "node").groupBy("doc_id", "mark").agg(F.collect_set("start").alias("hits")),
         "window-hits",
     )
-    near = texts.dropDuplicates(["doc_id", "mark"]).join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hits")
-    return near.mapInArrow(_around, PLACES).select(
+    return _of_rows(texts, hits).select("doc_id", "mark", "text", "hits").mapInArrow(_around, PLACES).select(
         "doc_id", "mark", "start", F.lit(WORDS).cast("long").alias("n_words"), F.col("node").alias("passage")
     )
 
 
-def repeated_lines(texts: DataFrame, percent: int) -> DataFrame:
+def repeated_lines(texts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(doc_id, mark, start, n_words, passage): lines that stand or have a near copy elsewhere, one passage per component."""
-    found = texts.mapInArrow(_line_keys(percent), PLACES + ", n_words long, keys array<long>")
-    # What several nodes or documents share. Nodes of a key met within one document may link others.
+    banded = lines.filter(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), "node")
     shared = settle(
-        found.select("doc_id", "node", F.explode(F.array_append("keys", F.col("node"))).alias("key")).groupBy("key").agg(
-            F.min("node").alias("low"), F.max("node").alias("high"), F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")
-        ).filter("low < high or doc < last").select("key", "low", "high"), "shared-keys",
-    )
-    # Keys of several nodes are looked up themselves; for the others the one node is enough.
-    keys = settle(
-        shared.filter("low = high").select(F.col("low").alias("key")).distinct()
-        .unionByName(shared.filter("low < high").select("key")), "line-keys",
-    )
-    met = settle(
-        found.select("doc_id", "mark", "start", "n_words", "node", F.explode(F.array_append("keys", F.col("node"))).alias("key"))
-        .join(linking.small_side(keys, 8), "key"), "met-lines",
+        banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket"),
+        "shared-bands",
     )
-    places = met.select("doc_id", "mark", "start", "n_words", "node").distinct()
+    buckets = settle(banded.join(linking.small_side(shared, 8), "bucket").distinct(), "line-bands")
 
     def items_of(needed, ordered=False):
-        one = places.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("row"))
+        one = lines.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("row"))
         asked = settle(
             one.groupBy(F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")).agg(
                 F.collect_list("node").alias("wanted")
             ), "wanted-lines",
         )
-        known = texts.dropDuplicates(["doc_id", "mark"]).join(asked, ["doc_id", "mark"]).select("text", "wanted")
+        known = _of_rows(texts, asked).select("text", "wanted")
         return known.mapInArrow(_line_items(ordered), "node long, items array<long>").dropDuplicates(["node"])
 
-    buckets = met.filter("key <> node").select(F.col("key").alias("bucket"), "node").distinct()
     groups = settle(
         linking.components(settle(linking.links(buckets, items_of, percent), "line-links")), "line-groups"
     )
 
     # Where the shingles that a changed copy has in common with its passage begin and end.
     held = settle(
-        items_of(groups.select("node"), True).join(groups, "node")
+        items_of(linking.small_side(groups.select("node"), 8), True).join(groups, "node")
         .select("component", "node", F.posexplode("items").alias("at", "item")), "line-shingles",
     )
     common = held.groupBy("component", "item").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(
@@ -262,7 +282,9 @@ def repeated_lines(texts: DataFrame, percent: int) -> DataFrame:
         ), "line-reach",
     )
     # Lines that stand in two documents as they are go whole.
-    equal = _several(places, "node").select("node", F.lit(True).alias("equal"))
+    equal = settle(_several(lines, "node").select("node", F.lit(True).alias("equal")), "equal-lines")
+    known = settle(groups.select("node").unionByName(equal.select("node")).distinct(), "repeated-nodes")
+    places = lines.select("doc_id", "mark", "start", "n_words", "node").join(linking.small_side(known, 8), "node").distinct()
     slack, own = SHINGLE_WORDS - 1, F.col("equal").isNull()
     low = F.when(own & (F.col("low") > slack), F.col("low")).otherwise(0)
     high = F.when(own & (F.col("high") < F.col("n_words") - slack), F.col("high")).otherwise(F.col("n_words"))
@@ -275,7 +297,9 @@ def repeated_lines(texts: DataFrame, percent: int) -> DataFrame:
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, mark, start, n_words, passage, first_doc, removed): what stands in two documents or more."""
     texts = keyed_texts(docs).filter("doc_id is not null")
-    placed = settle(repeated_runs(texts).unionByName(repeated_lines(texts, percent)), "placed")
+    scanned = settle(texts.mapInArrow(_scan, SCANNED), "scanned")
+    runs = repeated_runs(texts, scanned.filter("not line"))
+    placed = settle(runs.unionByName(repeated_lines(texts, scanned.filter("line"), percent)).distinct(), "placed")
     return placed.join(_several(placed, "passage"), "passage").select(
         "doc_id", "mark", "start", "n_words", "passage", "first_doc", (F.col("doc_id") != F.col("first_doc")).alias("removed")
     )
