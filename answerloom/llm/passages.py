@@ -9,9 +9,9 @@ pasted passage.
 
 Passages are pasted into the middle of lines as often as between them, so besides paragraphs windows of WORDS words are
 found by content: of each SPREAD consecutive places of a text the one with the smallest five-word hash starts a window. Any
-passage of WORDS + SPREAD - 1 words (34) or more that two documents share thereby gives both the same window at least
-once. Around windows that two documents share every run of WORDS words is looked up, sampled or not, so a passage is
-known from its first to its last word.
+passage of WORDS + SPREAD - 1 words (39) or more that two documents share thereby gives both the same window at least
+once. Shared windows that touch make a chain, and only beyond the ends of chains runs of WORDS words are looked up one
+by one, in every document that holds the end's window; so a passage is known from its first to its last word, and its inside costs no more than its windows.
 
 Texts are hashed in one pass, which writes lines, bands and windows; later passes read only the texts that hold
 something repeated.
@@ -34,7 +34,7 @@ from answerloom.llm import linking, wordhash
 from answerloom.llm.rows import keyed_texts, same_row, text_key
 from answerloom.session import settle
 
-WORDS, SPREAD = 15, 20
+WORDS, SPREAD = 20, 20
 BANDS, BAND_ROWS = 14, 4
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -85,16 +85,20 @@ def _places(batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray]]) -
     )
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs of WORDS words that start less than SPREAD words from one of `hits`."""
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of WORDS words that start less than SPREAD words before or after windows, as each of `ends` asks."""
     for whole in batches:
         for k in range(0, whole.num_rows, 1000):
             batch, found = whole.slice(k, 1000), []
-            for text, hits in zip(batch.column("text"), batch.column("hits")):
-                runs = _runs(wordhash.words(text.as_py().encode())[0])
-                edges, at = np.zeros(len(runs) + 1, np.int64), hits.values.to_numpy()
-                np.add.at(edges, np.maximum(at - SPREAD + 1, 0), 1)
-                np.add.at(edges, np.minimum(at + SPREAD, len(runs)), -1)
+            for text, ends in zip(batch.column("text"), batch.column("ends")):
+                runs, ends = _runs(wordhash.words(text.as_py().encode())[0]), ends.values
+                at = ends.field("start").to_numpy()
+                before, after = (ends.field(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("before", "after"))
+                edges = np.zeros(len(runs) + 1, np.int64)
+                np.add.at(edges, np.maximum(at[before] - SPREAD + 1, 0), 1)
+                np.add.at(edges, at[before], -1)
+                np.add.at(edges, np.minimum(at[after] + 1, len(runs)), 1)
+                np.add.at(edges, np.minimum(at[after] + SPREAD, len(runs)), -1)
                 near = np.flatnonzero(np.cumsum(edges[:-1]))
                 found.append((near, runs[near]))
             yield _places(batch, found)
@@ -234,15 +238,28 @@ def _of_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_runs(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, mark, start, n_words, passage): every run of WORDS words around windows that two documents share."""
+    """(doc_id, mark, start, n_words, passage): windows that two documents share, and what repeats beyond their chains' ends."""
     shared = settle(_several(windows, "node").select("node"), "shared-windows")
     hits = settle(
-        windows.join(linking.small_side(shared, 8), "node").groupBy("doc_id", "mark").agg(F.collect_set("start").alias("hits")),
-        "window-hits",
+        windows.select("doc_id", "mark", "start", "node").join(linking.small_side(shared, 8), "node").distinct(), "window-hits"
     )
-    return _of_rows(texts, hits).select("doc_id", "mark", "text", "hits").mapInArrow(_around, PLACES).select(
-        "doc_id", "mark", "start", F.lit(WORDS).cast("long").alias("n_words"), F.col("node").alias("passage")
+    order = Window.partitionBy("doc_id", "mark").orderBy("start")
+    apart = lambda gap: F.coalesce(gap > WORDS, F.lit(True))
+    ends = settle(
+        hits.select(
+            "node", apart(F.col("start") - F.lag("start").over(order)).alias("before"),
+            apart(F.lead("start").over(order) - F.col("start")).alias("after"),
+        ).groupBy("node").agg(F.bool_or("before").alias("before"), F.bool_or("after").alias("after")).filter("before or after"),
+        "chain-ends",
     )
+    asked = settle(
+        hits.join(linking.small_side(ends), "node").groupBy("doc_id", "mark").agg(
+            F.collect_list(F.struct("start", "before", "after")).alias("ends")
+        ), "asked-ends",
+    )
+    beyond = _of_rows(texts, asked).select("doc_id", "mark", "text", "ends").mapInArrow(_beyond, PLACES)
+    both = hits.select("doc_id", "mark", "start", "node").unionByName(beyond)
+    return both.select("doc_id", "mark", "start", F.lit(WORDS).cast("long").alias("n_words"), F.col("node").alias("passage"))
 
 
 def repeated_lines(texts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -299,7 +316,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = keyed_texts(docs).filter("doc_id is not null")
     scanned = settle(texts.mapInArrow(_scan, SCANNED), "scanned")
     runs = repeated_runs(texts, scanned.filter("not line"))
-    placed = settle(runs.unionByName(repeated_lines(texts, scanned.filter("line"), percent)).distinct(), "placed")
+    placed = settle(runs.unionByName(repeated_lines(texts, scanned.filter("line"), percent)), "placed")
     return placed.join(_several(placed, "passage"), "passage").select(
         "doc_id", "mark", "start", "n_words", "passage", "first_doc", (F.col("doc_id") != F.col("first_doc")).alias("removed")
     )

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -167,7 +168,7 @@ def test_pasted_passages_are_cut_out(spark):
 def test_pasted_passages_go_whole(spark):
     rng = random.Random(6)
     own = lambda k: " ".join(rng.choices([f"w{i}" for i in range(5000)], k=k))
-    for length in (34, 50, 80):
+    for length in (39, 50, 80):
         pasted = own(length)
         docs = [(k, f"a{k} {own(rng.randint(50, 90))} b{k} {pasted} c{k} {own(rng.randint(50, 90))}") for k in range(20)]
         df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -323,12 +324,31 @@ def test_guess_costs_of_parts_of_runs_and_walks():
 def test_prose_in_a_credential_context_is_no_secret(spark):
     prose = ["the token is responsible", "this password is unbelievable", "his compass is zqvxkwpjhg", "password: beautifulmorning"]
     rows = [(k, x) for k, x in enumerate(prose)] + [(9, "dbPassword is zqvxkwpjhg"), (10, "my_secret: zqvxkwpjhg")]
-    rows += [(100 + k, "a beautiful morning and a responsible but unbelievable person") for k in range(20)]
+    rows += [(100 + k, f"a beautiful morning and a responsible but unbelievable person {k}") for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id for r in secret_scan.scan_secrets(docs).filter("n_guess > 0").collect()}
     assert found == {9, 10}
 
 
+def test_copied_secrets_are_still_secrets(spark):
+    prose = "a beautiful morning and a responsible but unbelievable person number"
+    rows = [(k, f"{prose} {k}\nmy_secret: zqvxkwpjhg") for k in range(100)] + [(200 + k, f"{prose} x{k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for table in (docs, docs.unionByName(docs), docs.limit(10)):
+        got = secret_scan.scan_secrets(table).filter("n_guess > 0").select("doc_id").distinct()
+        assert {r.doc_id for r in got.collect()} == set(range(min(100, table.select("doc_id").distinct().count())))
+    words = secret_scan.dictionary(docs)
+    assert "zqvxkwpjhg" not in words and "responsible" in words
+    assert words == secret_scan.dictionary(docs.unionByName(docs))
+
+
+def test_long_runs_are_priced_in_linear_time():
+    for value in ("x" * 200_000, "abcd" * 50_000, "qwer" * 50_000, "12" * 100_000):
+        start = time.perf_counter()
+        assert secret_scan.guesses(value) < 12
+        assert time.perf_counter() - start < 20
+
+
 # Licenses
 
 
