@@ -94,9 +94,31 @@ def _flatten_breaks(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def find_loose(text: Column, letter: str) -> Column:
+def lettered(text: Column) -> Column:
+    """A text in pieces, cut before every free-standing letter a. to h. in one scan.
+
+    All pieces but the first begin with such a letter; joined they are the text. Subtasks are slices of
+    them, so however many are wanted the text is read by one regular expression once.
+    """
+    # Letter and dot are compared first, as the boundary test is the costly one.
+    return F.split(text, r"(?iU)(?=[a-h]\.(?<=\b[a-h]\.))")
+
+
+def _after_mark(text: Column) -> Column:
+    """Text after a letter, its dot and white space."""
+    return F.regexp_replace(text, r"(?U)^\s+", "")
+
+
+def find_loose(pieces: Column, letter: str) -> Column:
     """Text after 'x.' anywhere, up to the next lettered point a. to h., as it is."""
-    return F.regexp_extract(text, rf"(?isU){letter}\.\s*(.*?)(?=[a-h]\.(?<=\b[a-h]\.)|\z)", 1)
+    mark = F.lit(f"{letter.lower()}.")
+
+    def small(piece):
+        return F.translate(piece, "ABCDEFGH", "abcdefgh")
+
+    piece = F.get(F.filter(pieces, lambda p: F.contains(small(p), mark)), F.lit(0))
+    found = _after_mark(F.substr(piece, F.instr(small(piece), f"{letter.lower()}.") + 2))
+    return F.when(piece.isNotNull(), found).otherwise("")
 
 
 def tidy_loose(found: Column) -> Column:
@@ -105,11 +127,25 @@ def tidy_loose(found: Column) -> Column:
 
 def subtask_loose(text: Column, letter: str) -> Column:
     """`find_loose` without the tags that trail it."""
-    return tidy_loose(find_loose(text, letter))
+    return tidy_loose(find_loose(lettered(text), letter))
+
+
+def letter_marks(pieces: Column) -> Column:
+    """The pieces with each one's letter, and again where a subtask may end before it: where no word goes on after the dot."""
+    def letter(piece):
+        return F.when(F.substring(piece, 2, 1) == ".", F.lower(F.substring(piece, 1, 1)))
 
+    def may_end(piece, i):
+        # A piece of a letter and a dot alone is followed by the next piece's letter.
+        free = (F.length(piece) > 2) | (i + 1 == F.size(pieces))
+        return F.when(free & ~F.substring(piece, 3, 1).rlike(r"(?U)\w"), letter(piece))
 
-def find_subtask(text: Column, letter: str, section: str) -> Column:
-    """Text after a free-standing 'x.' up to the letter that follows x, as it is.
+    ends = F.transform(pieces, may_end)
+    return F.struct(pieces.alias("pieces"), F.transform(pieces, letter).alias("letters"), ends.alias("ends"))
+
+
+def find_subtask(marks: Column, letter: str, section: str) -> Column:
+    """Text after a free-standing 'x.' up to the letter that follows x, as it is, from `letter_marks`.
 
     Abbreviations such as 'e.g.' do not end a subtask. The last letter of a
     section, and any letter whose successor is missing, runs to the end.
@@ -119,13 +155,14 @@ def find_subtask(text: Column, letter: str, section: str) -> Column:
     if letter not in letters:
         return F.lit("")
     place = letters.index(letter)
+    pieces, n = marks["pieces"], F.size(marks["pieces"])
+    first = F.array_position(marks["letters"], letter)
+    length = n
     if place + 1 < len(letters):
-        after = letters[place + 1]
-        stop = rf"(?={after}\.(?<=\b{after}\.)(?!\w)|\z)"
-    else:
-        stop = r"\z"
-    # Letter and dot are compared first, as the boundary test is the costly one.
-    return F.regexp_extract(text, rf"(?isU){letter}\.(?<=\b{letter}\.)\s*(.*?){stop}", 1)
+        after = F.array_position(F.slice(marks["ends"], (first + 1).cast("int"), n), letters[place + 1])
+        length = F.when(after > 0, after).otherwise(n)
+    found = F.array_join(F.slice(pieces, first.cast("int"), length.cast("int")), "")
+    return F.when(first > 0, _after_mark(F.substr(found, F.lit(3)))).otherwise("")
 
 
 def tidy_subtask(found: Column) -> Column:
@@ -134,7 +171,7 @@ def tidy_subtask(found: Column) -> Column:
 
 def subtask(text: Column, letter: str, section: str = "sentences") -> Column:
     """`find_subtask` as plain text: no tags, single blanks."""
-    return tidy_subtask(find_subtask(text, letter, section))
+    return tidy_subtask(find_subtask(letter_marks(lettered(text)), letter, section))
 
 
 def strip_boilerplate(answer: Column) -> Column:

@@ -124,22 +124,49 @@ def full_statistics(df: DataFrame, task="task_id", label="y_true") -> DataFrame:
 def cube_statistics(by_task: DataFrame, task="task_id") -> DataFrame:
     """Statistics at all four levels, from `task_counts`.
 
-    The cube runs on one row per (split, topic, task) instead of on answers,
-    and counts questions anew at each level: a task that occurs twice counts
-    once in a total.
+    Questions are counted anew at each level: a task that occurs twice counts once in a total. The rows of a task, one
+    per split and topic, meet once; there each is marked as the first of its task, of its task and split, and so on, and
+    questions become sums like the answers. So tasks are shuffled once and not once per level, and partial sums are
+    one row per level and input partition.
     """
-    cubed = by_task.cube("split", "topic").agg(
-        F.grouping("split").alias("no_split"),
-        F.grouping("topic").alias("no_topic"),
-        *_statistics(task),
-    )
-    level = (
-        F.when((F.col("no_split") == 1) & (F.col("no_topic") == 1), "GRAND TOTAL")
-        .when(F.col("no_topic") == 1, "TOTAL")
-        .when(F.col("no_split") == 1, "TOPIC TOTAL")
-        .otherwise("SPLIT TOPIC")
+    values = ("answers", "n_2", "n_1", "n_0")
+    rows = F.col("_rows")
+    met = by_task.groupBy(task).agg(F.sort_array(F.collect_list(F.struct("split", "topic", *values))).alias("_rows"))
+
+    def first(i, *keys):
+        """Whether no earlier row of the task has the same keys."""
+        def same(other):
+            hit = F.lit(True)
+            for k in keys:
+                hit = hit & other[k].eqNullSafe(F.get(rows, i)[k])
+            return hit
+
+        return (~F.exists(F.slice(rows, F.lit(1), i), same)).cast("long") * F.col(task).isNotNull().cast("long")
+
+    no_split, no_topic = (F.lit(None).cast(by_task.schema[c].dataType) for c in ("split", "topic"))
+
+    def at_levels(r, i):
+        split, topic = r["split"], r["topic"]
+        levels = (
+            ("SPLIT TOPIC", split, topic, first(i, "split", "topic")), ("TOTAL", split, no_topic, first(i, "split")),
+            ("TOPIC TOTAL", no_split, topic, first(i, "topic")), ("GRAND TOTAL", no_split, no_topic, first(i)),
+        )
+        return F.array(*[
+            F.struct(
+                F.lit(level).alias("level"), s.alias("split"), t.alias("topic"), q.alias("questions"),
+                *[r[v].alias(v) for v in values],
+            )
+            for level, s, t, q in levels
+        ])
+
+    spread = met.select(F.inline(F.flatten(F.transform(rows, at_levels))))
+    return spread.groupBy("split", "topic", "level").agg(
+        F.sum("questions").alias("questions"), F.sum("answers").alias("answers"),
+        F.sum("n_2").alias("correct_answers"), F.sum("n_1").alias("partially_correct_answers"),
+        F.sum("n_0").alias("incorrect_answers"),
+    ).select(
+        "split", "topic", "questions", "answers", "correct_answers", "partially_correct_answers", "incorrect_answers", "level"
     )
-    return cubed.withColumn("level", level).drop("no_split", "no_topic")
 
 
 def zero_filled(stats: DataFrame, values, key="topic", split="split") -> DataFrame:

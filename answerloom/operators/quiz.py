@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerloom import fixed_values as fv
 from answerloom.functions.labels import try_points_label, try_topic_of_task
 from answerloom.functions.text import (
-    clean_html, clean_remark, decimal_comma, find_loose, find_subtask, tidy_loose,
-    tidy_subtask, unify_breaks,
+    clean_html, clean_remark, decimal_comma, find_loose, find_subtask, letter_marks, lettered,
+    tidy_loose, tidy_subtask, unify_breaks,
 )
 from answerloom.operators.ranking import allocate_ids
 from answerloom.operators.reshape import lettered_tasks, lookup, overlay, pivot_wide, sum_mismatches
@@ -58,36 +58,42 @@ def merge_export(raw: DataFrame, points: DataFrame, remarks: DataFrame) -> DataF
     )
 
 
-def _spread(df: DataFrame, parts: dict, tidy) -> DataFrame:
-    """Add the given text columns, tidied.
+def _marked(df: DataFrame, marks=letter_marks) -> DataFrame:
+    """df with the pieces of each section's text, which its subtasks are cut from; one scan per text."""
+    cut = df.withColumns({f"_{section}": lettered(F.col(section)) for section in fv.QUIZ_LETTERS})
+    return cut.withColumns({f"_{section}": marks(F.col(f"_{section}")) for section in fv.QUIZ_LETTERS}) if marks else cut
+
+
+def _spread(df: DataFrame, columns, parts: dict, tidy) -> DataFrame:
+    """The columns and the given text columns, tidied.
 
     The parts go through one array, so the tidying is compiled once and not
     once per column.
     """
     found = df.withColumn("_found", F.transform(F.array(*parts.values()), tidy))
     return found.select(
-        *df.columns, *[F.col("_found")[i].alias(name) for i, name in enumerate(parts)]
+        *columns, *[F.col("_found")[i].alias(name) for i, name in enumerate(parts)]
     )
 
 
 def subtask_columns(merged: DataFrame) -> DataFrame:
     """Add one column per subtask, cut loosely from the section texts."""
     parts = {
-        f"{section}_{x}": find_loose(F.col(section), x)
+        f"{section}_{x}": find_loose(F.col(f"_{section}"), x)
         for section, letters in fv.QUIZ_LETTERS.items()
         for x in letters
     }
-    return _spread(merged, parts, tidy_loose)
+    return _spread(_marked(merged, None), merged.columns, parts, tidy_loose)
 
 
 def strict_subtask_columns(merged: DataFrame) -> DataFrame:
     """Add one column per subtask, cut at free-standing letters in sequence."""
     parts = {
-        f"{section}_{x}": find_subtask(F.col(section), x, section)
+        f"{section}_{x}": find_subtask(F.col(f"_{section}"), x, section)
         for section, letters in fv.QUIZ_LETTERS.items()
         for x in letters
     }
-    return _spread(merged, parts, tidy_subtask)
+    return _spread(_marked(merged), merged.columns, parts, tidy_subtask)
 
 
 def default_points(participants: DataFrame) -> DataFrame:
@@ -148,15 +154,14 @@ def long_answers(
     kept = merged.filter(keep_group(F.col("participant"))).select(
         "participant", *[text.alias(section) for section, text in texts.items()]
     )
-    # Tasks are unfolded first and each row extracts its own one, so a reader
-    # of the tasks alone extracts nothing.
+    # Texts are cut before the tasks are unfolded, and each row takes its own slice.
     found = None
     for section, letters in fv.QUIZ_LETTERS.items():
         for x in letters:
             here = F.col("task") == f"{section}_{x}"
-            part = find_subtask(F.col(section), x, section)
+            part = find_subtask(F.col(f"_{section}"), x, section)
             found = F.when(here, part) if found is None else found.when(here, part)
-    answers = kept.withColumn("task", F.explode(F.array(*[F.lit(t) for t in SUBTASKS]))).select(
+    answers = _marked(kept).drop(*fv.QUIZ_LETTERS).withColumn("task", F.explode(F.array(*[F.lit(t) for t in SUBTASKS]))).select(
         "participant", "task", tidy_subtask(found).alias("student_answer")
     )
     graded = answers.join(

@@ -5,7 +5,7 @@ regression over hashed words, so that training runs on the executors. It is
 not a language model and makes no claim to the accuracy of one.
 """
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -54,33 +54,37 @@ def param_grid(model: Pipeline, regularization, iterations) -> list:
 
 
 def grid_search(
-    train_rows: DataFrame, val_rows: DataFrame, grid: list, base: Pipeline, metric: str = "macro_f1"
+    train_rows: DataFrame, val_rows: DataFrame, grid: list, base: Pipeline, metric: str = "macro_f1", parallel: int = 4,
 ) -> tuple[DataFrame, list]:
     """Metrics per combination on the validation rows, and the fitted models.
 
     Models are fitted on the training rows and compared on the given
     validation rows only. The feature stages are fitted once and their output
-    is written; combinations fit the regression alone. All of them are
-    scored in one job: their predictions are counted together, keyed by
-    combination.
+    is written; combinations fit the regression alone, `parallel` of them at a time, so that the cluster has work
+    while a fit waits for its slowest task. One scan of the validation rows scores all of them: every model adds its
+    prediction to the row, and the predictions are counted together, keyed by combination.
     """
     data = train_rows.select("text", F.col("labels").cast("double").alias("labels"))
     features = Pipeline(stages=base.getStages()[:-1]).fit(data)
     ready = settle(features.transform(data).select("features", "labels"), "features")
-    models = [PipelineModel([*features.stages, base.getStages()[-1].fit(ready, params)]) for params in grid]
-    checked = settle(
-        features.transform(val_rows.select("text", "labels")).select("features", "labels"), "features"
+    with ThreadPoolExecutor(parallel) as pool:
+        fitted = list(pool.map(lambda params: base.getStages()[-1].fit(ready, params), grid))
+    models = [PipelineModel([*features.stages, model]) for model in fitted]
+    scored = features.transform(val_rows.select("text", "labels")).select("features", "labels")
+    for i, model in enumerate(fitted):
+        alone = model.copy({model.predictionCol: f"_{i}", model.rawPredictionCol: "", model.probabilityCol: ""})
+        scored = alone.transform(scored)
+    together = scored.select(
+        F.col("labels").cast("int").alias("y_true"),
+        F.inline(F.array(*[
+            F.struct(
+                F.lit(i + 1).alias("combination_idx"),
+                F.lit(", ".join(f"{p.name}={x}" for p, x in params.items())).alias("params"),
+                F.col(f"_{i}").cast("int").alias("y_pred"),
+            )
+            for i, params in enumerate(grid)
+        ])),
     )
-    scored = [
-        model.stages[-1].transform(checked).select(
-            F.lit(i).alias("combination_idx"),
-            F.lit(", ".join(f"{p.name}={x}" for p, x in params.items())).alias("params"),
-            F.col("labels").cast("int").alias("y_true"),
-            F.col("prediction").cast("int").alias("y_pred"),
-        )
-        for i, (model, params) in enumerate(zip(models, grid), 1)
-    ]
-    together = reduce(DataFrame.unionByName, scored)
     keys = ["combination_idx", "params"]
     results = mt.summary(cm.cells(together, keys), keys)
     return results.withColumn("metric_value", F.col(metric)), models
