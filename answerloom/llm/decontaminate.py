@@ -14,8 +14,9 @@ a document if some window reaches a weighted Jaccard similarity of `percent` per
    many documents costs one search.
 3. Fingerprints are cut into RADIUS + 1 blocks. Two within the radius agree in at least one
    block, so joining by block finds all of them. At similarity 0.75 some 11 of 64 bits
-   differ, with a deviation of 3; the radius lies more than four deviations above.
-4. Exact weighted-shingle similarity of window and item decides.
+   differ, with a deviation of 3; the radius lies more than four deviations above. Blocks are that short, so a window
+   is looked up under the items alone that step 1 found in it: a fingerprint meets an item once per block at most.
+4. Exact weighted-shingle similarity of window and item decides, from the window's own hits.
 
 Items of fewer than five words have no shingle and are found nowhere. NULL texts are empty.
 Rows that repeat a doc_id are reported once, with their best window.
@@ -104,12 +105,18 @@ def matches(
     # The hit that makes the window full enough must lie within it.
     need = F.ceil(F.col("size") * share - 1e-6).cast("int")
     starts = F.filter(
-        F.transform("hits", lambda h, i: F.struct(h["pos"].alias("pos"), F.get(F.col("hits"), i + need - 1)["pos"].alias("end"))),
+        F.transform("hits", lambda h, i: F.struct(
+            h["pos"].alias("pos"), F.get(F.col("hits"), i + need - 1)["pos"].alias("end"), i.alias("at"),
+        )),
         lambda w: w["end"] - w["pos"] < F.col("size"),
     )
+    # A place has one shingle, so `size` hits from the window's first one on are all that it can hold.
+    own = F.filter(
+        F.slice("hits", F.col("w.at") + 1, F.col("size").cast("int")), lambda h: h["pos"] < F.col("w.pos") + F.col("size")
+    )
     windows = settle(
-        hits.filter(F.size("hits") >= need).select(*row, "n_shingles", "size", F.explode(starts).alias("w"))
-        .select(*row, "size", F.col("w.pos").alias("start")).distinct(),
+        hits.filter(F.size("hits") >= need).select(*row, "item_id", "n_shingles", "size", "hits", F.explode(starts).alias("w"))
+        .select(*row, "item_id", "n_shingles", "size", F.col("w.pos").alias("start"), own.alias("hits")),
         "windows",
     )
     near = small_side(settle(windows.select(*row).distinct(), "window-rows"))
@@ -124,7 +131,7 @@ def matches(
         F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"),
         F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE_WORDS), lambda i: _shingle(F.col("words"), i)).alias("all"),
     )
-    inside = windows.join(
+    inside = windows.select(*row, "size", "start").distinct().join(
         hashed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
     ).select(*row, "size", "start", F.explode(F.slice("all", F.col("start").cast("int") + 1, F.col("size").cast("int"))).alias("shingle"))
     printed = settle(fingerprints(inside, [*row, "size", "start"]), "window-prints")
@@ -135,24 +142,28 @@ def matches(
             *keys, "size", "print", F.col("b.block").alias("block"), F.col("b.part").alias("part")
         )
 
-    left = by_block(printed.select("size", "print").distinct())
+    def same(left, right, *names):
+        condition = F.lit(True)
+        for name in names:
+            condition = condition & left[name].eqNullSafe(right[name])
+        return condition
+
+    held = windows.join(printed, same(windows, printed, *row, "size", "start")).select(
+        *[windows[c] for c in windows.columns], "print"
+    )
+    left = by_block(held.select("item_id", "size", "print").distinct(), "item_id")
     right = by_block(item_prints, "item_id").withColumnRenamed("print", "item_print")
-    matched = (
-        left.join(right, ["size", "block", "part"])
+    matched = settle(
+        left.join(right, same(left, right, "item_id", "size", "block", "part"))
         .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-        .select("size", "print", "item_id").distinct()
-    )
-    candidates = printed.join(matched, ["size", "print"]).select(*row, "item_id", "start")
-    lists = hits.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("item_id").alias("_item"), "n_shingles", "size", "hits")
-    held = candidates.join(
-        lists,
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")) & F.col("item_id").eqNullSafe(F.col("_item")),
+        .select(left["item_id"], left["size"], "print").distinct(),
+        "matched-prints",
     )
-    in_window = F.filter("hits", lambda h: (h["pos"] >= F.col("start")) & (h["pos"] < F.col("start") + F.col("size")))
+    candidates = held.join(small_side(matched, 24), same(held, matched, "item_id", "size", "print"), "left_semi")
     whole = F.least("size", F.col("n_shingles") - F.col("start"))
     window = [*row, "item_id", "start", "size", "whole"]
     common = (
-        held.select(*row, "item_id", "start", "size", whole.alias("whole"), F.explode(in_window).alias("h"))
+        candidates.select(*row, "item_id", "start", "size", whole.alias("whole"), F.explode("hits").alias("h"))
         .groupBy(*window, "h.shingle").agg(F.least(F.count("*"), F.max("h.weight")).alias("least"))
         .groupBy(*window).agg(F.sum("least").alias("common"))
     )

@@ -5,7 +5,9 @@ digits. Beyond those, values in a credential context (a name such as password, k
 auth, a sign of assignment, a value) are priced: the cheapest cut of the value into
 dictionary words, dates, repeats, keyboard walks and brute-force spans gives the
 number of guesses an informed attacker needs, by dynamic programming. Dictionary words are those of COMMON, then the
-words of the scanned table that stand in WORD_DOCS rows or more, by how many rows they stand in. Values of
+words of the scanned table by the share of its distinct texts they stand in: copies of a text count once, so a table
+and the same table doubled give the same verdicts. What stands as a value in a credential context does not count, so a
+secret that leaked into many texts does not become a word by that. Values of
 MIN_GUESSES guesses (as a power of ten) or more are spans of the kind `guess`.
 
 Spans count code points, the end excluded. NULL and empty texts have none. Repeated rows
@@ -17,10 +19,12 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from answerloom.llm.linking import small_side
+from answerloom.session import settle
+
 #: Fixed forms of the plain kinds, and the least length of what counts.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -47,9 +51,21 @@ COMMON = (
     "test", "guest", "user", "root", "default", "changeme", "example", "token", "pass", "love", "iloveyou", "freedom", "access",
     "the", "and", "this", "that", "with", "your", "none", "null", "true", "false", "value", "string", "name", "server",
 )
-RANK = {word: k + 1 for k, word in enumerate(COMMON)}
-#: Words of the table: at most DICTIONARY of LETTERS letters, about 100 bytes each in every task.
-WORD_DOCS, DICTIONARY, LETTERS = 20, 100_000, (3, 24)
+_UNITS = float(1 << 30)
+
+
+class Ranks(dict):
+    """Words of three letters or more to their ranks, and their first three letters."""
+
+    def __init__(self, words):
+        super().__init__(words)
+        self.heads = {word[:3] for word in self}
+
+
+RANK = Ranks({word: k + 1 for k, word in enumerate(COMMON)})
+#: Words of the table: of LETTERS letters, in WORD_SHARE of the distinct texts and in WORD_TEXTS of them at least; at most
+#: the DICTIONARY most frequent ones, about 100 bytes each in every task.
+WORD_SHARE, WORD_TEXTS, DICTIONARY, LETTERS = 1e-4, 3, 100_000, (3, 24)
 LONGEST = LETTERS[1]
 LEET = str.maketrans("4@31!0$57", "aaeiiosst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -95,64 +111,92 @@ def guesses(value: str, ranks: dict[str, int] = RANK) -> float:
     Brute-force spans cost their characters; a run of spans costs a factor of two per span.
     Spans other than brute force: words (also with capitals or look-alike signs), dates, runs of one character or of a
     repeated block of up to eight characters, and walks over neighbouring keys. Every span is tried from each start,
-    shorter parts of runs and walks too; the work is in proportion to the length, save inside long runs and walks.
+    shorter parts of runs and walks too. Of the starts inside a run or walk only those are kept that can still be
+    the cheapest for some end (`_Runs`), which are few, so the work is in proportion to the length.
     """
     n = len(value)
+    heads = ranks.heads if isinstance(ranks, Ranks) else Ranks(ranks).heads
     lower = value.lower() if len(value.lower()) == n else value
     plain = lower.translate(LEET)
-    best = np.full(n + 1, math.inf)
+    best = [math.inf] * (n + 1)
     best[0] = 0.0
-    logs = np.log10(np.arange(1, n + 2))  # of 1, 2, ...
-    # Where the walk and each run of repeats that goes through a place ends.
-    walk_end = [0] * n
-    for k in range(n - 1, -1, -1):
-        walk_end[k] = walk_end[k + 1] if k + 1 < n and _neighbours(lower[k], lower[k + 1]) else k + 1
-    block_end = {}
-    for size in range(1, 9):
-        ends = [0] * n
-        for k in range(n - 1, -1, -1):
-            same = k + size < n and value[k] == value[k + size]
-            ends[k] = ends[k + 1] if same and k + 1 < n else k + size
-        block_end[size] = ends
     brute = [0.0] * (n + 1)
     for k, c in enumerate(value):
         brute[k + 1] = brute[k] + _char_cost(c)
+    blocks = [_Runs(size, max(2, 2 // size + 1)) for size in range(1, 9)]
+    walks = _Runs(1, 3)
+    walk_cost = math.log10(KEYS) + TURNS / 4
     cheapest_start = 0.0  # least best[j] - brute[j], so that a brute-force span needs no inner loop
-    for at in range(n):
+    for at in range(n + 1):
         # `at` is final once all spans that end there are known; brute force ends everywhere.
         if at:
-            best[at] = min(best[at], cheapest_start + brute[at] + SPAN)
-            cheapest_start = min(cheapest_start, best[at] - brute[at])
+            found = min(best[at], cheapest_start + brute[at] + SPAN)
+            for runs in blocks:
+                size = runs.step
+                if size < at and value[at - 1] == value[at - 1 - size]:
+                    if (cost := runs.ending(at, best)) is not None:
+                        found = min(found, cost + brute[at] - brute[at - size] + SPAN)
+                elif runs.length:
+                    runs.clear()
+            if at > 1 and _neighbours(lower[at - 2], lower[at - 1]):
+                if (cost := walks.ending(at, best)) is not None:
+                    found = min(found, cost + walk_cost + SPAN)
+            elif walks.length:
+                walks.clear()
+            best[at] = found
+            cheapest_start = min(cheapest_start, found - brute[at])
+        if at == n:
+            break
         here = best[at]
 
         def offer(end, cost):
             best[end] = min(best[end], here + cost + SPAN)
 
-        for size in range(1, min(LONGEST, n - at) + 1):
+        able = lower[at : at + 3] in heads or plain[at : at + 3] in heads
+        for size in range(3, min(LONGEST, n - at) + 1) if able else ():
             word, shape = plain[at : at + size], value[at : at + size]
             rank = ranks.get(lower[at : at + size]) or ranks.get(word)
             if rank:
                 changed = (shape != shape.lower()) + (shape.lower() != word)
                 offer(at + size, math.log10(rank) + 0.6 * changed)
-        for size in (4, 6, 7, 8, 9, 10):
-            if at + size <= n and value[at].isdigit():
+        for size in (4, 6, 7, 8, 9, 10) if value[at].isdigit() else ():
+            if at + size <= n:
                 cost = _date_cost(value[at : at + size])
                 if cost is not None:
                     offer(at + size, cost)
-        for size in range(1, 9):
-            end = block_end[size][at]
-            times = (end - at) // size if end <= n else 0
-            least = max(2, 2 // size + 1)
-            if times >= least:
-                ends = best[at + least * size : at + times * size + 1 : size]
-                np.minimum(ends, here + brute[at + size] - brute[at] + logs[least - 1 : times] + SPAN, out=ends)
-        longest = walk_end[at] - at
-        if longest > 2:
-            ends = best[at + 3 : walk_end[at] + 1]
-            np.minimum(ends, here + math.log10(KEYS) + logs[2:longest] + TURNS / 4 + SPAN, out=ends)
-    if n:
-        best[n] = min(best[n], cheapest_start + brute[n] + SPAN)
-    return float(best[n])
+    return best[n]
+
+
+class _Runs:
+    """Starts of spans inside one run of steps of equal size, as far as they can still be the cheapest.
+
+    A span of t steps costs its start and log10(t). Of two starts the later one gains less and less from being
+    shorter: if it is no cheaper at its first possible end it never is, and if it costs less by itself the earlier
+    one never is again.
+    """
+
+    def __init__(self, step: int, least: int):
+        self.step, self.least, self.length, self.starts = step, least, 0, {}
+
+    def clear(self):
+        self.length = 0
+        self.starts.clear()
+
+    def ending(self, at: int, best: list[float]) -> float | None:
+        """The least cost of start and length of spans that end at `at`, the run going on there; None if it is too short."""
+        self.length += 1
+        if self.length < (self.least - 1) * self.step:
+            return None
+        kept = self.starts.setdefault(at % self.step, [])
+        new = at - self.least * self.step
+        cost = best[new] + math.log10(self.least)
+        known = min((best[k] + math.log10((at - k) // self.step) for k in kept), default=math.inf)
+        if cost < known:
+            while kept and best[kept[-1]] >= best[new]:
+                kept.pop()
+            kept.append(new)
+            return cost
+        return known
 
 
 def spans(text: str, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -177,14 +221,26 @@ def listed(found: list[tuple[int, int, int]]) -> str:
 
 
 def dictionary(texts: DataFrame) -> dict[str, int]:
-    """Rank of each word of COMMON, then of the DICTIONARY words that stand in most rows, WORD_DOCS at least."""
-    words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
-    counts = texts.select(F.explode(words).alias("word")).filter(F.length("word").between(*LETTERS)).groupBy("word").count()
-    most = counts.filter(F.col("count") >= WORD_DOCS).orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()
+    """Rank of each word of COMMON, then of the words of `texts` by the number of distinct texts they stand in."""
+    known = texts.filter(F.length("text") > 0).select("text", F.xxhash64("text").alias("print"))
+    copies = settle(known.groupBy("print").agg(F.count("*").alias("copies")).filter("copies > 1"), "copied-texts")
+    # Each of n copies counts as 1 / n, in units that sums keep exact.
+    part = F.lit(_UNITS) / F.coalesce("copies", F.lit(1))
+    prose = F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")
+    words = F.array_distinct(F.split(F.lower(prose), "[^a-z]+"))
+    counts = (
+        known.join(small_side(copies), "print", "left")
+        .select(F.explode(words).alias("word"), part.alias("part"))
+        .filter(F.length("word").between(*LETTERS))
+        .groupBy("word").agg(F.round(F.sum("part") / _UNITS, 3).alias("texts"))
+    )
+    distinct = known.agg(F.count("*").alias("n")).first().n - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    least = max(WORD_TEXTS, WORD_SHARE * distinct)
+    most = counts.filter(F.col("texts") >= least).orderBy(F.desc("texts"), "word").limit(DICTIONARY).collect()
     ranks = dict(RANK)
     for row in most:
         ranks.setdefault(row.word, len(ranks) + 1)
-    return ranks
+    return Ranks(ranks)
 
 
 def _scanner(shared):

@@ -31,6 +31,8 @@ from answerloom.session import scratch_path, settle
 FILE_BYTES = 256 << 20
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+#: Compressed bytes a task reads, and most tasks of a step.
+TASK_BYTES, MOST_TASKS = 32 << 20, 50_000
 DATE = "2000-01-01T00:00:00Z"
 RECORD_ID = "<urn:x-page:{}>"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -90,9 +92,15 @@ def _uri(path: str) -> str:
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def _qualified(spark, folder: str) -> str:
+    """The folder as Spark resolves it: a path without a scheme lies in the cluster's default file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return _uri(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString())
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write a record per page; (file, records, bytes) of each archive that counts."""
-    folder = _uri(folder)
+    folder = _qualified(pages.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = _open(folder)
@@ -178,7 +186,9 @@ def index_archives(archives: DataFrame) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("file").repartition("file").mapInArrow(scan, INDEX)
+    # A task per archive: with a number given, Spark does not merge tasks by the size of the names.
+    tasks = max(1, min(archives.count(), MOST_TASKS))
+    return archives.select("file").repartition(tasks, "file").mapInArrow(scan, INDEX)
 
 
 def ranges(rows: list[tuple[str, int, int]], most: int = READ_BYTES, gap: int = GAP_BYTES) -> list[list[int]]:
@@ -238,7 +248,12 @@ def read_records(index: DataFrame) -> DataFrame:
             if stream is not None:
                 stream.close()
 
-    ranged = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # As many ranges as the records' bytes ask for, and one per archive where there are cores for it.
+    total = index.agg(F.sum("length").alias("bytes"), F.count_distinct("file").alias("files")).first()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(MOST_TASKS, max(-(-(total.bytes or 0) // TASK_BYTES), min(total.files, cores))))
+    chosen = index.select("file", "offset", "length")
+    ranged = chosen.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ranged.mapInArrow(
         read, "record_id string, record_type string, url string, refers_to string, digest string, payload_bytes long, payload binary"
     )

@@ -16,7 +16,7 @@ import tiktoken
 import corpus_pipeline
 import oracle
 from answerloom.llm import (
-    byte_bpe, license_scan, near_copies, passages, quality_rules, queries, secret_scan, url_rules, warc, wordhash,
+    byte_bpe, decontaminate, license_scan, near_copies, passages, quality_rules, queries, secret_scan, url_rules, warc, wordhash,
 )
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -401,6 +401,36 @@ def test_selected_records_are_read(spark, data, tmp_path):
 # Tokens
 
 
+def test_archives_are_indexed_and_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(320).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "repeat(cast(id AS string), 500) AS html").repartition(16)
+    archives = warc.write_archives(pages, str(tmp_path / "warc"))
+    files = archives.count()
+    assert files >= 4
+    index = warc.index_archives(archives)
+    assert index.rdd.getNumPartitions() == files
+    read = warc.read_records(index)
+    assert read.rdd.getNumPartitions() >= min(files, spark.sparkContext.defaultParallelism)
+    assert read.select("record_id").distinct().count() == 320
+    # Paths are named as Spark resolves them.
+    assert all(r.file.startswith("file:///") for r in archives.collect())
+
+
+def test_a_document_that_repeats_an_item(spark):
+    """Windows read their own hits; a fingerprint meets an item only where its shingles were found."""
+    rng = random.Random(12)
+    item = " ".join(rng.choices([f"w{i}" for i in range(900)], k=40))
+    other = " ".join(rng.choices([f"w{i}" for i in range(900)], k=40))
+    docs = spark.createDataFrame(
+        [(1, " ".join([item] * 3000)), (2, f"before {item} after"), (3, f"{other} {other[:120]}"), (4, "nothing of it")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, item), (2, other), (3, item)], "item_id long, text string")
+    start = time.perf_counter()
+    got = {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in decontaminate.contaminated(docs, items).collect()}
+    assert time.perf_counter() - start < 120
+    assert got == {(1, 1, 1.0), (1, 3, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 2, 1.0)}
+
+
 def test_tokens_against_the_library(spark, data, texts):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)
