@@ -20,6 +20,12 @@ BROADCAST_BYTES = 32 << 20
 #: Elements that fewer nodes hold are looked up one by one.
 RARE = 8
 
+#: Sets that share a prefix element meet by it alone up to this number, and by two elements beyond.
+CROWD = 32
+
+#: Rounds and pivots per bucket before that.
+ROUNDS, PIVOTS = 3, 2
+
 
 def small_side(table: DataFrame, row_bytes: int = 16) -> DataFrame:
     """A settled table with rows of a fixed size, marked for broadcast if its counted size allows."""
@@ -115,9 +121,77 @@ def agreement(left: list[Column], right: list[Column]) -> Column:
     return (share - 0.25) / 0.75
 
 
+def prefix_pairs(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may share `percent` percent of the union of their sets.
+
+    `known` is (node, component, n, items). Elements are put into one order, rarest first. Of n elements a set may lack
+    n - ceil(percent n), so two sets that reach the threshold have one of their first n - ceil(percent n) + 1 elements in
+    common (prefix filtering). Sizes, and the elements left behind a common one, must allow the threshold as well.
+    An element that is in the prefix of more than CROWD sets is not enough: if it is the first one a pair shares,
+    the pair must share a second one before the end of both prefixes and one place more, so such sets meet by two elements. No
+    pair that reaches the threshold is lost.
+    """
+    share = percent / 100
+    held = known.select("node", F.explode("items").alias("item"))
+    owners = held.groupBy("item").agg(F.count("*").alias("owners")).filter("owners > 1")
+    placed = F.struct(F.coalesce("owners", F.lit(1)).alias("owners"), "item")
+    lists = held.join(owners, "item", "left").groupBy("node").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
+    reach = (F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1).cast("int")
+    ordered = settle(
+        lists.join(known.select("node", "component", "n"), "node").select(
+            "node", "component", "n", F.slice(F.transform("placed", lambda x: x["item"]), F.lit(1), reach + 1).alias("first")
+        ), "ordered-sets",
+    )
+    index = settle(
+        ordered.select("node", "component", "n", F.posexplode(F.slice("first", F.lit(1), reach)).alias("at", "item")), "prefixes"
+    )
+    crowds = settle(index.groupBy("item").agg(F.count("*").alias("crowd")).filter("crowd > 1"), "crowds")
+    met = index.join(crowds, "item")
+    few = met.filter(F.col("crowd") <= CROWD).drop("crowd").withColumn("second", F.lit(0).cast("long"))
+    many = (
+        met.filter(F.col("crowd") > CROWD).drop("crowd").join(ordered.select("node", "first"), "node")
+        .select("node", "component", "n", "at", "item", F.explode(F.slice("first", F.col("at") + 2, F.size("first"))).alias("second"))
+    )
+
+    def pairs(rows):
+        a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}" if c not in ("item", "second") else c) for c in rows.columns]) for side in "ab")
+        need = (F.col("n_a") + F.col("n_b")) * (share / (1 + share)) - 1e-6
+        left = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+        return a.join(b, ["item", "second"]).filter(
+            (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (left >= need)
+            & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share - 1e-6)
+        ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    return pairs(few).unionByName(pairs(many)).distinct()
+
+
+def _pivot_rounds(met: DataFrame, found: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and components after ROUNDS more rounds in which a bucket's nodes are compared with PIVOTS of it.
+
+    Pivots are drawn by hash, others in every round, and only nodes of other components are compared with them. A crowd
+    of sets that are mostly linked grows together in a few such rounds, each linear in the size of its buckets.
+    """
+    for turn in range(ROUNDS):
+        placed = met.filter("size > 2").join(groups, "node", "left").select(
+            "bucket", "node", F.coalesce("component", "node").alias("component")
+        )
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + k)), "node", "component")).alias(f"p{k}") for k in range(PIVOTS)]
+        open_ = placed.groupBy("bucket").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), *drawn
+        ).filter("low < high").select("bucket", F.explode(F.array(*[
+            F.struct(F.col(f"p{k}.node").alias("b"), F.col(f"p{k}.component").alias("other")) for k in range(PIVOTS)
+        ])).alias("p")).select("bucket", "p.b", "p.other")
+        pairs = settle(
+            placed.join(open_, "bucket").filter("component <> other").select(F.col("node").alias("a"), "b").distinct(), "pivots"
+        )
+        found = settle(found.unionByName(verified(pairs, sets, percent)), "pivot-links")
+        groups = components(found)
+    return found, groups
+
+
 def links(
     buckets: DataFrame, sets_of, percent: int, sketches: DataFrame | None = None,
-    least_estimate: float = 0.0,
+    least_estimate: float = 0.0, by_prefix: bool = False,
 ) -> DataFrame:
     """Links (a, b) that join all nodes of nearly equal sets, from buckets (bucket, node).
 
@@ -133,7 +207,9 @@ def links(
     none have no more in common than either's common elements: with x of size n and s of
     those, a partner must have between percent * n and (1 + 1/percent) * s - n
     elements. That rules out copies that were changed too much, however many there are. The
-    pairs left over are met in the first bucket they share.
+    pairs left over are met in the first bucket they share. With `by_prefix` nodes are compared with pivots of their buckets
+    first (`_pivot_rounds`), and the second round meets by `prefix_pairs` instead; that suits small sets with few elements of
+    their own, such as lines.
     """
     share = percent / 100
     ends = buckets.groupBy("bucket").agg(
@@ -158,6 +234,8 @@ def links(
     first = settle(verified(likely(stars), sets, percent), "first-links")
 
     groups = components(first)
+    if by_prefix:
+        first, groups = _pivot_rounds(met, first, groups, sets, percent)
     placed = settle(
         met.filter("size > 2").join(groups, "node", "left").select(
             "bucket", "node", F.coalesce("component", "node").alias("component")
@@ -174,6 +252,9 @@ def links(
     known = settle(
         sets.dropDuplicates(["node"]).join(open_nodes, "node").withColumn("n", F.size("items").cast("long")), "open-nodes"
     )
+    if by_prefix:
+        pairs = prefix_pairs(known.select("node", "component", "n", "items"), percent)
+        return first.unionByName(verified(likely(pairs), sets, percent))
     held = known.select("node", F.explode("items").alias("item"))
     owners = held.groupBy("item").agg(F.count("*").alias("owners")).filter(F.col("owners") < RARE)
     rare = settle(held.join(owners, "item"), "rare-elements")
