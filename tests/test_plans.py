@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from answerloom.catalog import registry
+from answerloom.catalog import registry, scoring_queries
+from answerloom.operators import scoring
 
 QUERIES = {name: query for name, (query, _) in registry.registered().items()}
 
@@ -75,7 +76,7 @@ def shuffle_joins(spark):
 
 
 def test_shares_of_a_question_are_spread_over_tasks(spark, data, shuffle_joins):
-    text = plan(QUERIES["A27_answers_of_large_questions"](spark, data))
+    text = plan(scoring.answer_groups(scoring_queries.order_answers(spark, data), limit=2))
     assert re.search(r"Window \[row_number.*\n.*Sort.*\n.*Exchange hashpartitioning\(_group#\d+, _bucket#", text)
 
 
