@@ -7,7 +7,9 @@ from pyspark.sql import Column, functions as F
 # Every white-space character, of which Spark's trim() would only remove the blank.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# A number in decimal notation, and white space around it.
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+BLANKS = f"[{WHITESPACE}]*"
 
 
 def strip(text: Column) -> Column:
@@ -17,8 +19,7 @@ def strip(text: Column) -> Column:
 
 def to_double(text: Column) -> Column:
     """Decimal notation to DOUBLE; anything else (NaN, '1d', '') to NULL."""
-    bare = strip(text)
-    return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
+    return F.regexp_extract(text, rf"\A{BLANKS}({NUMBER}){BLANKS}\z", 1).try_cast("double")
 
 
 def case_map(subject: Column, mapping: dict, default=None) -> Column:

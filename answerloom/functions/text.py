@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from answerloom import fixed_values as fv
-from answerloom.functions.basics import blank_if_null, strip, to_double
+from answerloom.functions.basics import BLANKS, NUMBER, blank_if_null, strip, to_double
 
 
 def decimal_comma(text: Column) -> Column:
@@ -16,12 +16,12 @@ def decimal_comma(text: Column) -> Column:
 
 
 def dirty_number(text: Column) -> Column:
-    """Number that may be wrapped in quotes or led by an apostrophe."""
-    bare = strip(text)
-    quoted = bare.startswith('"') & bare.endswith('"') & (F.length(bare) > 1)
-    inner = F.when(quoted, F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
-    plain = F.when(inner.startswith("'"), F.substr(inner, F.lit(2))).otherwise(inner)
-    return to_double(plain)
+    """Number that may be wrapped in quotes or led by an apostrophe.
+
+    One pattern, read once per value: steps built on each other would be copied into the plan many times over.
+    """
+    pattern = rf"""\A{BLANKS}("?)'?{BLANKS}({NUMBER}){BLANKS}\1{BLANKS}\z"""
+    return F.regexp_extract(text, pattern, 2).try_cast("double")
 
 
 def prompt(question: Column, answer: Column, reference: Column | None = None) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from answerloom.functions.text import dirty_number
 from answerloom.operators import leaderboard as ld, training as tr
 from answerloom.operators.sampling import exact_sample
+from answerloom.session import settle
 from answerloom.sources import readers, writers
 
 
@@ -46,4 +47,6 @@ def leaderboard(spark: SparkSession, path, parameters, metric: str, run: str = "
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (run, *columns)])
     rows = readers.comma_csv(spark, path, schema)
     numbers = rows.select(run, *[dirty_number(F.col(c)).alias(c) for c in columns])
-    return ld.ranked(ld.normalize(ld.drop_incomplete(numbers, columns), columns), metric, [run])
+    # Bounds, sort ranges and sort each read them: the text is parsed once.
+    complete = settle(ld.drop_incomplete(numbers, columns), "grid-numbers")
+    return ld.ranked(ld.normalize(complete, columns), metric, [run])

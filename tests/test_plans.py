@@ -96,3 +96,10 @@ def test_metrics_use_hash_aggregation_with_map_side_counts(spark, data):
     text = plan(QUERIES["A18_per_topic_metrics"](spark, data))
     assert "SortAggregate" not in text and "partial_count" in text
     assert text.count("Exchange hashpartitioning(topic") == 1
+
+
+def test_a_leaderboard_parses_its_text_once(spark, data):
+    """Bounds and order are taken from stored numbers, not from the CSV again."""
+    text = plan(QUERIES["L6_grid_leaderboard"](spark, data))
+    assert "FileScan csv" not in text
+    assert "FileScan parquet" in text

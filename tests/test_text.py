@@ -1,4 +1,5 @@
 import html
+import itertools
 import re
 
 import pytest
@@ -115,6 +116,21 @@ def test_numbers(values):
     ) == [0.5, 0.7, 0.9, 0.001, None, None, None, None, None]
 
 
+def test_dirty_numbers_of_all_short_texts(values):
+    """The one pattern against its steps: white space off, quotes around all off, one apostrophe off, a number left."""
+
+    def stepwise(text):
+        bare = text.strip()
+        if len(bare) > 1 and bare[0] == bare[-1] == '"':
+            bare = bare[1:-1]
+        bare = bare.removeprefix("'").strip()
+        return float(bare) if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", bare) else None
+
+    texts = ["".join(x) for n in range(6) for x in itertools.product("\"' 1.", repeat=n)]
+    texts += [f'\u2003"{x}\xa0"\n' for x in ("'-1e5", "1 2", "+.5E-3", "' 7.", "1e", "''1")]
+    assert values(tx.dirty_number, texts) == [stepwise(x) for x in texts]
+
+
 def test_prompt(spark):
     df = spark.createDataFrame(
         [("q", "a", "r"), ("q", "a", " \t"), (None, None, None)], "q string, a string, r string"
