@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from answerloom.catalog import registry, scoring_queries
+from answerloom.catalog import registry, scoring_queries, views
 from answerloom.operators import scoring
 
 QUERIES = {name: query for name, (query, _) in registry.registered().items()}
@@ -103,3 +103,13 @@ def test_a_leaderboard_parses_its_text_once(spark, data):
     text = plan(QUERIES["L6_grid_leaderboard"](spark, data))
     assert "FileScan csv" not in text
     assert "FileScan parquet" in text
+
+
+def test_line_items_are_dealt_to_tasks_by_their_number(spark, data, monkeypatch):
+    """One shuffle by order, of as many partitions as the rows need, under all four aggregates."""
+    monkeypatch.setattr(views, "ITEMS_PER_TASK", 500)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    text = plan(QUERIES["R2_wide_to_long"](spark, data))
+    assert re.findall(r"Exchange (.*?)#\d+L, (\d+)\), (\w+)", text) == [
+        ("hashpartitioning(l_orderkey", str(1 + lines // 500), "REPARTITION_BY_NUM")
+    ]
