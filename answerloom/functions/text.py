@@ -2,7 +2,6 @@
 
 import html
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
@@ -64,19 +63,15 @@ def clean_html(text: Column) -> Column:
     return F.replace(unify_breaks(blank_if_null(text)), F.lit(fv.SPAN_END), F.lit(""))
 
 
-@F.pandas_udf(StringType())
-def decode_entities(texts: pd.Series) -> pd.Series:
-    """Decode HTML entities until nothing changes; NULL stays NULL."""
+@F.udf(returnType=StringType(), useArrow=False)
+def decode_entities(text):
+    """Decode HTML entities until nothing changes; NULL stays NULL.
 
-    def settle(text):
-        while text is not None:
-            decoded = html.unescape(text)
-            if decoded == text:
-                break
-            text = decoded
-        return text
-
-    return texts.map(settle, na_action="ignore")
+    Texts go to Python a hundred at a time: whole pages in Arrow batches of 10,000 would all be in memory at once.
+    """
+    while text is not None and (decoded := html.unescape(text)) != text:
+        text = decoded
+    return text
 
 
 def clean_remark(text: Column) -> Column:

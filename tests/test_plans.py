@@ -113,3 +113,8 @@ def test_line_items_are_dealt_to_tasks_by_their_number(spark, data, monkeypatch)
     assert re.findall(r"Exchange (.*?)#\d+L, (\d+)\), (\w+)", text) == [
         ("hashpartitioning(l_orderkey", str(1 + lines // 500), "REPARTITION_BY_NUM")
     ]
+
+
+def test_entities_are_decoded_few_texts_at_a_time(spark, data):
+    text = plan(QUERIES["P10_decode_entities"](spark, data))
+    assert "BatchEvalPython" in text and "ArrowEvalPython" not in text
