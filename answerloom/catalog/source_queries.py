@@ -1,5 +1,6 @@
 """Round trips through readers and writers (S1 to S10, X3) and training."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from answerloom import schemas
@@ -41,11 +42,20 @@ def _csv_round_trip(spark, folder):
 QUERIES["S1_S7_semicolon_csv"] = (_csv_round_trip, "WITH " + _TEXTS + " SELECT * FROM texts")
 
 
+# Rows of the table a large file is made of. Larger tables give several such files, as a file is written by one task.
+ROWS_PER_FILE = 1_000_000
+
+
+def _files(rows):
+    return 1 + rows.count() // ROWS_PER_FILE
+
 
 def _split_csv(spark, folder):
-    """The same table in one file, read in byte ranges."""
+    """The same table in large files, read in byte ranges."""
     path = scratch_path(spark, "answers-one-csv")
-    writers.semicolon_csv(_texts(spark, folder).coalesce(1), path)
+    files = _files(v.table(spark, folder, "conversations"))
+    # Dealt out, not coalesced, which would join the whole table in the tasks that write.
+    writers.semicolon_csv(_texts(spark, folder).repartition(files, "task_id"), path)
     return readers.split_csv(spark, path, schemas.ANSWERS)
 
 
@@ -121,17 +131,25 @@ QUERIES["S4_grades_json"] = (
 )
 
 
+def _one_object(batches):
+    """Members of a JSON object as its lines: braces around all of them, commas between."""
+    opening = "{"
+    for batch in batches:
+        if batch.num_rows:
+            first, *others = batch.column("member").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([opening + first, *["," + x for x in others]])], ["value"])
+            opening = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["{}" if opening == "{" else "}"])], ["value"])
+
+
 def _grades_in_one_object(spark, folder):
-    """All participants in one JSON object of one file, read in byte ranges."""
+    """All participants of a large file in one JSON object, read in byte ranges."""
     path = scratch_path(spark, "grades-one-json")
     grades = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("sentences_"), "letter"), "points")))
-    people = v.subtask_points(spark, folder).groupBy(F.col("participant").cast("string").alias("p")).agg(grades.alias("g"))
-    member = F.regexp_replace(F.to_json(F.create_map("p", "g")), r"^\{|\}$", "")
-    # One line per member, commas after all but the last: the whole is one object.
-    listed = people.select(member.alias("member"), "p").orderBy("p").coalesce(1).select("member", F.monotonically_increasing_id().alias("n"))
-    opened = F.when(F.col("n") == 0, "{").otherwise(",")
-    closing = spark.range(1).select(F.lit("}").alias("value"))
-    listed.select(F.concat(opened, "member").alias("value")).unionByName(closing).coalesce(1).write.text(path)
+    people = v.subtask_points(spark, folder).groupBy("participant").agg(grades.alias("g"))
+    member = F.regexp_replace(F.to_json(F.create_map(F.col("participant").cast("string"), "g")), r"^\{|\}$", "")
+    files = _files(v.table(spark, folder, "lineitem"))
+    people.select(member.alias("member")).repartition(files, "member").mapInArrow(_one_object, "value string").write.text(path)
     return readers.split_grades_json(spark, path)
 
 

@@ -3,9 +3,13 @@
 import json
 import random
 
+import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from answerloom.catalog import source_queries
+from answerloom.session import scratch_path
 from answerloom.sources import ranges, readers
 
 SCHEMA = T.StructType([T.StructField("a", T.StringType()), T.StructField("n", T.LongType()), T.StructField("b", T.StringType())])
@@ -112,3 +116,22 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
         assert got.agg(*digest).first() == table.agg(*digest).first()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("name, file", [("S1_split_csv", "answers-one-csv"), ("S4_split_grades_json", "grades-one-json")])
+def test_queries_of_large_files_write_no_table_in_one_task(spark, data, monkeypatch, name, file):
+    """Beyond ROWS_PER_FILE rows there are several files, each with a header or an object of its own; the rows are the same."""
+    paths = []
+    monkeypatch.setattr(source_queries, "ROWS_PER_FILE", 20)
+    monkeypatch.setattr(source_queries, "scratch_path", lambda s, n: paths.append(scratch_path(s, n)) or paths[-1])
+    query, sql = source_queries.QUERIES[name]
+    assert oracle.compare(query(spark, data), oracle.connect(data), sql) is None
+    assert file in paths[0] and spark.read.text(paths[0]).select("_metadata.file_path").distinct().count() > 1
+
+
+def test_one_object_of_any_batches():
+    def text(*batches):
+        parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["member"]) for x in batches]
+        return "\n".join(x for b in source_queries._one_object(iter(parts)) for x in b.column("value").to_pylist())
+
+    assert [json.loads(text(*x)) for x in ([], [[]], [['"a":1'], [], ['"b":2', '"c":3']])] == [{}, {}, {"a": 1, "b": 2, "c": 3}]
