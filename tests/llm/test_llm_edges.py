@@ -142,3 +142,32 @@ def test_archives_of_odd_rows(spark):
         (None, "response", None, 5),
     ], key=str)
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_latin_pattern_matches_as_the_given_one():
+    """Every character up to U+024F in every place of a match, random mixtures, and texts that leave the range."""
+    import itertools
+    import random
+
+    import regex
+
+    whole, split = regex.compile(public_tokenizers.PATTERN).findall, byte_bpe.splitter(public_tokenizers.PATTERN)
+    assert public_tokenizers.PATTERN in byte_bpe.LATIN_PATTERNS
+    latin, rng = [chr(k) for k in range(0x250)], random.Random(5)
+    texts = [form.format(c) for c in latin for form in ("{0}", "a{0}b", "1{0}{0}.", " {0} ", "  {0}\n{0}", "'{0}")]
+    mixed = latin + list(" '\n\tstrevmld ") * 20
+    texts += ["".join(rng.choices(mixed, k=rng.randint(0, 30))) for _ in range(5000)]
+    texts += [a + b for a, b in itertools.product(("é's  ", "x ", "\x1c 1"), ("ɐ", "中²", "  ", "🙂"))]
+    assert [split(x) for x in texts] == [whole(x) for x in texts]
+
+
+def test_merges_are_those_of_the_lowest_neighbours():
+    """Short words, whose pair ranks are kept between joins, against the heap of the long ones."""
+    import random
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abeinrst áé🙂0.", k=rng.randint(1, 20))).encode() for _ in range(3000)] + [b"a" * k for k in range(1, 64)]
+    assert [byte_bpe.merged(x, ranks) for x in words] == [
+        [ranks[x]] if x in ranks else byte_bpe._merged_long(x, ranks) for x in words
+    ]
