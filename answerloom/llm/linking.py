@@ -17,15 +17,12 @@ from answerloom.session import settle
 #: Tables up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
-#: Elements that fewer nodes hold are looked up one by one.
+#: Elements that fewer nodes hold are looked up one by one; buckets up to that size take any pivot.
 RARE = 8
 
 #: Sets that share a prefix element meet by it alone up to this number, and by two elements beyond.
 CROWD = 32
 
-#: Rounds and pivots per bucket before that.
-ROUNDS, PIVOTS = 3, 2
-
 
 def small_side(table: DataFrame, row_bytes: int = 16) -> DataFrame:
     """A settled table with rows of a fixed size, marked for broadcast if its counted size allows."""
@@ -165,28 +162,84 @@ def prefix_pairs(known: DataFrame, percent: int) -> DataFrame:
     return pairs(few).unionByName(pairs(many)).distinct()
 
 
-def _pivot_rounds(met: DataFrame, found: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and components after ROUNDS more rounds in which a bucket's nodes are compared with PIVOTS of it.
+def _pivots(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, pivot) of buckets of more than RARE nodes: the node whose elements most nodes hold, on average of logarithms.
 
-    Pivots are drawn by hash, others in every round, and only nodes of other components are compared with them. A crowd
-    of sets that are mostly linked grows together in a few such rounds, each linear in the size of its buckets.
+    Among copies of one text, each changed in places of its own, that is the text they come from, or a copy close to it.
     """
-    for turn in range(ROUNDS):
-        placed = met.filter("size > 2").join(groups, "node", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("component")
-        )
-        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + k)), "node", "component")).alias(f"p{k}") for k in range(PIVOTS)]
-        open_ = placed.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), *drawn
-        ).filter("low < high").select("bucket", F.explode(F.array(*[
-            F.struct(F.col(f"p{k}.node").alias("b"), F.col(f"p{k}.component").alias("other")) for k in range(PIVOTS)
-        ])).alias("p")).select("bucket", "p.b", "p.other")
-        pairs = settle(
-            placed.join(open_, "bucket").filter("component <> other").select(F.col("node").alias("a"), "b").distinct(), "pivots"
-        )
-        found = settle(found.unionByName(verified(pairs, sets, percent)), "pivot-links")
-        groups = components(found)
-    return found, groups
+    crowded = met.filter(F.col("size") > RARE).select("bucket", "node")
+    among = small_side(settle(crowded.select("node").distinct(), "crowded"), 8)
+    held = sets.join(among, "node", "left_semi").select("node", F.explode("items").alias("item"))
+    owners = held.groupBy("item").agg(F.count("*").alias("owners"))
+    score = held.join(owners, "item").groupBy("node").agg(F.avg(F.log("owners")).alias("score"))
+    return crowded.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("pivot"))
+
+
+def _pivot_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all nodes of nearly equal sets which share a bucket, from (bucket, node, center, size).
+
+    Sets of s elements together may differ in s * (100 - percent) / (100 + percent) of them. Each node is compared with its
+    bucket's pivot, and what it differs in is kept. Two nodes differ in just those elements that one of them, but not the other,
+    differs in from the pivot. So if they reach the threshold without a common difference, the differences of each are
+    few enough that both are linked with the pivot. All others meet by a common difference within the bucket, however
+    many elements a crowd of changed copies has in common.
+
+    Differences are put into one order by bucket, rarest first. Those that stand before the first common one are not
+    shared, nor is the surplus of what stands behind it on one side; both must be within what the pair may differ in. No pair
+    that reaches the threshold is lost.
+    """
+    met = settle(
+        met.join(settle(_pivots(met, sets), "pivots"), "bucket", "left")
+        .select("bucket", "node", "size", F.coalesce("pivot", "center").alias("pivot")), "pivoted",
+    )
+    pairs = met.filter("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(
+        F.max("size").alias("size")
+    )
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("set_b"))
+    apart = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
+    stars = settle(
+        pairs.join(left, "a").join(right, "b").withColumn("apart", apart).select(
+            "a", "b", F.size("set_a").cast("long").alias("n"),
+            (F.size("apart") * (100 + percent) <= (F.size("set_a") + F.size("set_b")) * (100 - percent)).alias("linked"),
+            F.when(F.col("size") > 2, F.col("apart")).alias("apart"),
+        ), "stars",
+    )
+    first = stars.filter("linked").select("a", "b")
+    groups = components(first)
+    placed = met.filter("size > 2").join(groups, "node", "left").select(
+        "bucket", "node", "pivot", F.coalesce("component", "node").alias("component")
+    )
+    open_buckets = placed.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low < high").select("bucket")
+    known = stars.filter("apart is not null").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "n", "apart")
+    held = settle(
+        placed.join(open_buckets, "bucket").join(known, ["node", "pivot"]).select(
+            "bucket", "node", "component", "n", F.size("apart").cast("long").alias("d"), F.explode("apart").alias("item")
+        ), "differences",
+    )
+    owners = held.groupBy("bucket", "item").agg(F.count("*").alias("owners")).filter("owners > 1")
+    lists = held.join(owners, ["bucket", "item"]).groupBy("bucket", "node", "component", "n", "d").agg(
+        F.sort_array(F.collect_list(F.struct("owners", "item"))).alias("common")
+    )
+    # Differences that no other node of the bucket has come before these.
+    index = settle(
+        lists.select("bucket", "node", "component", "n", "d", F.size("common").alias("kept"), F.posexplode("common").alias("k", "one"))
+        .withColumn("at", F.col("d") - F.col("kept") + F.col("k")).filter(F.col("at") * percent <= F.col("n") * (100 - percent))
+        .select("bucket", "node", "component", "n", "d", "at", F.col("one.item").alias("item")), "common-differences",
+    )
+    a, b = (
+        index.select("bucket", "item", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "d", "at")])
+        for side in "ab"
+    )
+    differ = F.col("at_a") + F.col("at_b") + F.abs((F.col("d_a") - F.col("at_a")) - (F.col("d_b") - F.col("at_b")))
+    near = a.join(b, ["bucket", "item"]).filter(
+        (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+        & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return first.unionByName(verified(near, sets, percent))
 
 
 def links(
@@ -207,9 +260,8 @@ def links(
     none have no more in common than either's common elements: with x of size n and s of
     those, a partner must have between percent * n and (1 + 1/percent) * s - n
     elements. That rules out copies that were changed too much, however many there are. The
-    pairs left over are met in the first bucket they share. With `by_prefix` nodes are compared with pivots of their buckets
-    first (`_pivot_rounds`), and the second round meets by `prefix_pairs` instead; that suits small sets with few elements of
-    their own, such as lines.
+    pairs left over are met in the first bucket they share. With `by_prefix` both rounds are those of `_pivot_links`, without
+    sketches; that suits small sets with few elements of their own, such as lines.
     """
     share = percent / 100
     ends = buckets.groupBy("bucket").agg(
@@ -218,6 +270,8 @@ def links(
     met = settle(buckets.join(ends.select("bucket", "center", "size"), "bucket"), "met")
     needed = settle(met.select("node").distinct(), "needed")
     sets = settle(sets_of(small_side(needed)), "sets")
+    if by_prefix:
+        return _pivot_links(met, sets, percent)
 
     def likely(pairs):
         if sketches is None:
@@ -234,8 +288,6 @@ def links(
     first = settle(verified(likely(stars), sets, percent), "first-links")
 
     groups = components(first)
-    if by_prefix:
-        first, groups = _pivot_rounds(met, first, groups, sets, percent)
     placed = settle(
         met.filter("size > 2").join(groups, "node", "left").select(
             "bucket", "node", F.coalesce("component", "node").alias("component")
@@ -252,9 +304,6 @@ def links(
     known = settle(
         sets.dropDuplicates(["node"]).join(open_nodes, "node").withColumn("n", F.size("items").cast("long")), "open-nodes"
     )
-    if by_prefix:
-        pairs = prefix_pairs(known.select("node", "component", "n", "items"), percent)
-        return first.unionByName(verified(likely(pairs), sets, percent))
     held = known.select("node", F.explode("items").alias("item"))
     owners = held.groupBy("item").agg(F.count("*").alias("owners")).filter(F.col("owners") < RARE)
     rare = settle(held.join(owners, "item"), "rare-elements")

@@ -40,23 +40,31 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 
 SHINGLES = WORDS - SHINGLE_WORDS + 1
-# Bounds of a task's memory: shingles taken through all hash functions at once, lines remembered.
-BLOCK_SHINGLES, MOST_SEEN = 1 << 16, 1 << 20
-
-
-def starts(shingles: np.ndarray) -> np.ndarray:
-    """Numbers of the words where paragraphs start, from the shingles of a text."""
-    last = len(shingles) - SHINGLES
-    if last < 0:
-        return np.empty(0, np.int64)
-    able = shingles[: last + 1]
-    if len(able) <= SPREAD:
-        return np.array([int(able.argmin())])
-    # A place is taken if it holds the minimum of some run of SPREAD places around it.
-    least = _over_runs(able, np.minimum)
-    edge = np.zeros(SPREAD - 1, least.dtype)
-    reached = _over_runs(np.concatenate((edge, least, edge)), np.maximum)
-    return np.flatnonzero(reached == able)
+# Bounds of a task's memory: shingles taken through all hash functions at once, lines remembered, characters of texts
+# hashed in one step.
+BLOCK_SHINGLES, MOST_SEEN, GROUP_BYTES = 1 << 16, 1 << 20, 1 << 19
+
+
+def starts(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indexes of the places where windows start; `shingles` has those of each text's places, `counts` their numbers by text."""
+    ends, taken = np.cumsum(counts), np.zeros(len(shingles), bool)
+    if len(shingles) >= SPREAD:
+        # A place is taken if it holds the minimum of some run of SPREAD places of its text around it.
+        least = _over_runs(shingles, np.minimum)
+        least[np.repeat(ends, counts)[: len(least)] < np.arange(len(least)) + SPREAD] = 0
+        edge = np.zeros(SPREAD - 1, least.dtype)
+        taken = _over_runs(np.concatenate((edge, least, edge)), np.maximum) == shingles
+    # Of texts with fewer places than that, the first that holds their minimum.
+    short = (counts > 0) & (counts <= SPREAD)
+    if short.any():
+        sizes = counts[short]
+        at = np.flatnonzero(np.repeat(short, counts))
+        least = np.minimum.reduceat(shingles[at], np.cumsum(sizes) - sizes)
+        equal = np.flatnonzero(shingles[at] == np.repeat(least, sizes))
+        _, first = np.unique(np.repeat(np.arange(len(sizes)), sizes)[equal], return_index=True)
+        taken[at] = False
+        taken[at[equal[first]]] = True
+    return np.flatnonzero(taken)
 
 
 def _over_runs(values: np.ndarray, choose) -> np.ndarray:
@@ -75,6 +83,28 @@ def _runs(hashes: np.ndarray) -> np.ndarray:
     return wordhash.shingles(hashes, WORDS).view(np.int64)
 
 
+def _runs_at(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`_runs` of the given places only."""
+    total = np.full(len(at), WORDS, np.uint64)
+    for k, factor in enumerate(wordhash.seeds(WORDS, 13)):
+        total += hashes[at + k] * factor
+    return wordhash.mix(total).view(np.int64)
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of runs of texts of GROUP_BYTES or one text, so that many short texts are one step."""
+    group, n_bytes, first = [], 0, 0
+    for k, text in enumerate(texts):
+        text = text.as_py()
+        if group and n_bytes + len(text) > GROUP_BYTES:
+            yield first, group
+            group, n_bytes, first = [], 0, k
+        group.append(text)
+        n_bytes += len(text)
+    if group:
+        yield first, group
+
+
 def _places(batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """(doc_id, mark, start, node) from the starts and nodes of each row."""
     take = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]).astype(np.int64))
@@ -108,20 +138,28 @@ PLACES = "doc_id long, mark long, start long, node long"
 
 
 class Lines:
-    """The lines of a text that have a shingle: first words, lengths, nodes, and their shingles in text order."""
+    """The lines of some texts that have a shingle: texts, first words in them, lengths, nodes, and their shingles in text order."""
 
-    def __init__(self, text: str):
-        raw = text.encode()
+    def __init__(self, texts: list[str]):
+        parts = [text.encode() for text in texts]
+        # No text has a line that goes on in the next one.
+        raw = b"\n".join(parts)
         hashes, begin, _ = wordhash.words(raw)
         self.words = hashes
+        lengths = np.array([len(x) + 1 for x in parts], np.int64)
+        self.first_word = np.searchsorted(begin, np.cumsum(lengths) - lengths)
+        self.counts = np.diff(self.first_word, append=len(hashes))
         breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
         line = np.searchsorted(breaks, begin)
         first = np.flatnonzero(np.diff(line, prepend=-1))
         sizes = np.diff(first, append=len(line))
         able = sizes >= SHINGLE_WORDS
-        self.start, self.n_words = first[able], sizes[able]
+        self.text = np.searchsorted(self.first_word, first[able], side="right") - 1
+        self.start, self.n_words = first[able] - self.first_word[self.text], sizes[able]
         self.node = np.empty(0, np.int64)
         self.shingles, self.owner = np.empty(0, np.uint64), np.empty(0, np.int64)
+        # Those that run into the next line or text are left out below.
+        self.whole = wordhash.shingles(hashes, SHINGLE_WORDS)
         if not len(self.start):
             return
         place = np.arange(len(hashes)) - np.repeat(first, sizes)
@@ -131,9 +169,18 @@ class Lines:
         number = np.cumsum(able) - 1
         inside = np.repeat(able, sizes) & (place <= np.repeat(sizes, sizes) - SHINGLE_WORDS)
         at = np.flatnonzero(inside)
-        self.shingles = wordhash.shingles(hashes, SHINGLE_WORDS)[at]
+        self.shingles = self.whole[at]
         self.owner = np.repeat(number, sizes)[at]
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, first words and runs of the windows found by content."""
+        counts = np.maximum(self.counts - WORDS + 1, 0)
+        text = np.repeat(np.arange(len(counts)), counts)
+        start = np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
+        at = start + self.first_word[text]
+        taken = starts(self.whole[at], counts)
+        return text[taken], start[taken], _runs_at(self.words, at[taken])
+
     def sets(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles by line, sorted as unsigned numbers, and the number of each line's."""
         order = np.lexsort((self.shingles, self.owner))
@@ -146,18 +193,20 @@ class Lines:
         """Band keys of the chosen lines, one row per line."""
         sizes = np.bincount(self.owner, minlength=len(self.start))
         ends = np.cumsum(sizes)
-        minima, k = np.empty((len(chosen), BANDS * BAND_ROWS), np.uint32), 0
+        minima, total, k = np.empty((len(chosen), BANDS * BAND_ROWS), np.uint32), np.cumsum(sizes[chosen]), 0
         while k < len(chosen):
             # Lines in one go, as many as fit into a block; a longer line goes by itself, in pieces.
-            last = k + 1 + int(np.searchsorted(np.cumsum(sizes[chosen[k + 1 :]]), BLOCK_SHINGLES - sizes[chosen[k]]))
+            before = total[k] - sizes[chosen[k]]
+            last = max(k + 1, int(np.searchsorted(total, before + BLOCK_SHINGLES, side="right")))
             some = chosen[k:last]
             if len(some) == 1:
                 minima[k] = functions.of(self.shingles[ends[some[0]] - sizes[some[0]] : ends[some[0]]])
             else:
-                at = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in some])
+                first = total[k:last] - sizes[some] - before
+                at = np.arange(total[last - 1] - before) + np.repeat(ends[some] - sizes[some] - first, sizes[some])
                 narrow = (self.shingles[at] >> np.uint64(32)).astype(np.uint32)
-                first = np.cumsum(sizes[some]) - sizes[some]
-                minima[k:last] = np.minimum.reduceat(narrow[:, None] * functions.factors + functions.offsets, first, axis=0)
+                for j, (factor, offset) in enumerate(zip(functions.factors, functions.offsets)):
+                    minima[k:last, j] = np.minimum.reduceat(narrow * factor + offset, first)
             k = last
         table = minima.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
         sums = (table * wordhash.seeds(BAND_ROWS, 19)).sum(axis=2, dtype=np.uint64)
@@ -170,51 +219,43 @@ SCANNED = "doc_id long, mark long, start long, n_words long, node long, line boo
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's windows found by content and its lines; bands with a line's first occurrence in the task alone."""
     functions, seen = wordhash.Minima(BANDS * BAND_ROWS), set()
-    for whole in batches:
-        for k in range(0, whole.num_rows, 1000):
-            batch, found, n_words, is_line, bands, counts = whole.slice(k, 1000), [], [], [], [], []
-            for text in batch.column("text"):
-                lines = Lines(text.as_py())
-                at = np.empty(0, np.int64)
-                if len(lines.words) >= WORDS:
-                    at = starts(wordhash.shingles(lines.words, SHINGLE_WORDS))
-                fresh = np.zeros(len(lines.node), bool)
-                for i, node in enumerate(lines.node.tolist()):
-                    if node not in seen:
-                        fresh[i] = True
-                        seen.add(node)
-                found.append((np.concatenate((at, lines.start)), np.concatenate((_runs(lines.words)[at], lines.node))))
-                n_words += [np.full(len(at), WORDS), lines.n_words]
-                is_line += [np.zeros(len(at), bool), np.ones(len(lines.node), bool)]
-                counts += [np.zeros(len(at), np.int64), fresh * BANDS]
-                if fresh.any():
-                    bands.append(lines.bands(functions, np.flatnonzero(fresh)).reshape(-1))
+    for batch in batches:
+        for number, texts in _groups(batch.column("text")):
+            lines = Lines(texts)
+            text, start, run = lines.windows()
+            fresh = np.zeros(len(lines.node), bool)
+            for i, node in enumerate(lines.node.tolist()):
+                if node not in seen:
+                    fresh[i] = True
+                    seen.add(node)
+            bands = lines.bands(functions, np.flatnonzero(fresh)).reshape(-1)
             if len(seen) > MOST_SEEN:
                 seen.clear()
-            places = _places(batch, found)
+            take = pa.array(np.concatenate((text, lines.text)) + number)
+            ends = np.cumsum(np.concatenate((np.zeros(len(text) + 1, np.int64), fresh * BANDS))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *places.columns[:3], pa.array(np.concatenate(n_words), pa.int64()), places.column("node"),
-                    pa.array(np.concatenate(is_line)), _lists(bands, counts),
+                    batch.column("doc_id").take(take), batch.column("mark").take(take),
+                    pa.array(np.concatenate((start, lines.start)), pa.int64()),
+                    pa.array(np.concatenate((np.full(len(text), WORDS), lines.n_words)), pa.int64()),
+                    pa.array(np.concatenate((run, lines.node)), pa.int64()),
+                    pa.array(np.arange(len(take)) >= len(text)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)),
                 ],
                 ["doc_id", "mark", "start", "n_words", "node", "line", "bands"],
             )
 
 
-def _lists(parts: list[np.ndarray], counts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum(np.concatenate([[0], *counts])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
-
-
 def _line_items(ordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, items) of the lines of each text that are asked for: shingles in text order, or sorted sets."""
+        """(node, items) of the lines that are asked for: shingles in text order, or sorted sets."""
         for batch in batches:
             nodes, items = [], []
-            for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist()):
-                lines = Lines(text.as_py())
+            for number, texts in _groups(batch.column("text")):
+                lines = Lines(texts)
                 ends = np.cumsum(np.bincount(lines.owner, minlength=len(lines.node)))
-                for k in np.flatnonzero(np.isin(lines.node, np.array(wanted, np.int64))):
+                wanted = batch.column("wanted").slice(number, len(texts)).flatten().to_numpy()
+                distinct, first = np.unique(lines.node, return_index=True)
+                for k in first[np.isin(distinct, wanted)]:
                     row = lines.shingles[ends[k - 1] if k else 0 : ends[k]].view(np.int64)
                     nodes.append(int(lines.node[k]))
                     items.append(row if ordered else np.unique(row))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -170,6 +171,42 @@ def test_templated_sets_in_one_bucket(spark):
     assert {k: got.get(k, k) for k in sets} == expected
 
 
+def test_crowd_of_changed_copies_is_not_paired(spark, monkeypatch):
+    # Copies of one line that are nowhere near 0.75 of each other, but share most of their elements, and a few that are.
+    rng, sets = random.Random(11), {0: list(range(70))}
+    for k in range(1, 301):
+        sets[k] = sorted([*rng.sample(range(70), 57), *range(1000 * k, 1000 * k + 9)])
+    for k in range(5):
+        sets[400 + k] = sorted([*sets[20 * k + 3][2:], 500_000 + k])
+    nodes = spark.createDataFrame(list(sets.items()), "node long, items array<long>")
+    buckets = spark.createDataFrame([(band, k) for band in (1, 2) for k in sets], "bucket long, node long")
+    compared, verified = [], linking.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.select("a", "b").distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(linking, "verified", counted)
+    found = linking.components(linking.links(buckets, lambda needed: nodes.join(needed, "node"), 75, by_prefix=True)).collect()
+    got = {r.node: r.component for r in found}
+    assert {k: got.get(k, k) for k in sets} == components({k: set(v) for k, v in sets.items()})
+    assert got[400] == got[3] and sum(compared) < len(sets) ** 2 // 8
+
+
+def test_texts_are_scanned_alike_in_any_company(texts, monkeypatch):
+    texts = [texts[k] or "" for k in sorted(texts)[:300]]
+    texts += ["", "\n", "one two three four five", " ".join(f"w{k}" for k in range(25)), "same " * 200, "a b c d e\n\nf g h i j k"]
+    numbers = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, pa.array(texts)], ["doc_id", "mark", "text"])
+
+    def rows():
+        return sorted(tuple(map(str, r.values())) for part in passages._scan(iter([batch])) for r in part.to_pylist())
+
+    together = rows()
+    monkeypatch.setattr(passages, "GROUP_BYTES", 0)
+    assert together == rows() and together
+
+
 def test_pasted_passages_are_cut_out(spark):
     rng = random.Random(3)
     own = lambda k: " ".join(rng.choices([f"w{i}" for i in range(5000)], k=k))
